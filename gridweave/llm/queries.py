@@ -26,6 +26,12 @@ def op3_byte_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FOLDER_FILE), public_tokenizers.PATTERN)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    from gridweave.llm.substrings import removed_spans
+
+    return removed_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_quality_rules(spark, sf_dir):
     from gridweave.llm.quality import quality
 
@@ -36,6 +42,7 @@ def op6_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
 }
 
