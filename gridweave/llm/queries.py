@@ -39,11 +39,19 @@ def op6_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_lm_scoring(spark, sf_dir):
+    from gridweave.llm.lm import lm_scores
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return lm_scores(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 
