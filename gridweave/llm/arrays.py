@@ -7,6 +7,7 @@ ASCII, so words are the same over bytes as over code points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,3 +119,43 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def hex_bytes(digests: list[bytes]) -> list[str]:
     return [d.hex() for d in digests]
+
+
+class BatchWords:
+    """All words of a batch of texts, and its distinct words once.
+
+    ``doc``, ``start`` and ``end`` are each word's text and place in ``buf``; ``of`` is its
+    place among the distinct words, whose letters ``letters`` holds, lower-cased.
+    """
+
+    def __init__(self, column):
+        self.buf, self.offsets = buffer_of(as_large(column))
+        parts = []
+        for i, j in slices(self.offsets):
+            a = self.offsets[i]
+            data = self.buf[a : self.offsets[j]]
+            s, e, t = word_spans(data, self.offsets[i : j + 1] - a)
+            parts.append((Hasher(data).spans(s, e), s + a, e + a, t + i))
+        key, self.start, self.end, self.doc = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, U), *[np.zeros(0, np.int64)] * 3]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.of = np.empty(len(key), np.int64)
+        self.of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+        rep = order[first]
+        self.letters = letters_of(self.buf, self.start[rep], self.end[rep])
+
+
+def letters_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The letters of each span, lower-cased."""
+    if not len(starts):
+        return []
+    size = ends - starts
+    out = np.full(int(size.sum()) + len(size), 10, np.uint8)
+    to = np.cumsum(size + 1) - size - 1
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + inside] = buf[np.repeat(starts, size) + inside]
+    text = out.tobytes()[:-1].decode("utf-8", "replace").lower()
+    return _NOT_LETTERS.sub("", text).split("\n")
+
+
+_NOT_LETTERS = re.compile(r"[^\w\n]|[\d_]")

@@ -26,6 +26,15 @@ def op3_byte_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FOLDER_FILE), public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark, sf_dir):
+    from gridweave.llm.toxicity import learn, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    out = toxicity(docs, learn(docs, table(spark, sf_dir, "labels"), held_out))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op5_suffix_dedup(spark, sf_dir):
     from gridweave.llm.substrings import removed_spans
 
@@ -39,6 +48,18 @@ def op6_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_language_id(spark, sf_dir):
+    import public_tokenizers
+
+    from gridweave.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = identify(docs, train(docs.where(~held_out), path), path)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_lm_scoring(spark, sf_dir):
     from gridweave.llm.lm import lm_scores
 
@@ -49,8 +70,10 @@ def op10_lm_scoring(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_language_id": op8_language_id,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
