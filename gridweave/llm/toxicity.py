@@ -8,23 +8,32 @@ purity, less if misspelt, more with another hit near, and less where it is quote
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.arrays import BatchWords
+from gridweave.workspace import Workspace
 
 #: Labelled rows that the lexicon is learnt from at most, by a seeded order.
 LABELLED_ROWS = 200_000
-#: Terms and stems: at most so many, the most frequent first, found in at least so many toxic documents.
-LEXICON, MIN_DOCS, STEM_WORDS = 2000, 3, 4
+#: Terms and stems: at most so many, the most frequent first; a term follows at least so many
+#: different words in toxic documents (copies of one text show it after one), and a stem begins
+#: so many different words.
+LEXICON, MIN_CONTEXTS, STEM_WORDS = 2000, 5, 4
 STEM_LENGTHS = (4, 5, 6)
 #: Least share of toxic documents, all else equal, among the documents with a term.
 PURITY = 0.8
 #: Words on either side that make a hit's context, and how much of a hit remains.
 WINDOW = 8
 MISSPELT, CLUSTERED, QUOTED = 0.5, 0.65, 0.25
+#: Weight of terms that few contexts show, and the least weight of the others.
+WEAK, SURE = 0.5, 0.8
 BASE = 0.02
 #: Words that report what somebody said, in four languages.
 REPORTING = set(
@@ -35,7 +44,7 @@ REPORTING = set(
 
 def edits_of(term: str) -> int:
     """Edits within which a word is a misspelling of a term."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
 class LexiconAutomaton:
@@ -43,12 +52,13 @@ class LexiconAutomaton:
 
     MEMO = 400_000
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], rigid: frozenset[str] = frozenset()):
+        self.edits = {t: 0 if t in rigid or p < SURE else edits_of(t) for t, p in terms.items()}
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.most = [0]
         for t in sorted(terms):
-            node, limit = 0, edits_of(t)
+            node, limit = 0, self.edits[t]
             self.most[0] = max(self.most[0], limit)
             for ch in t:
                 if ch not in self.children[node]:
@@ -103,11 +113,15 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[float, bool]:
         """(weight, whether spelt as in the lexicon) of a word; no match weighs 0."""
+        return self.find(word)[:2]
+
+    def find(self, word: str) -> tuple[float, bool, str]:
+        """As ``match``, with the term or stem."""
         if word in self.terms:
-            return self.terms[word], True
+            return self.terms[word], True, word
         for n in STEM_LENGTHS:
             if word[:n] in self.stems:
-                return self.stems[word[:n]], True
+                return self.stems[word[:n]], True, word[:n]
         if len(self.steps) > self.MEMO:
             self._reset()
         state = self.start
@@ -117,25 +131,31 @@ class LexiconAutomaton:
             if state is None:
                 state = self.steps[key] = self._step(*key)
             if state < 0:
-                return 0.0, False
-        best = [(e, -self.terms[self.term[node]], self.term[node]) for node, e in self.states[state] if self.term[node] is not None and e <= edits_of(self.term[node])]
-        return (-min(best)[1] * MISSPELT, False) if best else (0.0, False)
+                return 0.0, False, ""
+        best = [(e, -self.terms[self.term[node]], self.term[node]) for node, e in self.states[state] if self.term[node] is not None and e <= self.edits[self.term[node]]]
+        return (-min(best)[1] * MISSPELT, False, min(best)[2]) if best else (0.0, False, "")
+
+
+@functools.lru_cache(maxsize=200_000)
+def hash_of(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 _automata: dict[int, LexiconAutomaton] = {}
 
 
-def automaton(terms: dict[str, float], stems: dict[str, float]) -> LexiconAutomaton:
+def automaton(terms: dict[str, float], stems: dict[str, float], rigid: frozenset[str] = frozenset()) -> LexiconAutomaton:
     """One a worker, kept between tasks."""
-    key = hash((tuple(sorted(terms.items())), tuple(sorted(stems.items()))))
+    key = hash((tuple(sorted(terms.items())), tuple(sorted(stems.items())), rigid))
     if key not in _automata:
-        _automata.clear()
-        _automata[key] = LexiconAutomaton(terms, stems)
+        if len(_automata) > 3:
+            _automata.clear()
+        _automata[key] = LexiconAutomaton(terms, stems, rigid)
     return _automata[key]
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[dict[str, float], dict[str, float], set[str]]:
-    """(terms, stems, innocent words near them) from labelled rows that aren't held out.
+def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[dict[str, float], dict[str, float], frozenset[str], set[str]]:
+    """(terms, stems, terms that must be spelt exactly, innocent words near others) from labelled rows that aren't held out.
 
     At most ``LABELLED_ROWS`` labels, chosen by a hash of the id, and ``LEXICON`` terms and
     stems reach the driver. Null labels or ids don't count; a document labelled more than once
@@ -150,38 +170,53 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[dict[str, float
         for b in batches:
             w = BatchWords(b.column(0))
             toxic = b.column(1).to_numpy()
-            pair = np.unique(w.doc * max(len(w.letters), 1) + w.of)
-            word, doc = pair % max(len(w.letters), 1), pair // max(len(w.letters), 1)
-            n = np.bincount(word, minlength=len(w.letters))
-            t = np.bincount(word, toxic[doc], minlength=len(w.letters)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w.letters, pa.string()), pa.array(t, pa.int64()), pa.array(n - t, pa.int64())], ["word", "t", "c"])
+            k = max(len(w.letters), 1)
+            pair = np.unique(w.doc * k + w.of)
+            clean = toxic[pair // k] == 0
+            c = np.bincount(pair[clean] % k, minlength=k)
+            t = np.bincount(pair[~clean] % k, minlength=k)
+            prior = np.where(np.r_[True, w.doc[1:] != w.doc[:-1]], 0, np.r_[0, w.of[:-1] + 1])
+            bad = toxic[w.doc] == 1 if len(w.doc) else np.zeros(0, bool)
+            after = np.unique(w.of[bad] * (k + 1) + prior[bad])
+            names = pa.array(w.letters, pa.string())
+            hashes = np.array([0] + [hash_of(x) for x in w.letters], np.int64)
+            word = np.r_[np.arange(len(w.letters)), after // (k + 1)]
+            none = np.zeros(len(after), np.int64)
+            before = pa.array(np.r_[np.zeros(len(w.letters), np.int64), hashes[after % (k + 1)]], mask=np.r_[np.ones(len(w.letters), bool), np.zeros(len(after), bool)])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(word)), pa.array(np.r_[t[: len(w.letters)], none]), pa.array(np.r_[c[: len(w.letters)], none]), before], ["word", "t", "c", "before"])
 
     n_toxic, n_all = flags.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_toxic or n_toxic == n_all:
-        return {}, {}, set()
+        return {}, {}, frozenset(), set()
     odds = (n_all - n_toxic) / n_toxic
-    words = known.select("text", "toxic").mapInArrow(count, "word string, t long, c long").where("length(word) >= 3")
-    words = words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    words = known.select("text", "toxic").mapInArrow(count, "word string, t long, c long, before long").where("length(word) >= 3")
+    words = words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_distinct("before").alias("contexts"))
     purity = (F.col("t") * odds + 0.5) / (F.col("t") * odds + F.col("c") + 1.0)
-    from gridweave.workspace import Workspace
-
     words = Workspace(docs.sparkSession).save(words.withColumn("purity", purity))
-    good = (F.col("t") >= MIN_DOCS) & (F.col("t") >= 10 * F.col("c")) & (F.col("purity") >= PURITY)
-    terms = {r.word: min(r.purity, 0.97) for r in words.where(good).orderBy(F.desc("t"), "word").limit(LEXICON).collect()}
-    stem = words.select(F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])).alias("stem"), "t", "c").where("stem is not null")
+    # so many contexts that chance gives not one word of the vocabulary as many in toxic documents only
+    least = max(MIN_CONTEXTS, math.ceil(math.log(max(words.count(), 2)) / math.log(n_all / n_toxic)) + 1)
+    few = max(3, least - 3)
+    good = (F.least("t", "contexts") >= few) & (F.col("t") >= 10 * F.col("c")) & (F.col("purity") >= PURITY)
+    found = words.where(good).orderBy(F.desc("t"), "word").limit(LEXICON).collect()
+    terms = {r.word: min(r.purity, 0.97) if min(r.t, r.contexts) >= least else WEAK for r in found}
+    stem = words.select(F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])).alias("stem"), F.least("t", "contexts").alias("t"), "c").where("stem is not null")
     stem = stem.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") >= 2).alias("n"))
-    good_stem = (F.col("n") >= STEM_WORDS) & (F.col("t") >= 3 * MIN_DOCS) & (F.col("t") >= 20 * F.col("c"))
+    good_stem = (F.col("n") >= STEM_WORDS) & (F.col("t") >= 2 * least) & (F.col("t") >= 20 * F.col("c"))
     stems = {r.stem: 0.9 for r in stem.where(good_stem).orderBy(F.desc("t"), "stem").limit(LEXICON).collect()}
-    trie = automaton(terms, stems)
     clean = words.where("c > 0 and t < 10 * c").select("word")
 
     def near(batches):
         for b in batches:
             own = automaton(terms, stems)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in b.column(0).to_pylist() if own.match(x)[0] > 0], pa.string())], ["word"])
+            got = [(x, own.find(x)) for x in b.column(0).to_pylist()]
+            got = [(x, y[2]) for x, y in got if y[0] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.string())], ["word", "term"])
 
-    innocent = {r.word for r in clean.mapInArrow(near, "word string").orderBy("word").limit(20 * LEXICON).collect()} if trie else set()
-    return terms, stems, innocent
+    # terms with ordinary words beside them aren't matched loosely; the others' few are known
+    crowd = clean.mapInArrow(near, "word string, term string").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("word"))
+    crowd = crowd.collect()
+    rigid = frozenset(r.term for r in crowd if r.n > 1)
+    return terms, stems, rigid, {r.word for r in crowd if r.n == 1}
 
 
 def _quoted(before: str, words_before: list[str]) -> bool:
@@ -198,12 +233,12 @@ def toxicity(docs: DataFrame, lexicon, id_col: str = "doc_id", text_col: str = "
     itself: repeated rows give repeated results, an empty table an empty one; other columns
     are not read.
     """
-    terms, stems, innocent = lexicon
+    terms, stems, rigid, innocent = lexicon
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            own = automaton(terms, stems)
+            own = automaton(terms, stems, rigid)
             w = BatchWords(b.column(1))
             weight, spelt = np.zeros(len(w.letters)), np.zeros(len(w.letters), bool)
             for k, x in enumerate(w.letters):
