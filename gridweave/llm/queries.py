@@ -60,6 +60,12 @@ def op8_language_id(spark, sf_dir):
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_near_vectors(spark, sf_dir):
+    from gridweave.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_lm_scoring(spark, sf_dir):
     from gridweave.llm.lm import lm_scores
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_near_vectors": op9_near_vectors,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
@@ -100,6 +107,21 @@ ahead AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY k, doc_i
   CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 1 END AS whole FROM keyed),
 counted AS (SELECT *, whole + CASE WHEN 2 * before + size <= 2 * (target - whole * source_size) AND target - whole * source_size > 0 AND size > 0 THEN 1 ELSE 0 END AS repeats FROM ahead)
 SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS taken, CAST(repeats AS BIGINT) AS repeats, weight FROM counted
+""",
+        "op9_near_vectors": """
+WITH RECURSIVE good AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit AS (SELECT r, vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM good),
+links AS (SELECT a.r AS r, b.r AS s, a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.r <> b.r AND len(a.v) = len(b.v)
+  AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95e0),
+reach AS (SELECT DISTINCT a AS x, b AS y FROM links UNION SELECT reach.x, l.b FROM reach JOIN links l ON reach.y = l.a),
+comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x),
+n AS (SELECT r, count(*) AS k FROM links GROUP BY r)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM good LEFT JOIN n USING (r) LEFT JOIN comp ON x = vec_id
+UNION ALL SELECT vec_id, 0, vec_id, vec_id IS NOT NULL FROM embeddings WHERE vec_id IS NULL OR embedding IS NULL OR len(embedding) = 0
+  OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0
 """,
         "op6_quality_rules": rf"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
