@@ -18,6 +18,12 @@ def op1_mix_sources(spark, sf_dir):
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    from gridweave.llm.chosen_path import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -75,6 +81,7 @@ def op10_lm_scoring(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
@@ -122,6 +129,19 @@ SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS
 FROM good LEFT JOIN n USING (r) LEFT JOIN comp ON x = vec_id
 UNION ALL SELECT vec_id, 0, vec_id, vec_id IS NOT NULL FROM embeddings WHERE vec_id IS NULL OR embedding IS NULL OR len(embedding) = 0
   OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0
+""",
+        "op2_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT r, doc_id, array_to_string(words[i:i+4], ' ') AS k FROM (SELECT r, doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0 AND doc_id IS NOT NULL)),
+n AS (SELECT r, doc_id, count(*) AS size FROM g GROUP BY ALL),
+shared AS (SELECT a.r AS r, b.r AS s, count(*) AS c FROM g a JOIN g b ON a.k = b.k AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT x.r, x.s, a.doc_id AS a, b.doc_id AS b, a.size = c AND b.size = c AS same FROM shared x JOIN n a ON a.r = x.r JOIN n b ON b.r = x.s
+  WHERE c >= 0.8e0 * (a.size + b.size - c) - 1e-6),
+reach AS (SELECT DISTINCT r AS x, s AS y FROM links UNION SELECT reach.x, l.s FROM reach JOIN links l ON reach.y = l.r),
+comp AS (SELECT x, min(doc_id) AS c FROM reach JOIN w ON w.r = y GROUP BY x),
+m AS (SELECT r, count(*) AS k, min(CASE WHEN same THEN b END) AS copy FROM links GROUP BY r)
+SELECT doc_id, least(doc_id, coalesce(copy, doc_id)) AS copy_of, CAST(coalesce(k, 0) AS BIGINT) AS n_links, least(doc_id, coalesce(c, doc_id)) AS class_id,
+  coalesce(doc_id = least(doc_id, coalesce(c, doc_id)), true) AS kept FROM w LEFT JOIN m ON m.r = w.r LEFT JOIN comp ON comp.x = w.r
 """,
         "op6_quality_rules": rf"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,

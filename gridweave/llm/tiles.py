@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a part; a tile has two.
-PART_ROWS = 1024
+PART_ROWS = 768
 
 
 def deal(rows: DataFrame, part_rows: int | None = None) -> DataFrame:
