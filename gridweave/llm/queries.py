@@ -54,6 +54,12 @@ def op6_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_license_scan(spark, sf_dir):
+    from gridweave.llm.licenses import document_paths, license_scan
+
+    return license_scan(document_paths(table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark, sf_dir):
     import public_tokenizers
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_near_vectors": op9_near_vectors,
     "op10_lm_scoring": op10_lm_scoring,
