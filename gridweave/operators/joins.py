@@ -36,7 +36,7 @@ def nearest(targets: DataFrame, sources: DataFrame, target_id: str, source_id: s
     s = sources.select(F.col(source_id).alias("s_id"), F.col(order).alias("s_ord"), F.col(x).alias("sx"), F.col(y).alias("sy")).where("sx is not null and sy is not null")
     n = s.count()
     best = F.min(F.struct(distance("tx", "ty", "sx", "sy").alias("d"), F.col("s_ord").alias("o"), F.col("s_id").alias("s"))).alias("b")
-    if n <= broadcast_rows:
+    if n <= broadcast_rows or t.isEmpty():
         found = t.crossJoin(F.broadcast(s)).groupBy("t_id").agg(best)
         return found.select(F.col("t_id").alias(target_id), F.col("b.s").alias(source_id), F.col("b.d").alias("metres"))
     ws = ws or Workspace(t.sparkSession)
@@ -52,15 +52,10 @@ def nearest(targets: DataFrame, sources: DataFrame, target_id: str, source_id: s
         cells = s.withColumns({"cx": at("sx"), "cy": at("sy")})
         hit = asks.join(cells, ["cx", "cy"]).groupBy("t_id").agg(best, F.first("tx").alias("tx"), F.first("ty").alias("ty"))
         # all sources within one cell's width have been seen
-        sure = F.lit(True) if size > 2 * span else F.col("b.d") <= F.lit(size)
-        ok = ws.save(hit.where(sure).select("t_id", "b"))
+        ok = ws.save(hit.where(F.col("b.d") <= F.lit(size)).select("t_id", "b"))
         done = ok if done is None else done.unionByName(ok)
         left = ws.save(left.join(ok.select("t_id"), "t_id", "left_anti"))
-        if size > 2 * span and reach > 4:
-            # what is left lies far outside all sources: widen by the distance itself
-            span *= 4
         reach *= 2
-    done = done if done is not None else left.select("t_id", F.lit(None).cast("struct<d:double,o:string,s:string>").alias("b"))
     return done.select(F.col("t_id").alias(target_id), F.col("b.s").alias(source_id), F.col("b.d").alias("metres"))
 
 
