@@ -121,6 +121,14 @@ def hex_bytes(digests: list[bytes]) -> list[str]:
     return [d.hex() for d in digests]
 
 
+def row_slices(batches, column: int, size: int = 4 * SLICE_BYTES):
+    """Batches cut to rows that hold about ``size`` bytes of text."""
+    for b in batches:
+        _, offsets = buffer_of(as_large(b.column(column)))
+        for i, j in slices(offsets, size):
+            yield b.slice(i, j - i)
+
+
 class BatchWords:
     """All words of a batch of texts, and its distinct words once.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.arrays import BatchWords, Hasher, U
+from gridweave.llm.arrays import BatchWords, Hasher, U, row_slices
 
 #: Longer words are cut after so many bytes, and longer pieces aren't used.
 WORD_BYTES, PIECE_BYTES = 48, 16
@@ -149,7 +149,7 @@ def train(docs: DataFrame, vocabulary_path: str) -> tuple[list[str], np.ndarray]
     def run(batches):
         total = np.zeros((n_pieces, len(langs)))
         uniform = np.full(n_pieces, 1 / n_pieces)
-        for b in batches:
+        for b in row_slices(batches, 0):
             w = BatchWords(b.column(0))
             lang = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)
             weights = np.zeros((len(w.letters), len(langs)))
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_pa
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in row_slices(batches, 1):
             w = BatchWords(b.column(1))
             n = len(b)
             each = log_likelihood(w.letters, lookup(vocabulary_path), p)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.arrays import BatchWords
+from gridweave.llm.arrays import BatchWords, row_slices
 from gridweave.workspace import Workspace
 
 #: Labelled rows that the lexicon is learnt from at most, by a seeded order.
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[dict[str, float
     known = docs.select("doc_id", "text").join(F.broadcast(flags), "doc_id")
 
     def count(batches):
-        for b in batches:
+        for b in row_slices(batches, 0):
             w = BatchWords(b.column(0))
             toxic = b.column(1).to_numpy()
             k = max(len(w.letters), 1)
@@ -237,7 +237,7 @@ def toxicity(docs: DataFrame, lexicon, id_col: str = "doc_id", text_col: str = "
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in row_slices(batches, 1):
             own = automaton(terms, stems, rigid)
             w = BatchWords(b.column(1))
             weight, spelt = np.zeros(len(w.letters)), np.zeros(len(w.letters), bool)
