@@ -183,7 +183,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
     kinds = "node long, lo int, hi int, part int, id long, doc long, size long, copies long, nodes array<long>"
     active = ws.save(gather(dealt, 4000, n_dealt).join(members, "id").groupBy("lot").applyInArrow(candidates, kinds))
     wanted = active.select(F.col("doc").alias("doc_id")).distinct()
-    words = narrow.join(wanted, "doc_id", "left_semi").select("text")
+    # as many as there are near copies: a share of all documents, so by shuffle at every size
+    words = narrow.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").select("text")
 
     def whole(batches):
         for b in batches:
