@@ -60,10 +60,10 @@ def nodes(spark, d) -> DataFrame:
 
 def raw_edges(spark, d) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag")
     e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     layer = F.when(F.col("l_returnflag") == "R", "recovery")
-    return e.select(F.concat(F.lit("s"), "l_suppkey").alias("u"), F.concat(F.lit("c"), "o_custkey").alias("v"), F.col("l_orderkey").alias("o1"), F.col("l_linenumber").alias("o2"), text.recode("o_orderpriority", VOLTS).alias("volt_class"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("weight"), F.col("l_quantity").alias("buffer_hours"), layer.alias("layer"))
+    return e.select(F.concat(F.lit("s"), "l_suppkey").alias("u"), F.concat(F.lit("c"), "o_custkey").alias("v"), F.col("l_orderkey").alias("o1"), F.col("l_linenumber").alias("o2"), F.col("l_partkey").alias("o3"), text.recode("o_orderpriority", VOLTS).alias("volt_class"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("weight"), F.col("l_quantity").alias("buffer_hours"), layer.alias("layer"))
 
 
 def divisions(spark, d) -> DataFrame:
@@ -92,7 +92,7 @@ BASE = f"""base AS (SELECT s_suppkey AS key, 's' || s_suppkey AS node_id, 'power
  SELECT c_custkey, 'c' || c_custkey, {_case("c_mktsegment", KIND_OF)}, c_name, c_nationkey, c_acctbal,
  40.7e0 + (c_custkey * 7919 % 5501) / 100000.0e0, -74.02e0 + (c_custkey * 104729 % 5003) / 100000.0e0 FROM customer)"""
 PLACED = f"{BASE}, {_utm_sql('lat', 'lon')}, sup AS (SELECT * FROM placed WHERE infra_type = 'power'), cus AS (SELECT * FROM placed WHERE infra_type <> 'power')"
-EDGES = f"""raw AS (SELECT 's' || l_suppkey AS u, 'c' || o_custkey AS v, l_orderkey AS o1, l_linenumber AS o2, {_case("o_orderpriority", VOLTS)} AS volt_class,
+EDGES = f"""raw AS (SELECT 's' || l_suppkey AS u, 'c' || o_custkey AS v, l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, {_case("o_orderpriority", VOLTS)} AS volt_class,
  nullif(l_discount, 0) AS weight, l_quantity AS buffer_hours, CASE WHEN l_returnflag = 'R' THEN 'recovery' END AS layer FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 DIVISIONS = """div AS (SELECT n_nationkey AS division, -74.02e0 + (n_nationkey % 5) * 0.009e0 AS l, 40.7e0 + (n_nationkey // 5) * 0.01e0 AS b,
  -74.02e0 + (n_nationkey % 5) * 0.009e0 + 0.012e0 AS r, 40.7e0 + (n_nationkey // 5) * 0.01e0 + 0.013e0 AS t, (n_nationkey * 7 % 5) * 0.6e0 AS cold FROM nation)"""
@@ -302,11 +302,12 @@ def bidir_expand(spark, d):
 
 
 def edges(spark, d) -> DataFrame:
-    return dedup.last_write_wins(raw_edges(spark, d), ["o1", "o2"])
+    rows = raw_edges(spark, d).withColumn("o4", F.col("buffer_hours"))
+    return dedup.last_write_wins(rows, ["o1", "o2", "o3", "o4"])
 
 
-_LAST = f"""{EDGES}, edge AS (SELECT u, v, arg_max(volt_class, [o1, o2]) FILTER (volt_class IS NOT NULL) AS volt_class, arg_max(weight, [o1, o2]) FILTER (weight IS NOT NULL) AS weight,
-arg_max(buffer_hours, [o1, o2]) FILTER (buffer_hours IS NOT NULL) AS buffer_hours, arg_max(layer, [o1, o2]) FILTER (layer IS NOT NULL) AS layer, min([o1, o2])[1] AS first_order FROM raw GROUP BY u, v)"""
+_LAST = f"""{EDGES}, edge AS (SELECT u, v, arg_max(volt_class, [o1, o2, o3, buffer_hours]) FILTER (volt_class IS NOT NULL) AS volt_class, arg_max(weight, [o1, o2, o3, buffer_hours]) FILTER (weight IS NOT NULL) AS weight,
+arg_max(buffer_hours, [o1, o2, o3, buffer_hours]) FILTER (buffer_hours IS NOT NULL) AS buffer_hours, arg_max(layer, [o1, o2, o3, buffer_hours]) FILTER (layer IS NOT NULL) AS layer, min([o1, o2, o3, buffer_hours])[1] AS first_order FROM raw GROUP BY u, v)"""
 
 
 @query(f"WITH {_LAST} SELECT * FROM edge")
@@ -362,9 +363,9 @@ def buffer_histogram(spark, d):
     return summaries.group_counts(raw_edges(spark, d), "buffer_hours")
 
 
-@query(f"""WITH {EDGES} SELECT volt_class, u, v, buffer_hours FROM (SELECT *, row_number() OVER (PARTITION BY volt_class ORDER BY o1, o2) AS k FROM raw WHERE buffer_hours > 0) WHERE k = 1""")
+@query(f"""WITH {EDGES} SELECT volt_class, u, v, buffer_hours FROM (SELECT *, row_number() OVER (PARTITION BY volt_class ORDER BY o1, o2, o3) AS k FROM raw WHERE buffer_hours > 0) WHERE k = 1""")
 def representative_edges(spark, d):
-    return summaries.first_of_each(raw_edges(spark, d).where("buffer_hours > 0"), "volt_class", [F.col("o1"), F.col("o2")]).select("volt_class", "u", "v", "buffer_hours")
+    return summaries.first_of_each(raw_edges(spark, d).where("buffer_hours > 0"), "volt_class", [F.col("o1"), F.col("o2"), F.col("o3")]).select("volt_class", "u", "v", "buffer_hours")
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
