@@ -307,7 +307,7 @@ def edges(spark, d) -> DataFrame:
 
 
 _LAST = f"""{EDGES}, edge AS (SELECT u, v, arg_max(volt_class, [o1, o2, o3, buffer_hours]) FILTER (volt_class IS NOT NULL) AS volt_class, arg_max(weight, [o1, o2, o3, buffer_hours]) FILTER (weight IS NOT NULL) AS weight,
-arg_max(buffer_hours, [o1, o2, o3, buffer_hours]) FILTER (buffer_hours IS NOT NULL) AS buffer_hours, arg_max(layer, [o1, o2, o3, buffer_hours]) FILTER (layer IS NOT NULL) AS layer, min([o1, o2, o3, buffer_hours])[1] AS first_order FROM raw GROUP BY u, v)"""
+arg_max(buffer_hours, [o1, o2, o3, buffer_hours]) FILTER (buffer_hours IS NOT NULL) AS buffer_hours, arg_max(layer, [o1, o2, o3, buffer_hours]) FILTER (layer IS NOT NULL) AS layer, CAST(min([o1, o2, o3, buffer_hours])[1] AS BIGINT) AS first_order FROM raw GROUP BY u, v)"""
 
 
 @query(f"WITH {_LAST} SELECT * FROM edge")
