@@ -65,7 +65,7 @@ class Hasher:
         n = len(self.sums) - width
         if n <= 0:
             return np.zeros(0, U)
-        return mix((self.sums[width:] - self.sums[:-width]) * self.inverse[:n] + U(width) * U(0xC2B2AE3D27D4EB4F))
+        return mix((self.sums[width:] - self.sums[:-width]) * self.inverse[:n] + U(width * 0xC2B2AE3D27D4EB4F % 2**64))
 
 
 def as_large(column) -> pa.Array:

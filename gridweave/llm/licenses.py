@@ -31,8 +31,10 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
 ]
 TOKEN = "[a-z0-9]+"
-#: Least cosine of a notice; words in at most this share of files tell a passage from prose.
-THRESHOLD, TELLING_SHARE = 0.6, 0.05
+#: Least cosine of a notice. Every template has one of these words, and so has any
+#: passage that is compared to them.
+THRESHOLD = 0.6
+TELLING = ["license", "licensed", "permission", "redistribution", "redistribute", "cc0", "domain"]
 #: Names of files that license their directory and all below, without regard to case.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 #: Documents of at most so many characters may stand as licence files.
@@ -77,7 +79,7 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     shaped = shape.groupBy("template", "license", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
     norms = shaped.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("t_norm"))
     shaped = ws.save(shaped.join(norms, "template").select("token", "template", "license", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")))
-    telling = F.array(*[F.lit(r.token) for r in weights.where(F.col("df") <= TELLING_SHARE * n_files).where("length(token) > 2").orderBy("token").collect()], F.lit("\0"))
+    telling = F.array(*[F.lit(w) for w in TELLING])
     holders = seen.where(F.arrays_overlap("words", telling)).select("key", "text").distinct()
     passages = holders.select("key", F.posexplode(F.split("text", PASSAGE_END)).alias("place", "passage"))
     passages = passages.select("key", "place", tokens(F.col("passage")).alias("words")).where(F.arrays_overlap("words", telling))

@@ -89,5 +89,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix_plan(docs, **options).groupBy("doc_id").agg(F.max("repeats").alias("_repeats")).withColumnRenamed("doc_id", "_id")
     id_col = options.get("id_col", "doc_id")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"])).where("_repeats > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"])).where(plan["_repeats"] > 0)
+    own = [docs[c] for c in docs.columns]
+    return joined.select(*own, F.explode(F.sequence(F.lit(1), plan["_repeats"])).alias("_copy_number")).select(*own)
