@@ -27,8 +27,8 @@ def node_layer(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     style = nodes.sparkSession.createDataFrame(STYLES, "infra_type string, colour string, size int")
     out = nodes.join(F.broadcast(style), "infra_type", "left").join(degrees(edges, nodes), "node_id")
     external = F.coalesce("external", F.lit(False))
-    caption = [F.concat(F.lit("<b>"), F.col("name"), F.lit("</b>")), segment("Type:", label("infra_type")), segment("Subtype:", "subtype")]
-    for c, text in (("operator", "Operator:"), ("tower_count", "Towers:"), ("routes", "Routes:"), ("address", "Address:"), ("brand", "Brand:"), ("depth_m", "Depth (m):")):
+    caption = [F.concat(F.lit("<b>"), F.col("name"), F.lit("</b>")), segment("Type:", label("infra_type"))]
+    for c, text in (("subtype", "Subtype:"), ("operator", "Operator:"), ("tower_count", "Towers:"), ("routes", "Routes:"), ("address", "Address:"), ("brand", "Brand:"), ("depth_m", "Depth (m):")):
         if c in nodes.columns:
             caption.append(segment(text, c))
     caption.append(F.concat(F.lit("<b>Edges:</b> "), F.col("out_degree").cast("string"), F.lit(" out, "), F.col("in_degree").cast("string"), F.lit(" in")))

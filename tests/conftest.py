@@ -23,3 +23,9 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def spark_once(spark):
+    """For property tests, which don't take a fixture made anew for each test."""
+    return spark
