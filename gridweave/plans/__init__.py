@@ -1 +1 @@
-
+"""Whole computations: nodes, edges, hazard overlay, vectors and render-ready tables."""

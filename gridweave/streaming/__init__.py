@@ -1 +1 @@
-
+"""No streaming operators: the computations that this library covers read whole layers."""
