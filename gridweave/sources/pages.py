@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.workspace import ship
+
 
 def http_text(url: str, timeout: float = 60.0) -> str:
     with urllib.request.urlopen(url, timeout=timeout) as r:
@@ -45,6 +47,7 @@ def feature_layer(spark: SparkSession, layer: str, box, properties: str, size: i
     With ``n_pages`` known (from the service's count) each page is fetched by a task of its
     own; otherwise pages are followed in one task until a short one.
     """
+    ship(spark)
     schema = f"properties struct<{properties}>, geometry struct<type:string,coordinates:string>"
     starts = spark.range(0, n_pages or 1, 1, n_pages or 1)
 
@@ -95,6 +98,7 @@ def overpass_query(box, tags: dict[str, list[str]], timeout: int = 60) -> str:
 
 def tiled_csv(spark: SparkSession, urls: list[str], schema: str, key: list[str], fetch: Callable[[str], str] = http_text, least: int = 50) -> DataFrame:
     """CSV answers of overlapping boxes, one a task, each key once: the first box's row."""
+    ship(spark)
     boxes = spark.createDataFrame(list(enumerate(urls)), "box int, url string").repartition(max(len(urls), 1))
 
     def run(rows):

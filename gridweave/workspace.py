@@ -7,11 +7,15 @@ executor never costs more than the step it was running.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[str, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
@@ -22,6 +26,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a context, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_gridweave_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "gridweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(path)
+    context._gridweave_shipped = True
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables that operators have made since the last call.
+
+    Results are lazy and read them: call this once results have been written.
+    """
+    while _made:
+        kind, name = _made.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            p = spark._jvm.org.apache.hadoop.fs.Path(name)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Workspace:
     """A folder of its own for one operator's intermediate tables."""
 
@@ -29,6 +64,12 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/ws-{uuid.uuid4().hex}"
         self._n = 0
+        ship(spark)
+        _made.append(("folder", self.root))
+
+    def own_table(self, name: str) -> None:
+        """Have ``clear`` drop a table of the catalog too."""
+        _made.append(("table", name))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the table read back."""
