@@ -18,6 +18,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.workspace import ship
+
+
 #: A stretch given to the tokenizer has about this many characters, unless no safe cut is near.
 STRETCH = 20_000
 #: A match always ends between a mark that isn't white and a white one; failing that, between
@@ -63,6 +66,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     ``decoded`` (binary). Null texts count as empty and give no ids. Each row is by itself: repeated
     rows give repeated results, an empty table an empty one, other columns are not read.
     """
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -41,6 +41,7 @@ class Blocks:
         block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(self.n)).cast("int").alias("block")
         dealt = docs.select(block, "*").repartition(self.n, "block")
         dealt.write.format("parquet").option("compression", "zstd").bucketBy(self.n, "block").saveAsTable(self.name)
+        ws.own_table(self.name)
         self.table = self.spark.table(self.name)
 
     def map(self, fn: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
@@ -54,9 +55,6 @@ class Blocks:
         sent = self.map(fn, SENT, answers)
         return self.ws.save(sent.groupBy("bucket").applyInArrow(judge, ANSWER))
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
 
 def _none(schema: str) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema

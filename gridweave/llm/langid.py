@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.arrays import BatchWords, Hasher, U, row_slices
+from gridweave.workspace import ship
+
 
 #: Longer words are cut after so many bytes, and longer pieces aren't used.
 WORD_BYTES, PIECE_BYTES = 48, 16
@@ -138,6 +140,7 @@ def train(docs: DataFrame, vocabulary_path: str) -> tuple[list[str], np.ndarray]
     One step of expectation maximisation from uniform pieces. The model is bounded by the
     vocabulary and ``MAX_LANGUAGES``; rows whose lang is null don't count.
     """
+    ship(docs.sparkSession)
     docs = docs.where("lang is not null").select("text", "lang")
     langs = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
@@ -173,6 +176,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_pa
     an empty table gives an empty result; other columns are not read.
     """
     langs, p = model
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.arrays import BatchWords, row_slices
-from gridweave.workspace import Workspace
+from gridweave.workspace import Workspace, ship
 
 #: Labelled rows that the lexicon is learnt from at most, by a seeded order.
 LABELLED_ROWS = 200_000
@@ -234,6 +234,7 @@ def toxicity(docs: DataFrame, lexicon, id_col: str = "doc_id", text_col: str = "
     are not read.
     """
     terms, stems, rigid, innocent = lexicon
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
