@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from gridweave.workspace import ship
 
-
 #: A stretch given to the tokenizer has about this many characters, unless no safe cut is near.
 STRETCH = 20_000
 #: A match always ends between a mark that isn't white and a white one; failing that, between
