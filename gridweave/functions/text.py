@@ -121,3 +121,13 @@ def segment(caption: str, value) -> Column:
     """"<b>caption</b> value", null where the value is null, empty or nan."""
     v = col(value).cast("string")
     return F.when((v != "") & (F.lower(v) != "nan"), F.concat(F.lit(f"<b>{caption}</b> "), v))
+
+
+def thousands(value) -> Column:
+    """A whole number with commas."""
+    return F.format_number(col(value), 0)
+
+
+def percent(part, whole) -> Column:
+    """"12.3%" of two numbers; a whole of zero gives 0.0%."""
+    return F.format_string("%.1f%%", F.coalesce(F.try_divide(col(part) * 100.0, col(whole).cast("double")), F.lit(0.0)))

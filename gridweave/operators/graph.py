@@ -155,3 +155,12 @@ def spring_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 50, node_id:
         pos += move / size[:, None] * np.minimum(size, heat)[:, None]
         heat *= 0.95
     return nodes.sparkSession.createDataFrame([(x, float(p[0]), float(p[1])) for x, p in zip(ids, pos, strict=True)], f"{node_id} {nodes.schema[node_id].dataType.simpleString()}, x double, y double")
+
+
+def stations_by_line(nodes: DataFrame, routes: str = "routes", node_id: str = "node_id", order: str = "ord") -> DataFrame:
+    """(line, stations): ids of each line's stations in node order."""
+    from gridweave.functions.text import tokens
+
+    rows = nodes.select(F.explode(tokens(routes)).alias("line"), order, node_id)
+    listed = F.array_sort(F.collect_list(F.struct(order, node_id)))
+    return rows.groupBy("line").agg(F.transform(listed, lambda x: x[node_id]).alias("stations"))

@@ -113,3 +113,12 @@ def tiled_csv(spark: SparkSession, urls: list[str], schema: str, key: list[str],
     raw = boxes.mapInPandas(run, "box int, line long, value string").select("box", "line", F.from_csv("value", schema).alias("r"))
     first = raw.groupBy(*[F.col(f"r.{k}") for k in key]).agg(F.min(F.struct("box", "line", "r")).alias("x"))
     return first.select("x.r.*")
+
+
+def download(url: str, path: str, chunk: int = 8192, timeout: float = 600.0) -> int:
+    """Save a large file to a path that Spark reads later, by chunks; the bytes written."""
+    n = 0
+    with urllib.request.urlopen(url, timeout=timeout) as r, open(path, "wb") as f:
+        while data := r.read(chunk):
+            n += f.write(data)
+    return n
