@@ -100,8 +100,11 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
+    from gridweave.llm import licenses
     from gridweave.llm.quality import STOP_WORDS
 
+    notices = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    telling = ", ".join(f"'{w}'" for w in licenses.TELLING)
     stop = ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
     return {
         "op1_mix_sources": r"""
@@ -121,6 +124,37 @@ ahead AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY k, doc_i
   CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 1 END AS whole FROM keyed),
 counted AS (SELECT *, whole + CASE WHEN 2 * before + size <= 2 * (target - whole * source_size) AND target - whole * source_size > 0 AND size > 0 THEN 1 ELSE 0 END AS repeats FROM ahead)
 SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS taken, CAST(repeats AS BIGINT) AS repeats, weight FROM counted
+""",
+        "op7_license_scan": rf"""
+WITH docs AS (SELECT doc_id, coalesce(source, 'unknown') AS source, text, '(?i)^(released|(this work is )?licensed) under [^.]*([.][0-9]+)*[.]?$' AS notice FROM documents),
+rows AS (SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 100 AS VARCHAR), CASE WHEN coalesce((regexp_matches(string_split(text, chr(10))[1], notice)
+  OR regexp_matches(string_split(text, chr(10))[-1], notice)) AND length(text) <= {licenses.LICENSE_CHARS}, false) THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END) AS path FROM docs),
+shape AS (SELECT template, license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS token FROM (VALUES {notices}) AS t(template, license, notice)),
+vocab AS (SELECT DISTINCT token FROM shape),
+seen AS (SELECT doc_id, path, text, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS words FROM rows),
+total AS (SELECT count(*) AS n FROM rows),
+found AS (SELECT token, count(*) AS df FROM (SELECT unnest(words) AS token FROM seen) JOIN vocab USING (token) GROUP BY token),
+weights AS (SELECT token, ln((n + 1.0e0) / (coalesce(df, 0) + 1.0e0)) + 1 AS idf FROM vocab LEFT JOIN found USING (token), total),
+shaped AS (SELECT template, license, token, count(*) * any_value(idf) AS w FROM shape JOIN weights USING (token) GROUP BY ALL),
+normed AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS t_weight FROM shaped),
+holders AS (SELECT DISTINCT doc_id, path, text FROM seen WHERE list_has_any(words, [{telling}])),
+cut AS (SELECT doc_id, path, string_split(regexp_replace(text, '([.;:!?])[ 	
+]', '' || chr(10), 'g'), chr(10)) AS parts FROM holders),
+placed AS (SELECT doc_id, path, unnest(range(len(parts))) AS place, unnest(parts) AS passage FROM cut),
+told AS (SELECT doc_id, path, place, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM placed),
+counted AS (SELECT doc_id, path, place, token, count(*) * coalesce(any_value(idf), any_value(ln(n + 1.0e0) + 1)) AS w
+  FROM (SELECT doc_id, path, place, unnest(words) AS token FROM told WHERE list_has_any(words, [{telling}])) LEFT JOIN weights USING (token), total GROUP BY doc_id, path, place, token),
+p AS (SELECT doc_id, path, place, sqrt(sum(w * w)) AS p_norm FROM counted GROUP BY ALL),
+dots AS (SELECT doc_id, path, place, template, license, sum(w * t_weight) AS dot FROM counted JOIN normed USING (token) GROUP BY ALL),
+scored AS (SELECT doc_id, path, license, round(dot / p_norm, 6) AS s FROM dots JOIN p USING (doc_id, path, place) WHERE round(dot / p_norm, 6) >= {licenses.THRESHOLD}e0),
+best AS (SELECT doc_id, path, license AS own, s AS own_s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY s DESC, license) AS k FROM scored) WHERE k = 1),
+known AS (SELECT r.doc_id, r.path, own, own_s, string_split(r.path, '/') AS parts FROM rows r LEFT JOIN best b ON b.doc_id = r.doc_id AND b.path = r.path),
+grants AS (SELECT folder, own AS license, own_s AS s FROM (SELECT array_to_string(parts[1:len(parts) - 1], '/') AS folder, own, own_s,
+  row_number() OVER (PARTITION BY array_to_string(parts[1:len(parts) - 1], '/') ORDER BY own_s DESC, own) AS k FROM known WHERE own IS NOT NULL AND parts[-1] = 'LICENSE') WHERE k = 1),
+asks AS (SELECT doc_id, path, d, array_to_string(parts[1:d], '/') AS folder FROM (SELECT DISTINCT doc_id, path, parts, unnest(range(0, len(parts))) AS d FROM known WHERE own IS NULL)),
+heirs AS (SELECT doc_id, path, folder, license, s FROM (SELECT a.doc_id, a.path, a.folder, g.license, g.s, row_number() OVER (PARTITION BY a.doc_id, a.path ORDER BY d DESC) AS k FROM asks a JOIN grants g USING (folder)) WHERE k = 1)
+SELECT k.doc_id, k.path, coalesce(own, h.license) AS license, coalesce(own_s, h.s, 0.0e0) AS similarity, CASE WHEN own IS NOT NULL THEN 'own' WHEN h.folder IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+  CASE WHEN own IS NULL THEN h.folder END AS license_path FROM known k LEFT JOIN heirs h ON h.doc_id = k.doc_id AND h.path = k.path
 """,
         "op9_near_vectors": """
 WITH RECURSIVE good AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
