@@ -235,9 +235,12 @@ def dedup_documents(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     cut = removed_spans(docs, width).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("text").alias("_text"), "n_removed")
     cut = Workspace(docs.sparkSession).save(cut.groupBy("_id", "_md5").agg(F.first("_text").alias("_text"), F.max("n_removed").alias("_removed")))
-    same = docs["doc_id"].eqNullSafe(cut["_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == cut["_md5"])
-    out = docs.join(cut, same).where((cut["_text"] != "") | (cut["_removed"] == 0))
-    new = {"text": F.when(cut["_removed"] > 0, cut["_text"]).otherwise(docs["text"])}
+    # texts come from the cut side, so only what else a row has is shuffled for the join
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("_row"), F.md5(F.coalesce("text", F.lit(""))).alias("_row_md5"), F.col("text").isNull().alias("_no_text"))
+    same = rows["_row"]["doc_id"].eqNullSafe(cut["_id"]) & (rows["_row_md5"] == cut["_md5"])
+    out = rows.join(cut, same).where((cut["_text"] != "") | (cut["_removed"] == 0))
+    new = {"text": F.when(~rows["_no_text"], cut["_text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut["_removed"] > 0, F.length(cut["_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return out.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(cut["_removed"] > 0, F.length(cut["_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(rows["_row"]["n_chars"])
+    return out.select(*[new.get(c, rows["_row"][c]).alias(c) for c in docs.columns])
