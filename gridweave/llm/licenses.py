@@ -6,6 +6,10 @@ words that licences share with prose weigh little.
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +35,9 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
 ]
 TOKEN = "[a-z0-9]+"
-#: Least cosine of a notice. Every template has one of these words, and so has any
-#: passage that is compared to them.
+#: Least cosine of a notice.
 THRESHOLD = 0.6
+#: The words by which the query's SQL picks passages; the scan itself doesn't use them.
 TELLING = ["license", "licensed", "permission", "redistribution", "redistribute", "cc0", "domain"]
 #: Names of files that license their directory and all below, without regard to case.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -52,6 +56,31 @@ def templates(spark) -> DataFrame:
     return spark.createDataFrame(rows, "template int, license string, notice string")
 
 
+def may_reach(weights: dict[int, dict[str, float]], threshold: float) -> Callable[[Column], Column]:
+    """Whether a text with these of the templates' words can have a passage of such a cosine.
+
+    A passage's cosine to a template is at most the norm of the template's weights of the words
+    that they share. So those words' squares sum to the threshold's at least, and one of them is
+    among the greatest weights, without which the others' squares don't.
+    """
+    least = max(threshold - 1e-6, 0.0) ** 2  # cosines are rounded
+    heads, sums = set(), []
+    for own in weights.values():
+        rest = sum(w * w for w in own.values())
+        for token, w in sorted(own.items(), key=lambda x: (-x[1], x[0])):
+            if rest + 1e-9 < least:
+                break
+            heads.add(token)
+            rest -= w * w
+        sums.append([(token, w * w) for token, w in sorted(own.items())])
+
+    def test(words: Column) -> Column:
+        reach = [sum((F.when(F.array_contains(words, t), F.lit(q)).otherwise(F.lit(0.0)) for t, q in own), F.lit(1e-9)) >= least for own in sums]
+        return F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(heads)])) & functools.reduce(operator.or_, reach)
+
+    return test
+
+
 def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """The licence of each file: its own, else that of the nearest directory above that has one.
 
@@ -79,10 +108,14 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     shaped = shape.groupBy("template", "license", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
     norms = shaped.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("t_norm"))
     shaped = ws.save(shaped.join(norms, "template").select("token", "template", "license", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")))
-    telling = F.array(*[F.lit(w) for w in TELLING])
-    holders = seen.where(F.arrays_overlap("words", telling)).select("key", "text").distinct()
+    by_template = {}
+    for r in shaped.collect():  # a row a word of a template
+        by_template.setdefault(r.template, {})[r.token] = r.t_weight
+    reaches = may_reach(by_template, threshold)
+    holders = seen.where(reaches(F.col("words"))).select("key", "text").distinct()
     passages = holders.select("key", F.posexplode(F.split("text", PASSAGE_END)).alias("place", "passage"))
-    passages = passages.select("key", "place", tokens(F.col("passage")).alias("words")).where(F.arrays_overlap("words", telling))
+    passages = passages.select("key", "place", tokens(F.col("passage")).alias("words"))
+    passages = passages.withColumn("shared", F.array_intersect("words", vocabulary)).where(reaches(F.col("shared")))
     counted = passages.select("key", "place", F.explode("words").alias("token")).groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("tf"))
     counted = counted.join(F.broadcast(weights.select("token", "idf")), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest))
     counted = ws.save(counted)

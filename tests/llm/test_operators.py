@@ -1,6 +1,7 @@
 """Every operator over odd rows and empty tables, and against plain versions."""
 
 import base64
+import collections
 import hashlib
 import math
 import random
@@ -313,6 +314,28 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_licenses_by_cosine_alone(spark):
+    notices = ["CC BY-SA 4.0", "Released under MIT.", "CC BY-NC 4.0", "Apache 2.0", "Under CC BY 4.0 since May."]
+    rows = [(i, f"p{i}/LICENSE", t) for i, t in enumerate(notices)]
+    rows += [(100 + i, f"p{i}/a/x.py", "some code of mine") for i in range(len(notices))] + [(200 + i, f"q/{i}.txt", f"plain prose number {i} of the town") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    tokens = lambda t: re.findall("[a-z0-9]+", t.lower())
+    df_of = collections.Counter(w for _, _, t in rows for w in set(tokens(t)))
+    vocabulary = {w for _, t in licenses.TEMPLATES for w in tokens(t)}
+    idf = lambda w: math.log((len(rows) + 1) / ((df_of[w] if w in vocabulary else 0) + 1)) + 1
+    vec = lambda t: {w: n * idf(w) for w, n in collections.Counter(tokens(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for i, _, text in rows:
+        best = 0.0
+        for passage in re.split(r"\n|(?<=[.;:!?])\s", text):
+            p = vec(passage)
+            best = max([best, *(sum(x * q.get(w, 0) for w, x in p.items()) / (norm(p) * norm(q) or 1) for q in (vec(t) for _, t in licenses.TEMPLATES))])
+        assert (got[i].basis == "own") == (best >= licenses.THRESHOLD), (text, best)
+        assert got[i].basis != "own" or abs(got[i].similarity - best) < 1e-5
+    assert [got[i].license for i in (0, 1, 2)] == [got[100 + i].license for i in (0, 1, 2)] == ["CC-BY-SA-4.0", "MIT", "CC-BY-NC-4.0"]
+
+
 # the others over odd rows
 
 
