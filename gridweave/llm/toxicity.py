@@ -8,9 +8,11 @@ purity, less if misspelt, more with another hit near, and less where it is quote
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -220,10 +222,74 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[dict[str, float
     return terms, stems, rigid, {r.word for r in crowd if r.n == 1}
 
 
-def _quoted(before: str, words_before: list[str]) -> bool:
-    """Whether what precedes a hit opens a quotation or reports speech."""
-    open_, close = max(before.rfind(x) for x in "“„«‹"), max(before.rfind(x) for x in "”»›")
-    return before.count('"') % 2 == 1 or open_ > close or any(x in REPORTING for x in words_before)
+#: Ends of paragraphs and marks of quotation, by family.
+_MARK = {
+    "straight": re.compile(rb'\n[ \t\r\x0b\x0c]*\n|"'),
+    "curly": re.compile(rb"\n[ \t\r\x0b\x0c]*\n|\xe2\x80[\x9c-\x9e]"),
+    "angle": re.compile(rb"\n[ \t\r\x0b\x0c]*\n|\xc2[\xab\xbb]"),
+    "single angle": re.compile(rb"\n[ \t\r\x0b\x0c]*\n|\xe2\x80[\xb9\xba]"),
+}
+_LOW, _LEFT, _RIGHT = "\u201e".encode(), "\u201c".encode(), "\u201d".encode()
+#: What may precede a word's first letter.
+_LEADING = re.compile(rb"(?:[^\x80-\xff\w]|\xe2\x80.|\xc2[\xa1\xab\xbb\xbf])*", re.S)
+_WORDLIKE = re.compile(rb"[\w\x80-\xff]")
+
+
+def _role(data: bytes, mark: re.Match, kind: str, opened: bytes | None) -> str:
+    """What a mark does: open, close, either, or inch, which closes only where nothing better does."""
+    m, before, after = mark[0], data[mark.start() - 1 : mark.start()] if mark.start() else b"", data[mark.end() : mark.end() + 1]
+    opens = bool(_WORDLIKE.match(after)) and not _WORDLIKE.match(before)
+    if kind == "straight":
+        if opens:
+            return "open"
+        if before.strip() and not _WORDLIKE.match(after):
+            return "inch" if before.isdigit() else "close"
+        return "inch" if before.isdigit() else "either"
+    if kind == "curly":
+        if m == _LOW or m == _LEFT and opened != _LOW:
+            return "open"
+        return "close" if opened else "open" if opens else "close"
+    if opened:
+        return "close" if m != opened else "open"
+    # the marks point outwards in French and Spanish, inwards in most German prints
+    return "open" if m in (b"\xc2\xab", b"\xe2\x80\xb9") or opens else "close"
+
+
+def quotations(data: bytes) -> list[list[tuple[int, int]]]:
+    """Quoted spans of a text (places of the opening and the closing mark), a list a family of marks.
+
+    One pass a family: a mark opens or closes by the letters and spaces beside it. A mark that
+    no other answers in its paragraph, or before the next opening mark, is stray and quotes nothing;
+    one after a digit may be an inch mark, so it closes only if no other mark does.
+    """
+    out = []
+    for kind, pattern in _MARK.items():
+        spans, at, opened, inch = [], -1, None, -1
+        for mark in pattern.finditer(data):
+            role = "end" if mark[0][:1] == b"\n" else _role(data, mark, kind, opened)
+            if role == "either":
+                role = "close" if opened else "open"
+            if role == "close" and opened:
+                spans.append((at, mark.start()))
+                opened, inch = None, -1
+            elif role == "inch" and opened and inch < 0:
+                inch = mark.start()
+            elif role in ("open", "end"):
+                if opened and inch >= 0:
+                    spans.append((at, inch))
+                at, opened, inch = (mark.start(), mark[0], -1) if role == "open" else (-1, None, -1)
+        if opened and inch >= 0:
+            spans.append((at, inch))
+        out.append(spans)
+    return out
+
+
+def is_quoted(spans: list[list[tuple[int, int]]], at: int) -> bool:
+    for own in spans:
+        k = bisect.bisect_right(own, (at,)) - 1
+        if k >= 0 and own[k][0] < at < own[k][1]:
+            return True
+    return False
 
 
 def toxicity(docs: DataFrame, lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -248,15 +314,20 @@ def toxicity(docs: DataFrame, lexicon, id_col: str = "doc_id", text_col: str = "
                     weight[k], spelt[k] = own.match(x)
             hits = np.flatnonzero(weight[w.of] > 0)
             miss, n_hits = np.full(len(b), 1 - BASE), np.zeros(len(b), np.int64)
+            known = -1
             for i, h in enumerate(hits):
                 doc = w.doc[h]
+                if doc != known:  # hits come by document
+                    known, base = doc, w.offsets[doc]
+                    data = w.buf[base : w.offsets[doc + 1]].tobytes()
+                    spans = quotations(data)
                 near = any(0 <= k < len(hits) and w.doc[hits[k]] == doc and abs(hits[k] - h) <= WINDOW for k in (i - 1, i + 1))
                 p = weight[w.of[h]]
                 if near and not spelt[w.of[h]]:
                     p = p * CLUSTERED / MISSPELT
-                a = max(w.offsets[doc], w.start[h] - 20 * WINDOW)
+                letter = _LEADING.match(data, w.start[h] - base, w.end[h] - base).end()
                 prior = [w.letters[w.of[k]] for k in range(max(0, h - 4), h) if w.doc[k] == doc]
-                if _quoted(w.buf[a : w.start[h] + 3].tobytes().decode("utf-8", "ignore"), prior):
+                if is_quoted(spans, letter) or any(x in REPORTING for x in prior):
                     p *= QUOTED
                 miss[doc] *= 1 - p
                 n_hits[doc] += 1

@@ -181,6 +181,36 @@ def test_toxic_context(spark):
     assert got[3][1] > got[1][1]
 
 
+def test_toxic_quotations_of_any_length(spark):
+    lexicon = ({"idiot": 0.97}, {}, frozenset(), set())
+    long = "many quiet words about the town and its river " * 8
+    direct = [
+        f'"{long.strip()}." you idiot, you idiot',
+        f"\u201c{long.strip()}.\u201d you idiot, you idiot",
+        f"\u201e{long.strip()}.\u201c you idiot, you idiot",
+        f"\u00ab {long.strip()} \u00bb you idiot, you idiot",
+        'a 5" pipe, you idiot, you idiot',
+        'a stray "mark, you idiot, you idiot',
+        f'a stray "mark.\n\n{long} you idiot, "fine" you idiot',
+        f'"fine" {long} you idiot, you idiot "fine"',
+    ]
+    quoted = [
+        f'They read out "{long} you idiot {long.strip()}" and left',
+        f'They read out "a 5" pipe {long} you idiot" and left',
+        f"They read out \u201c{long} you idiot {long.strip()}\u201d and left",
+        f"Sie lasen \u201e{long} idiot {long.strip()}\u201c und gingen",
+        f"Ils lisent \u00ab {long} idiot {long.strip()} \u00bb et partent",
+        f"Sie lasen \u00bb{long} idiot {long.strip()}\u00ab und gingen",
+        'They read out "idiot" and left',
+        'They read out "you are 5" and "idiot" and left',
+    ]
+    docs = spark.createDataFrame(list(enumerate(direct + quoted)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, lexicon).collect()}
+    assert [got[i].predicted for i in range(len(direct))] == [1] * len(direct)
+    assert all(got[i].n_hits == 2 and got[i].score > 0.99 for i in range(len(direct)))
+    assert [got[len(direct) + i].predicted for i in range(len(quoted))] == [0] * len(quoted)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
