@@ -35,6 +35,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, ws: Workspace):
         self.ws, self.spark = ws, docs.sparkSession
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.bytes = total
         size = min(max(BLOCK_BYTES[0], total // 20_000), BLOCK_BYTES[1])
         self.n = max(1, -(-total // size))
         self.name = f"blocks_{uuid.uuid4().hex}"

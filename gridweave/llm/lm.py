@@ -1,28 +1,33 @@
 """LM scoring: Brown class-based bigrams.
 
 Exchange clustering moves words between classes while the likelihood of class bigrams
-grows. The most frequent words are exchanged one by one over their bigram counts; every
-other word joins, in one distributed exchange step over all of its contexts, the coarse group
-that its neighbours' groups make likeliest. A token's probability is that of its class
+grows. The most frequent words are first exchanged one by one over their bigram counts; all others
+are dealt to groups by hash. Then every word of the corpus, frequent or not, moves in distributed
+exchange steps over all of its contexts (classes of its neighbours now, the end included), until
+a step raises the likelihood by next to nothing. A token's probability is that of its class
 after the class before it times that of the word in its class.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.arrays import LOWER, U, Hasher, as_large, buffer_of, slices, word_spans
-from gridweave.llm.exchange import Blocks, as_table, groups, judge_bits, read_bits, send
+from gridweave.llm.exchange import ANSWER, SENT, Blocks, as_table, bucket_of, groups, judge_bits, read_bits, send
 from gridweave.workspace import Workspace
 
-#: Words that are exchanged one by one (their bigram counts are all that the driver holds),
-#: their classes, and the coarse groups of all other words.
-FREQUENT, CLASSES, COARSE = 1000, 32, 7
-#: Classes of other words: one a coarse group, and one for words that no frequent word is beside.
-GROUPS = COARSE + 1
+#: Words that are exchanged one by one on the driver to begin with and classes that they begin in,
+#: for a corpus of up to ``SMALL`` bytes; both grow with larger ones, by the sixth and the fourth root.
+FREQUENT, CLASSES, SMALL = 1000, 32, 1 << 27
+#: More classes: all other words begin in these, dealt by hash, for words that begin alike move alike.
+GROUPS = 8
+#: Exchange steps go on while one raises the likelihood by so much a token (natural logarithm).
+LEAST_RISE = 0.002
 #: Pseudo-counts that draw a class's successors to the classes' overall shares.
 TRANSITION_PRIOR = 5.0
 _END = U(0x0E4D0E4D0E4D0E4D)
@@ -117,14 +122,14 @@ def exchange_clusters(bigrams: np.ndarray, free: int, classes: int, fixed: int,
 
 
 class Model:
-    """Classes of frequent words and groups, transition and emission tables; of bounded size."""
+    """First classes of words, transition and emission tables; as large as the classes and the frequent words."""
 
-    def __init__(self, n_tokens, n_types, words, fine, coarse):
+    def __init__(self, n_tokens, n_types, words, fine, _coarse=None, classes=CLASSES):
         self.n_tokens, self.n_types = n_tokens, n_types
         order = np.argsort(words)
-        self.words, self.fine, self.coarse = words[order], fine[order], coarse[order]
-        self.end, self.rare = CLASSES, CLASSES + 1
-        self.size = CLASSES + 1 + GROUPS
+        self.words, self.fine = words[order], fine[order]
+        self.end, self.rare = classes, classes + 1
+        self.size = classes + 1 + GROUPS
 
     def frequent(self, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the frequent words, whether there)."""
@@ -134,7 +139,7 @@ class Model:
         return at, self.words[at] == types
 
     def classes(self, types, group) -> np.ndarray:
-        """Class of each type: fine, end, or the rare class of its group."""
+        """First class of each type: fine, end, or the class of its group."""
         at, there = self.frequent(types)
         out = self.rare + group.astype(np.int64)
         out[there] = self.fine[at[there]]
@@ -145,13 +150,13 @@ class Model:
         size = bigrams.sum(0)
         share = (size + 0.5) / (size.sum() + 0.5 * self.size)
         step = (bigrams + TRANSITION_PRIOR * share) / (bigrams.sum(1, keepdims=True) + TRANSITION_PRIOR)
-        unseen = np.zeros(self.size)
-        unseen[self.rare :] = (once[self.rare :] + 0.5) / (size[self.rare :] + 1)
+        unseen = (once + 0.5) / (size + 1)
+        unseen[self.end] = 0
         self.class_size, self.keep = np.maximum(size, 1), 1 - unseen
         self.log_step = np.log10(step)
         new = step * unseen
         self.log_new = np.log10(new.sum(1))
-        self.new_class = self.rare + np.argmax(new[:, self.rare :], axis=1)
+        self.new_class = np.argmax(new, axis=1)
 
     def score(self, cls, count) -> np.ndarray:
         """log10 probability of each token of consecutive documents, from its class and training count."""
@@ -165,6 +170,51 @@ class Model:
         return np.where(seen, known, self.log_new[before])
 
 
+def _nlogn(x):
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(bigrams: np.ndarray) -> float:
+    """The part of a training text's log likelihood that the words' classes change."""
+    return float(_nlogn(bigrams).sum() - _nlogn(bigrams.sum(1)).sum() - _nlogn(bigrams.sum(0)).sum())
+
+
+def best_classes(own: np.ndarray, word: np.ndarray, cell: np.ndarray, count: np.ndarray, bigrams: np.ndarray, end: int, chunk: int = 20_000) -> np.ndarray:
+    """Class of each word, after the step that raises the likelihood most were it to move alone.
+
+    ``own`` is each word's class; ``cell`` is the class of a neighbour before, or the number of classes
+    plus that of one after, and ``count`` how often, ascending by ``word``.
+    """
+    size = len(bigrams)
+    sides = np.concatenate([bigrams, bigrams.T]).astype(float)  # by cell: classes beside it
+    margins = bigrams.sum(0).astype(float), bigrams.sum(1).astype(float)
+    bars = margins[0] + margins[1] == 0  # all would move to an empty class together
+    bars[end] = True
+    out = own.copy()
+    edges = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(edges):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + chunk)))
+        a, b = edges[at], edges[to] if to < len(edges) else len(word)
+        n, w, c = count[a:b].astype(float), word[a:b], cell[a:b]
+        starts, ws = edges[at:to] - a, word[edges[at:to]]
+        rows, mine = np.arange(b - a), own[w]
+        base = sides[c]
+        base[rows, mine] -= n
+        gain = np.add.reduceat(_nlogn(base + n[:, None]) - _nlogn(base), starts, axis=0)
+        rows, mine = np.arange(len(ws)), own[ws]
+        for k, margin in enumerate(margins):
+            total = np.add.reduceat(np.where(c // size == k, n, 0.0), starts)
+            base = np.tile(margin, (len(ws), 1))
+            base[rows, mine] -= total
+            gain -= _nlogn(base + total[:, None]) - _nlogn(base)
+        gain[:, bars] = -np.inf
+        best = np.argmax(gain, axis=1)
+        out[ws] = np.where(gain[rows, best] > gain[rows, mine] + 1e-9, best, mine)
+        at = to
+    return out
+
+
 def _cells(row: np.ndarray, col: np.ndarray, width: int) -> pa.Table:
     cell, n = np.unique(row * width + col, return_counts=True)
     return pa.table([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
@@ -194,6 +244,8 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     id_type = narrow.schema["doc_id"].dataType.simpleString()
     blocks = Blocks(narrow, ws)
     n = blocks.n
+    most = int(FREQUENT * max(1.0, blocks.bytes / SMALL) ** (1 / 6))
+    n_classes = int(CLASSES * max(1.0, blocks.bytes / SMALL) ** (1 / 4))
 
     def ask_counts(table, _):
         t = Tokens(table)
@@ -206,7 +258,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
             out = _sums(order, first, vals)
             keys = np.concatenate([np.frombuffer(x.as_py(), U) for x in table.column("keys")])
             each, total = keys[order][first], out[order][first]
-            top = np.lexsort((each, -total))[: FREQUENT + 1]
+            top = np.lexsort((each, -total))[: most + 1]
             facts.append((-1, 0, _FACTS, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()))
             facts.append((-1, 0, _TOP, each[top].tobytes() + total[top].tobytes()))
             return out
@@ -231,7 +283,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     facts = counts.where("block = -1").mapInArrow(unpack, "kind long, key long, num long")
     n_tokens, n_types = facts.where(F.col("kind") == _FACTS).agg(F.coalesce(F.sum("key"), F.lit(0)), F.coalesce(F.sum("num"), F.lit(0))).first()
     signed_end = int(np.array([_END], U).view(np.int64)[0])
-    top = facts.where((F.col("kind") == _TOP) & (F.col("num") > 0) & (F.col("key") != signed_end)).orderBy(F.desc("num"), "key").limit(FREQUENT).toPandas()
+    top = facts.where((F.col("kind") == _TOP) & (F.col("num") > 0) & (F.col("key") != signed_end)).orderBy(F.desc("num"), "key").limit(most).toPandas()
     words = top["key"].to_numpy(np.int64).view(U)
     answers = counts.where("block >= 0")
 
@@ -253,66 +305,109 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         x = places(t)[t.type]
         return _cells(t.before(x, free)[t.train], x[t.train], width)
 
-    # the driver gets counts between frequent words only: FREQUENT squared cells at any size
+    # the driver gets counts between frequent words only, a number that grows by the cube root of the corpus at most
     bigrams = _collect_cells(blocks.map(word_bigrams, "cell long, n long"), width, width)
-    fine = exchange_clusters(bigrams, free, CLASSES, 2)[:free]
-    coarse_all = exchange_clusters(bigrams, free, COARSE, 2)
-    model = Model(int(n_tokens), int(n_types), words, fine, coarse_all[:free])
-    near = np.zeros((COARSE + 2, COARSE + 2))
-    np.add.at(near, (np.repeat(coarse_all, width), np.tile(coarse_all, width)), bigrams.ravel())
-    near = (near + near.T)[:COARSE, :COARSE] + 0.5
-    log_near = np.log(near / near.sum(0))
-
-    def rare_types(t: Tokens) -> np.ndarray:
-        return np.flatnonzero(~model.frequent(t.types)[1] & (t.types != _END))
-
-    def ask_groups(table, _):
-        t = Tokens(table)
-        at, there = model.frequent(t.types)
-        group = np.where(there, model.coarse[at], -1)[t.type] if free else np.full(len(t.key), -1)
-        own = rare_types(t)
-        place = np.full(len(t.types), -1)
-        place[own] = np.arange(len(own))
-        place = place[t.type]
-        cell = []
-        for beside in (t.before(group, -1), np.r_[group[1:], [-1]]):
-            ok = t.train & (place >= 0) & (beside >= 0)
-            cell.append(place[ok] * COARSE + beside[ok])
-        seen = np.bincount(np.concatenate(cell).astype(np.int64), minlength=len(own) * COARSE).reshape(-1, COARSE)
-        return as_table(send(t.block, _GROUP, n, t.types[own], seen.astype(np.uint32)))
-
-    def judge_groups(table):
-        def verdict(kind, order, first, vals):
-            v = _sums(order, first, vals.astype(np.int64))
-            return np.where(v.any(1), np.argmax(v @ log_near.T, axis=1), COARSE).astype(np.uint8)
-
-        return judge_bits(table, verdict, {}, {_GROUP: (np.uint32, COARSE)})
+    fine = exchange_clusters(bigrams, free, n_classes, 2)[:free]
+    model = Model(int(n_tokens), int(n_types), words, fine, classes=n_classes)
+    size, end = model.size, model.end
 
-    answers = ws.save(answers.unionByName(blocks.ask(ask_groups, judge_groups)))
-
-    def with_classes(table, said):
-        """Tokens, training count of each type in the corpus, class of each type."""
+    def with_classes(table, said, moved):
+        """Tokens, training count of each type in the corpus, class of each type, which types are words."""
         t = Tokens(table)
-        own = rare_types(t)
-        group = np.zeros(len(t.types), np.uint8)
-        group[own] = read_bits(said, _GROUP, n, t.types[own], np.uint8)
-        return t, read_bits(said, _COUNT, n, t.types, np.int64), model.classes(t.types, group)
-
-    size = model.size
-
-    def class_bigrams(table, said):
-        t, count, cls = with_classes(table, said)
+        count = read_bits(said, _COUNT, n, t.types, np.int64)
+        own = np.flatnonzero(t.types != _END)
+        if moved:
+            cls = np.full(len(t.types), end, np.int64)
+            cls[own] = read_bits(said, _GROUP, n, t.types[own], np.uint16)
+        else:
+            cls = model.classes(t.types, (t.types >> U(40)) % U(GROUPS))
+        return t, count, cls, own
+
+    def ask_contexts(table, said, moved):
+        """Each word's class, whether it occurs once, and how often which class is beside it in training."""
+        t, count, cls, own = with_classes(table, said, moved)
         x = cls[t.type]
-        once = t.train & (count[t.type] == 1)
-        row, col = np.r_[t.before(x, model.end)[t.train], np.full(int(once.sum()), size)], np.r_[x[t.train], x[once]]
-        return _cells(row, col, size)
-
-    sums = _collect_cells(blocks.map(class_bigrams, "cell long, n long", answers), size, size + 1)
+        after = np.r_[x[1:], [end]]
+        word = t.train & (t.types[t.type] != _END)
+        key = np.r_[t.type[word] * (2 * size) + t.before(x, end)[word], t.type[word] * (2 * size) + size + after[word]]
+        cells, times = np.unique(key, return_counts=True)
+        of = cells // (2 * size)
+        bucket = bucket_of(t.types, n)
+        rows = []
+        for row in send(t.block, _GROUP, n, t.types[own], cls[own].astype(np.uint16)):
+            mine = own[bucket[own] == row[1]]  # ascending, as the row's keys
+            part = np.flatnonzero(bucket[of] == row[1])
+            place = np.searchsorted(mine, of[part]).astype(np.int32)
+            told = (cls[mine].astype(np.uint16), count[mine] == 1, place, (cells[part] % (2 * size)).astype(np.uint16), times[part].astype(np.uint32))
+            rows.append((*row[:4], pickle.dumps(told, 5)))
+        return as_table(rows)
+
+    def add_contexts(table):
+        """A bucket's words with summed contexts, and its part of the class bigrams."""
+        keys = [np.frombuffer(x.as_py(), U) for x in table.column("keys")]
+        told = [pickle.loads(x.as_py()) for x in table.column("vals")]
+        types, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        cuts = np.cumsum([0, *map(len, keys)])
+        own, once = np.zeros(len(types), np.int64), np.zeros(len(types), bool)
+        own[inverse], once[inverse] = np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told])
+        key = np.concatenate([inverse[a + x[2]] * (2 * size) + x[3] for a, x in zip(cuts, told, strict=False)])
+        order, first, cells = groups(key)
+        count = np.concatenate([x[4] for x in told]).astype(np.int64)[order]
+        count = np.add.reduceat(count, first) if len(first) else count
+        word, cell = cells // (2 * size), cells % (2 * size)
+        right, ahead = cell >= size, cell == end
+        at = np.r_[own[word[right]] * size + cell[right] - size, end * size + own[word[ahead]], size * size + own[once]]
+        add = np.bincount(at.astype(np.int64), np.r_[count[right], count[ahead], np.ones(int(once.sum()))], size * (size + 1)).astype(np.int64)
+        some = np.flatnonzero(add)
+        kept = (own.astype(np.uint16), word.astype(np.int32), cell.astype(np.uint16), count, table.column("block").to_pylist(), [inverse[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)])
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "facts": [some.astype(np.int64).tobytes() + add[some].tobytes()], "words": [pickle.dumps(kept, 5)]})
+
+    def facts_of(batches):
+        for b in batches:
+            parts = [np.frombuffer(x, np.int64).reshape(2, -1) for x in b.column("facts").to_pylist()]
+            both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["cell", "n"])
+
+    def moves(table_of_bigrams):
+        def run(batches):
+            for b in batches:
+                for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist(), strict=True):
+                    own, word, cell, count, asked, places_of = pickle.loads(raw)
+                    cls = best_classes(own.astype(np.int64), word, cell.astype(np.int64), count, table_of_bigrams, end).astype(np.uint16)
+                    yield from as_table([(k, bucket, _GROUP, cls[x].tobytes()) for k, x in zip(asked, places_of, strict=True)], ["block", "bucket", "kind", "bits"]).to_batches()
+
+        return run
+
+    n_docs = blocks.table.where("train").count()
+    best, moved = None, None
+    while True:
+        said = answers if moved is None else answers.unionByName(moved)
+        known = moved is not None
+        sent = blocks.map(lambda table, got, known=known: ask_contexts(table, got, known), SENT, said)
+        step = ws.save(sent.groupBy("bucket").applyInArrow(add_contexts, "bucket int, facts binary, words binary"))
+        sums = _collect_cells(step.select("facts").mapInArrow(facts_of, "cell long, n long"), size, size + 1)
+        sums[end, end] = n_docs - sums[:size, end].sum()  # texts without words
+        new = likelihood(sums[:size].astype(float)) / max(1, model.n_tokens), sums, moved
+        rise = new[0] - best[0] if best else np.inf
+        if rise > 0:
+            if best and best[2] is not None:
+                ws.drop(best[2])
+            best = new
+        if rise < LEAST_RISE or not model.n_tokens:
+            break
+        moved = ws.save(step.select("bucket", "words").mapInArrow(moves(sums[:size]), ANSWER))
+        ws.drop(step)
+        del sent, step, said
+        ws.spark._jvm.System.gc()  # Spark deletes the shuffle files of tables that are let go
+    _, sums, moved = best
+    said = answers if moved is None else answers.unionByName(moved)
     model.fit(sums[:size].astype(float), sums[size].astype(float))
     base_total = np.log10(model.n_tokens + 0.5 * (model.n_types + 1))
 
+    has_moved = moved is not None
+
     def last(table, said):
-        t, count, cls = with_classes(table, said)
+        t, count, cls, _ = with_classes(table, said, has_moved)
         c = count[t.type]
         per = lambda x: np.add.reduceat(x, t.first)
         base, score = per(np.log10(c + 0.5) - base_total), per(model.score(cls[t.type], c))
@@ -320,4 +415,4 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         cols = [pa.array(~train), pa.array(t.n), pa.array(per((c > 0).astype(np.int64))), pa.array(np.full(len(t.n), model.n_tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / t.n))]
         return pa.table([table.column("doc_id"), *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return blocks.map(last, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", answers)
+    return blocks.map(last, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", said)

@@ -68,3 +68,46 @@ def test_no_training_rows_and_empty(spark):
     got = lm.lm_scores(docs, F.lit(True)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 0, 0), (3, 0, 0)]
     assert lm.lm_scores(docs.limit(0), F.lit(None).cast("boolean")).count() == 0
+
+
+def test_rare_words_are_classed_by_rare_neighbours(spark, monkeypatch):
+    import random
+
+    # no word of the pairs is frequent: first and second halves meet only each other and the end
+    monkeypatch.setattr(lm, "FREQUENT", 1)
+    r = random.Random(4)
+    say = lambda: f"a{r.randint(0, 60)} b{r.randint(0, 60)}"
+    rows = [(i, say()) for i in range(3000)] + [(5000 + i, "the") for i in range(4000)]
+    rows += [(9001, "a1 b1"), (9002, "b1 a1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs, F.col("doc_id") > 9000).where("doc_id > 9000").collect()}
+    assert got[9001] > got[9002] + 2
+
+
+def test_best_classes_is_the_likelihoods():
+    import numpy as np
+
+    rng = np.random.RandomState(5)
+    n, size, end = 30, 5, 4
+    pairs = rng.poisson(0.6, (n + 1, n + 1))
+    np.fill_diagonal(pairs, 0)
+    cls = np.r_[rng.randint(0, 4, n), end]
+
+    def table(c):
+        out = np.zeros((size, size))
+        np.add.at(out, (np.repeat(c, n + 1), np.tile(c, n + 1)), pairs.ravel())
+        return out
+
+    word, cell, count = [], [], []
+    for w in range(n):
+        both = np.r_[np.bincount(cls, pairs[:, w], size), np.bincount(cls, pairs[w], size)]
+        for c in np.flatnonzero(both):
+            word, cell, count = [*word, w], [*cell, c], [*count, both[c]]
+    got = lm.best_classes(cls[:n], np.array(word), np.array(cell), np.array(count), table(cls), end, chunk=7)
+    assert (got != end).all()
+    risen = 0
+    for w in np.flatnonzero(got != cls[:n]):
+        alone = cls.copy()
+        alone[w] = got[w]
+        risen += lm.likelihood(table(alone)) > lm.likelihood(table(cls))
+    assert risen >= 0.8 * (got != cls[:n]).sum() > 0
