@@ -7,6 +7,7 @@ executor never costs more than the step it was running.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -14,13 +15,14 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[str, str]] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not master.split("-cluster")[0].startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/gridweave-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,20 +45,6 @@ def ship(spark: SparkSession) -> None:
     context._gridweave_shipped = True
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables that operators have made since the last call.
-
-    Results are lazy and read them: call this once results have been written.
-    """
-    while _made:
-        kind, name = _made.pop()
-        if kind == "table":
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        else:
-            p = spark._jvm.org.apache.hadoop.fs.Path(name)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Workspace:
     """A folder of its own for one operator's intermediate tables."""
 
@@ -64,27 +52,53 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/ws-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[str] = []
+        self._tables: list[str] = []
         ship(spark)
-        _made.append(("folder", self.root))
 
     def own_table(self, name: str) -> None:
-        """Have ``clear`` drop a table of the catalog too."""
-        _made.append(("table", name))
+        """Have a table of the catalog dropped with the others."""
+        self._tables.append(name)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the table read back."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.option("compression", "zstd").parquet(path)
+        self._paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         for df in tables:
-            path = getattr(df, "_workspace_path", None)
-            if path:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(getattr(df, "_workspace_path", None))
+
+    def _delete(self, path: str | None) -> None:
+        if path in self._paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._paths.remove(path)
+
+    def clear(self) -> None:
+        """Delete all tables saved here."""
+        for path in list(self._paths):
+            self._delete(path)
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
+        self.release()
+
+    def release(self) -> None:
+        """Let go of tables that nothing refers to; Spark then deletes their shuffle files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Save a result and delete all that was saved here before, which ``df`` may read."""
+        before, self._paths = self._paths, []
+        out = self.save(df)
+        kept, self._paths = self._paths, before
+        self.clear()
+        self._paths = kept
+        return out
