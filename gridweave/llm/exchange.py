@@ -1,15 +1,19 @@
-"""Questions about 64-bit keys of a whole corpus, asked by blocks of documents.
-
-Documents lie in blocks of bounded size. In a round every block sends its
-distinct keys, packed by bucket into one row a bucket; each bucket then sees all
-blocks' claims on its keys and packs an answer for each block, in the order of
-the keys that block sent. Keys are distinct within a block, so a key that a third
-of all documents share reaches its bucket once a block, and no task ever holds more
-than a block or a bucket. Spark deals out and recovers both; numpy works inside.
+"""Questions about keys of a whole corpus, asked by blocks of documents.
+
+Documents lie in blocks of bounded size. In a round every block sends its distinct
+keys, packed by bucket into one row a bucket; each bucket then sees all blocks' claims
+on its keys and packs an answer for each block, in the order of the keys that
+block sent. Keys are distinct within a block, so a key that a third of all documents
+share reaches its bucket once a block, and no task ever holds more than a block or a
+bucket. Spark deals out and recovers both; numpy works inside.
+
+Blocks and buckets both grow with the corpus up to a bound, so a round has a row for
+each block and bucket, but never more rows than keys.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -17,39 +21,63 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gridweave.llm.arrays import U, mix
 from gridweave.workspace import Workspace
 
-#: Least and greatest text bytes of a block; between them blocks grow with the corpus, which
-#: keeps rows of a round (blocks times buckets) few.
-BLOCK_BYTES = (4 << 20, 64 << 20)
+#: Least and greatest text bytes of a block, and greatest text bytes whose keys a bucket gets; between
+#: them blocks and buckets grow with the corpus.
+BLOCK_BYTES, BUCKET_BYTES = (4 << 20, 64 << 20), 256 << 20
+#: Blocks of one part of the table at most: Spark allows 100,000 buckets; more blocks make more parts.
+TABLE_BLOCKS = 50_000
 SENT = "block int, bucket int, kind int, keys binary, vals binary"
 ANSWER = "block int, bucket int, kind int, bits binary"
 _SENT_NAMES = ["block", "bucket", "kind", "keys", "vals"]
 
 
 class Blocks:
-    """Documents (doc_id, text and more) in a table bucketed by block, so that rounds don't shuffle texts again."""
+    """Documents (doc_id, text and more) in a table bucketed by block, so that rounds don't shuffle texts again.
 
-    def __init__(self, docs: DataFrame, ws: Workspace):
+    A row's block follows from its id and text, so rows that repeat an id or lack one spread out.
+    ``prepare`` may turn each block's rows to rows of ``schema`` (with a block column) that are
+    written in their stead.
+    """
+
+    def __init__(self, docs: DataFrame, ws: Workspace, prepare: Callable | None = None, schema: StructType | None = None):
         self.ws, self.spark = ws, docs.sparkSession
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.bytes = total
         size = min(max(BLOCK_BYTES[0], total // 20_000), BLOCK_BYTES[1])
         self.n = max(1, -(-total // size))
+        self.n_buckets = max(1, -(-total // min(max(BLOCK_BYTES[0], total // 20_000), BUCKET_BYTES)))
+        block = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(self.n)).cast("int").alias("block")
+        m = min(self.n, TABLE_BLOCKS)
+        dealt = docs.select(block, "*").repartition(m, "block")
+        if prepare is not None:
+            dealt = dealt.groupBy("block").applyInArrow(prepare, schema)
+        part = F.floor(F.col("block") / TABLE_BLOCKS).cast("int").alias("_part")
         self.name = f"blocks_{uuid.uuid4().hex}"
-        block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(self.n)).cast("int").alias("block")
-        dealt = docs.select(block, "*").repartition(self.n, "block")
-        dealt.write.format("parquet").option("compression", "zstd").bucketBy(self.n, "block").saveAsTable(self.name)
+        dealt.select(part, "*").write.format("parquet").option("compression", "zstd").partitionBy("_part").bucketBy(m, "block").saveAsTable(self.name)
         ws.own_table(self.name)
-        self.table = self.spark.table(self.name)
+        self.parts = -(-self.n // TABLE_BLOCKS)
+
+    def _each_part(self):
+        """(rows of a part, condition of its blocks)."""
+        table = self.spark.table(self.name)
+        for k in range(self.parts):
+            yield table.where(F.col("_part") == k).drop("_part"), F.col("block").between(k * TABLE_BLOCKS, (k + 1) * TABLE_BLOCKS - 1)
 
-    def map(self, fn: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
+    def map(self, fn: Callable, schema: str | StructType, answers: DataFrame | None = None) -> DataFrame:
         """Apply ``fn(texts, answers)`` to each block; answers is None without such a table."""
-        if answers is None:
-            return self.table.groupBy("block").applyInArrow(lambda t: fn(t, None), schema)
-        return self.table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: fn(t, a) if t.num_rows else _none(schema), schema)
+        out = []
+        for table, own in self._each_part():
+            if answers is None:
+                out.append(table.groupBy("block").applyInArrow(lambda t: fn(t, None), schema))
+            else:
+                out.append(table.groupBy("block").cogroup(answers.where(own).groupBy("block")).applyInArrow(lambda t, x: fn(t, x) if t.num_rows else none_of(schema), schema))
+        return functools.reduce(DataFrame.unionByName, out)
 
     def ask(self, fn: Callable, judge: Callable, answers: DataFrame | None = None) -> DataFrame:
         """A round: blocks send by ``fn``, buckets answer by ``judge``; the saved answers."""
@@ -57,11 +85,8 @@ class Blocks:
         return self.ws.save(sent.groupBy("bucket").applyInArrow(judge, ANSWER))
 
 
-def _none(schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+def none_of(schema: str | StructType) -> pa.Table:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,16 +101,19 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (mix(keys ^ U(0x5851F42D4C957F2D)) % U(n)).astype(np.int32)
 
 
+def dealt_out(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, places in that order where each of ``n`` buckets begins, and the end)."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+
+
 def send(block: int, kind: int, n: int, keys: np.ndarray, vals: np.ndarray | None = None, key_bytes: int = 8) -> list[tuple]:
     """Rows for distinct ``keys``, one a bucket, each in ascending order of keys."""
-    b = bucket_of(keys, n)
-    order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(n + 1))
+    order, cuts = dealt_out(bucket_of(keys, n), n)
     rows = []
     for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
         at = order[cuts[i] : cuts[i + 1]]
-        raw = np.ascontiguousarray(keys[at].view(np.uint8).reshape(-1, 8)[:, :key_bytes]).tobytes()
-        rows.append((block, int(i), kind, raw, b"" if vals is None else np.ascontiguousarray(vals[at]).tobytes()))
+        rows.append((block, int(i), kind, pack_keys(keys[at], key_bytes), b"" if vals is None else np.ascontiguousarray(vals[at]).tobytes()))
     return rows
 
 
@@ -95,6 +123,10 @@ def as_table(rows: list[tuple], names: list[str] = _SENT_NAMES) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
+def pack_keys(keys: np.ndarray, key_bytes: int) -> bytes:
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :key_bytes]).tobytes()
+
+
 def unpack_keys(raw: bytes, key_bytes: int = 8) -> np.ndarray:
     if key_bytes == 8:
         return np.frombuffer(raw, U)
@@ -109,7 +141,7 @@ def judge_bits(table: pa.Table, verdict: Callable, key_bytes: dict[int, int], va
 
     ``verdict(kind, order, first, vals)`` gets the claims on keys in groups and returns a
     boolean (packed to a bit) or a value of fixed size for each claim, in the order of the
-    claims. ``val_type``: by kind, the dtype of vals, or (dtype, columns).
+    claims. ``val_type``: by kind, the dtype of vals.
     """
     rows = []
     kinds = np.asarray(table.column("kind").to_numpy())
@@ -119,9 +151,7 @@ def judge_bits(table: pa.Table, verdict: Callable, key_bytes: dict[int, int], va
         own = np.flatnonzero(kinds == kind)
         parts = [unpack_keys(keys_col[int(i)].as_py(), key_bytes.get(int(kind), 8)) for i in own]
         vt = val_type.get(int(kind))
-        vt, width = vt if isinstance(vt, tuple) else (vt, 0)
         vals = np.concatenate([np.frombuffer(vals_col[int(i)].as_py(), vt) for i in own]) if vt is not None else None
-        vals = vals.reshape(-1, width) if width else vals
         order, first, _ = groups(np.concatenate(parts))
         said = verdict(int(kind), order, first, vals)
         at = 0
@@ -132,12 +162,10 @@ def judge_bits(table: pa.Table, verdict: Callable, key_bytes: dict[int, int], va
     return as_table(rows, ["block", "bucket", "kind", "bits"])
 
 
-def read_bits(answers: pa.Table, kind: int, n: int, keys: np.ndarray, dtype=bool) -> np.ndarray:
-    """The answers of one kind, in the order of ``keys`` (the distinct keys as they were sent)."""
-    b = bucket_of(keys, n)
-    order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(n + 1))
-    out = np.zeros(len(keys), dtype)
+def read_bits(answers: pa.Table, kind: int, n: int, keys: np.ndarray, dtype=bool, bucket: np.ndarray | None = None) -> np.ndarray:
+    """The answers of one kind, in the order of ``keys`` (as they were sent; ``bucket`` where it doesn't follow from them)."""
+    order, cuts = dealt_out(bucket_of(keys, n) if bucket is None else bucket, n)
+    out = np.zeros(len(order), dtype)
     for k, i, raw in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
         if k == kind:
             at = order[cuts[i] : cuts[i + 1]]

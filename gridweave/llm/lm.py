@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from gridweave.llm.arrays import LOWER, U, Hasher, as_large, buffer_of, slices, word_spans
-from gridweave.llm.exchange import ANSWER, SENT, Blocks, as_table, bucket_of, groups, judge_bits, read_bits, send
+from gridweave.llm.exchange import ANSWER, SENT, Blocks, as_table, bucket_of, dealt_out, groups, judge_bits, read_bits, send
 from gridweave.workspace import Workspace
 
 #: Words that are exchanged one by one on the driver to begin with and classes that they begin in,
@@ -30,34 +31,48 @@ GROUPS = 8
 LEAST_RISE = 0.002
 #: Pseudo-counts that draw a class's successors to the classes' overall shares.
 TRANSITION_PRIOR = 5.0
+#: A block's words times classes up to which contexts are counted in a table.
+DENSE = 1 << 24
 _END = U(0x0E4D0E4D0E4D0E4D)
 _COUNT, _GROUP, _FACTS, _TOP = 1, 2, 8, 9
 
 
+def encode(table: pa.Table) -> pa.Table:
+    """A block's texts as token numbers: ``tokens`` of each document, ``types`` (their hashes) in the first row.
+
+    Tokens are the words of each document, A-Z lower-cased, then one end.
+    """
+    buf, offsets = buffer_of(as_large(table.column("text")))
+    keys, docs = [], []
+    for i, j in slices(offsets):
+        data = LOWER[buf[offsets[i] : offsets[j]]]
+        s, e, t = word_spans(data, offsets[i : j + 1] - offsets[i])
+        keys.append(Hasher(data).spans(s, e))
+        docs.append(t + i)
+    word, doc = np.concatenate(keys or [np.zeros(0, U)]), np.concatenate(docs or [np.zeros(0, np.int64)])
+    n_docs = len(offsets) - 1
+    key = np.full(len(word) + n_docs, _END, U)
+    key[np.arange(len(word)) + doc] = word
+    order, first, types = groups(key)
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.r_[first, len(order)]))
+    ends = np.r_[0, 4 * np.cumsum(np.bincount(doc, minlength=n_docs) + 1)].astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer(ends), pa.py_buffer(number.tobytes())])
+    said = pa.array([types.tobytes()] + [b""] * (n_docs - 1), pa.binary())
+    return pa.table([*(table.column(c) for c in ("block", "doc_id", "train")), tokens, said], names=["block", "doc_id", "train", "tokens", "types"])
+
+
 class Tokens:
-    """A block's tokens in order: the words of each document, A-Z lower-cased, then one end."""
+    """A block's tokens in order, as numbers of its types, and the types' hashes in ascending order."""
 
     def __init__(self, table: pa.Table):
-        buf, offsets = buffer_of(as_large(table.column("text")))
+        raw, offsets = buffer_of(as_large(table.column("tokens")))
         self.block = int(table.column("block")[0].as_py())
-        train = table.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        keys, docs = [], []
-        for i, j in slices(offsets):
-            data = LOWER[buf[offsets[i] : offsets[j]]]
-            s, e, t = word_spans(data, offsets[i : j + 1] - offsets[i])
-            keys.append(Hasher(data).spans(s, e))
-            docs.append(t + i)
-        word, doc = np.concatenate(keys or [np.zeros(0, U)]), np.concatenate(docs or [np.zeros(0, np.int64)])
-        n_docs = len(offsets) - 1
-        self.n = np.bincount(doc, minlength=n_docs) + 1
-        ends = np.cumsum(self.n) - 1
-        self.key = np.full(len(word) + n_docs, _END, U)
-        self.key[np.arange(len(word)) + doc] = word
-        self.first = ends - self.n + 1
-        self.train = np.repeat(train, self.n)
-        order, first, self.types = groups(self.key)
-        self.type = np.empty(len(order), np.int64)
-        self.type[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+        self.types = np.frombuffer(max((x.as_py() for x in table.column("types")), key=len), U)
+        self.type = np.frombuffer(raw.tobytes(), np.uint32).astype(np.int64)
+        self.n = np.diff(offsets) // 4
+        self.first = np.cumsum(self.n) - self.n
+        self.train = np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), self.n)
 
     def count(self) -> np.ndarray:
         """Training tokens of each type."""
@@ -242,8 +257,9 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     flag = F.coalesce(held_out, F.lit(False))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (~flag).alias("train"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    blocks = Blocks(narrow, ws)
-    n = blocks.n
+    kinds = [StructField("block", IntegerType()), *narrow.select("doc_id", "train").schema, StructField("tokens", BinaryType()), StructField("types", BinaryType())]
+    blocks = Blocks(narrow, ws, encode, StructType(kinds))
+    n = blocks.n_buckets
     most = int(FREQUENT * max(1.0, blocks.bytes / SMALL) ** (1 / 6))
     n_classes = int(CLASSES * max(1.0, blocks.bytes / SMALL) ** (1 / 4))
 
@@ -327,18 +343,24 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         """Each word's class, whether it occurs once, and how often which class is beside it in training."""
         t, count, cls, own = with_classes(table, said, moved)
         x = cls[t.type]
-        after = np.r_[x[1:], [end]]
-        word = t.train & (t.types[t.type] != _END)
-        key = np.r_[t.type[word] * (2 * size) + t.before(x, end)[word], t.type[word] * (2 * size) + size + after[word]]
-        cells, times = np.unique(key, return_counts=True)
+        word = np.flatnonzero(t.train & (t.types != _END)[t.type])
+        row, width = t.type[word] * (2 * size), len(t.types) * 2 * size
+        key = np.r_[row + t.before(x, end)[word], row + size + np.r_[x[1:], [end]][word]]
+        if width <= DENSE:
+            times = np.bincount(key, minlength=width)
+            cells = np.flatnonzero(times)
+            times = times[cells]
+        else:
+            cells, times = np.unique(key, return_counts=True)
         of = cells // (2 * size)
         bucket = bucket_of(t.types, n)
-        rows = []
+        order, cuts = dealt_out(bucket[of], n)
+        rows, kinds_of = [], np.bincount(of, minlength=len(t.types))
+        o_order, o_cuts = dealt_out(bucket[own], n)
         for row in send(t.block, _GROUP, n, t.types[own], cls[own].astype(np.uint16)):
-            mine = own[bucket[own] == row[1]]  # ascending, as the row's keys
-            part = np.flatnonzero(bucket[of] == row[1])
-            place = np.searchsorted(mine, of[part]).astype(np.int32)
-            told = (cls[mine].astype(np.uint16), count[mine] == 1, place, (cells[part] % (2 * size)).astype(np.uint16), times[part].astype(np.uint32))
+            mine = own[o_order[o_cuts[row[1]] : o_cuts[row[1] + 1]]]  # ascending, as the row's keys
+            part = order[cuts[row[1]] : cuts[row[1] + 1]]
+            told = (cls[mine].astype(np.uint16), count[mine] == 1, kinds_of[mine].astype(np.int32), (cells[part] % (2 * size)).astype(np.uint16), times[part].astype(np.uint32))
             rows.append((*row[:4], pickle.dumps(told, 5)))
         return as_table(rows)
 
@@ -350,7 +372,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         cuts = np.cumsum([0, *map(len, keys)])
         own, once = np.zeros(len(types), np.int64), np.zeros(len(types), bool)
         own[inverse], once[inverse] = np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told])
-        key = np.concatenate([inverse[a + x[2]] * (2 * size) + x[3] for a, x in zip(cuts, told, strict=False)])
+        key = np.concatenate([np.repeat(inverse[a:b], x[2]) * (2 * size) + x[3] for a, b, x in zip(cuts, cuts[1:], told, strict=True)])
         order, first, cells = groups(key)
         count = np.concatenate([x[4] for x in told]).astype(np.int64)[order]
         count = np.add.reduceat(count, first) if len(first) else count
@@ -359,7 +381,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         at = np.r_[own[word[right]] * size + cell[right] - size, end * size + own[word[ahead]], size * size + own[once]]
         add = np.bincount(at.astype(np.int64), np.r_[count[right], count[ahead], np.ones(int(once.sum()))], size * (size + 1)).astype(np.int64)
         some = np.flatnonzero(add)
-        kept = (own.astype(np.uint16), word.astype(np.int32), cell.astype(np.uint16), count, table.column("block").to_pylist(), [inverse[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)])
+        kept = (own.astype(np.uint16), word.astype(np.int32), cell.astype(np.uint16), count, table.column("block").to_pylist(), [inverse[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=True)])
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "facts": [some.astype(np.int64).tobytes() + add[some].tobytes()], "words": [pickle.dumps(kept, 5)]})
 
     def facts_of(batches):
@@ -378,7 +400,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
 
         return run
 
-    n_docs = blocks.table.where("train").count()
+    n_docs = narrow.where("train").count()
     best, moved = None, None
     while True:
         said = answers if moved is None else answers.unionByName(moved)
@@ -398,7 +420,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         moved = ws.save(step.select("bucket", "words").mapInArrow(moves(sums[:size]), ANSWER))
         ws.drop(step)
         del sent, step, said
-        ws.spark._jvm.System.gc()  # Spark deletes the shuffle files of tables that are let go
+        ws.release()
     _, sums, moved = best
     said = answers if moved is None else answers.unionByName(moved)
     model.fit(sums[:size].astype(float), sums[size].astype(float))
@@ -415,4 +437,4 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         cols = [pa.array(~train), pa.array(t.n), pa.array(per((c > 0).astype(np.int64))), pa.array(np.full(len(t.n), model.n_tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / t.n))]
         return pa.table([table.column("doc_id"), *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return blocks.map(last, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", said)
+    return ws.finish(blocks.map(last, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", said))

@@ -64,6 +64,66 @@ def test_small_blocks_and_cut_texts(spark, monkeypatch):
     assert digest_rows(substrings.removed_spans(docs)) == brute(rows)
 
 
+def test_crowded_anchors_and_many_parts(spark, monkeypatch):
+    from gridweave.llm import exchange
+
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", (2000, 2000))
+    monkeypatch.setattr(exchange, "TABLE_BLOCKS", 4)  # as if Spark allowed a table so many buckets
+    monkeypatch.setattr(substrings, "CROWD", 2)
+    rows = corpus(3) + [(None, f"{i} of those without an id, of whom there are many more than one") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest_rows(substrings.removed_spans(docs)) == brute(rows)
+
+
+def test_a_repeated_id_and_null_ids_spread(spark, monkeypatch):
+    from gridweave.llm import exchange
+    from gridweave.workspace import Workspace
+
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", (2000, 2000))
+    docs = spark.createDataFrame([(i % 2 or None, f"text {i} " * 20) for i in range(200)], "doc_id long, text string")
+    ws = Workspace(spark)
+    blocks = exchange.Blocks(docs, ws)
+    most = spark.table(blocks.name).groupBy("block").count().agg({"count": "max"}).first()[0]
+    ws.clear()
+    assert blocks.n > 10 and most < 60
+
+
+def test_radix_groups_are_equal_suffixes(monkeypatch):
+    import numpy as np
+
+    r = random.Random(6)
+    for width in (3, 8, 21, 50):
+        buf = np.frombuffer("".join(r.choice("ab") * r.choice([1, 9, 40]) for _ in range(60)).encode(), np.uint8)
+        n = len(buf) - width + 1
+        group = np.array([r.randint(0, 2) for _ in range(n)], np.uint64)
+        label = substrings.radix_groups(group, substrings.Suffixes(buf, np.arange(n), np.full(n, width)))
+        key = [(int(g), buf[i : i + width].tobytes()) for i, g in enumerate(group)]
+        by = {}
+        for k, x in zip(key, label.tolist(), strict=True):
+            by.setdefault(k, set()).add(x)
+        assert all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
+
+
+def test_equality_is_of_bytes_not_of_hashes(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(substrings, "ORDERED", 5)
+    r = random.Random(7)
+    runs = ["".join(r.choice("xy") for _ in range(9 + r.randint(0, 3))) for _ in range(80)]
+    ids = np.array([r.randint(0, 20) for _ in runs])
+    n = np.array([len(x) - 9 + 1 for x in runs])
+    key = np.array([r.randint(0, 3) for _ in runs], np.uint64)
+    bits = substrings.gone_windows(key, n, ids, np.frombuffer("".join(runs).encode(), np.uint8), 9)
+    for i, x in enumerate(runs):
+        for j in range(n[i]):
+            w = x[j : j + 9]
+            gone = any(key[k] == key[i] and ids[k] < ids[i] and w in y for k, y in enumerate(runs))
+            assert bool(bits[i] >> np.uint32(j) & np.uint32(1)) == gone
+    same = np.zeros(3, np.uint64)  # one hash, two strings
+    label = substrings._equal_spans(np.frombuffer(b"abcabdabc", np.uint8), same, np.array([0, 3, 6]), np.full(3, 3))
+    assert label[0] == label[2] != label[1]
+
+
 def test_pieces_cover_every_window_once():
     import numpy as np
 
@@ -83,10 +143,10 @@ def test_empty_table(spark):
 
 def test_dedup_documents_keeps_columns(spark):
     p = "a passage of more than fifty bytes, so that it repeats; " * 2
-    docs = spark.createDataFrame([(1, p, "en", 5), (2, p, "en", 5), (3, p + "own words", None, 5), (4, None, "en", 0), (5, "", None, 0)], "doc_id long, text string, lang string, n_chars long")
+    docs = spark.createDataFrame([(1, p, "en", 5), (2, p, "en", 5), (3, p + "own words", None, 5), (4, None, "en", 0), (5, "", None, 0), (6, "é" * 30, "fr", 30), (7, "x" + "é" * 30, "fr", 31), (None, p, "de", 1)], "doc_id long, text string, lang string, n_chars long")
     out = substrings.dedup_documents(docs)
     assert out.columns == docs.columns
-    assert {r.doc_id: r.text for r in out.collect()} == {1: p, 3: "own words", 4: None, 5: ""}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: p, 3: "own words", 4: None, 5: "", 6: "é" * 30, 7: "x"}
 
 
 def test_word_spans_do_not_cross_texts():
