@@ -372,7 +372,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         cuts = np.cumsum([0, *map(len, keys)])
         own, once = np.zeros(len(types), np.int64), np.zeros(len(types), bool)
         own[inverse], once[inverse] = np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told])
-        key = np.concatenate([np.repeat(inverse[a:b], x[2]) * (2 * size) + x[3] for a, b, x in zip(cuts, cuts[1:], told, strict=True)])
+        key = np.concatenate([np.repeat(inverse[a:b], x[2]) * (2 * size) + x[3] for a, b, x in zip(cuts[:-1], cuts[1:], told, strict=True)])
         order, first, cells = groups(key)
         count = np.concatenate([x[4] for x in told]).astype(np.int64)[order]
         count = np.add.reduceat(count, first) if len(first) else count
@@ -381,7 +381,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         at = np.r_[own[word[right]] * size + cell[right] - size, end * size + own[word[ahead]], size * size + own[once]]
         add = np.bincount(at.astype(np.int64), np.r_[count[right], count[ahead], np.ones(int(once.sum()))], size * (size + 1)).astype(np.int64)
         some = np.flatnonzero(add)
-        kept = (own.astype(np.uint16), word.astype(np.int32), cell.astype(np.uint16), count, table.column("block").to_pylist(), [inverse[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=True)])
+        kept = (own.astype(np.uint16), word.astype(np.int32), cell.astype(np.uint16), count, table.column("block").to_pylist(), [inverse[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "facts": [some.astype(np.int64).tobytes() + add[some].tobytes()], "words": [pickle.dumps(kept, 5)]})
 
     def facts_of(batches):
