@@ -95,15 +95,13 @@ class Suffixes:
     """Suffixes of a byte buffer, each of a length of its own, with digits of eight bytes."""
 
     def __init__(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        padded = np.r_[buf, np.zeros(8, np.uint8)].astype(U)
-        self.words = padded[: len(buf) + 1]
-        for k in range(1, 8):
-            self.words = (self.words << U(8)) | padded[k : len(buf) + 1 + k]
+        padded = np.r_[buf, np.zeros(8, np.uint8)]
+        self.words = np.ndarray(len(buf) + 1, ">u8", padded, strides=(1,))  # at every byte, unaligned
         self.starts, self.lengths, self.last = starts, lengths, len(buf)
 
     def digit(self, k: int, rows: np.ndarray) -> np.ndarray:
         left = np.clip(self.lengths[rows] - 8 * k, 0, 8)
-        x = self.words[np.minimum(self.starts[rows] + 8 * k, self.last)]
+        x = self.words[np.minimum(self.starts[rows] + 8 * k, self.last)].astype(U)
         short = left < 8
         if short.any():
             x = np.where(left > 0, x >> (U(8) * np.minimum(8 - left, 7).astype(U)), U(0))
@@ -235,13 +233,12 @@ def _survivors(table, answers, n_buckets, width):
     """What is left of a block after the sieve: runs to order whole, and windows of crowded anchors."""
     block, buf, offsets, ids = _block(table)
     runs = Runs(buf, offsets, width)
-    order, new, _ = _anchors(runs)
-    keys, first = runs.anchor[order][new], np.flatnonzero(new)
+    order, first, keys = groups(runs.anchor)
     here = np.zeros(0, bool)
     if len(keys):
         docs = runs.doc[order]
         here = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
-    short = np.unique(keys & _MASK)
+    short = groups(keys & _MASK)[2]
     said = read_bits(answers, _SIEVE, n_buckets, short, np.uint8)[np.searchsorted(short, keys & _MASK)] if len(keys) else np.zeros(0, np.uint8)
     fate = np.empty(len(order), np.uint8)
     fate[order] = np.repeat(np.where(said > 0, said, here.astype(np.uint8)), np.diff(np.r_[first, len(order)]))
@@ -282,8 +279,8 @@ def _cut(docs: DataFrame, width: int, answer, schema: StructType) -> tuple[DataF
         order, new, new_run = _anchors(runs)
         keys = runs.anchor[order][new] & _MASK
         many = np.add.reduceat(new_run.astype(np.int64), np.flatnonzero(new)) if len(keys) else np.zeros(0, np.int64)
-        short, of = np.unique(keys, return_inverse=True)
-        many = np.minimum(np.bincount(of, many, len(short)), 255).astype(np.uint8)
+        order, first, short = groups(keys)
+        many = np.minimum(np.add.reduceat(many[order], first), 255).astype(np.uint8) if len(keys) else many.astype(np.uint8)
         return as_table(send(block, _SIEVE, n, short, many, key_bytes=SHORT))
 
     def pass_sieve(_kind, order, first, vals):
