@@ -28,7 +28,7 @@ FREQUENT, CLASSES, SMALL = 1000, 32, 1 << 27
 #: More classes: all other words begin in these, dealt by hash, for words that begin alike move alike.
 GROUPS = 8
 #: Exchange steps go on while one raises the likelihood by so much a token (natural logarithm).
-LEAST_RISE = 0.002
+LEAST_RISE = 0.02
 #: Pseudo-counts that draw a class's successors to the classes' overall shares.
 TRANSITION_PRIOR = 5.0
 #: A block's words times classes up to which contexts are counted in a table.
@@ -203,6 +203,8 @@ def best_classes(own: np.ndarray, word: np.ndarray, cell: np.ndarray, count: np.
     size = len(bigrams)
     sides = np.concatenate([bigrams, bigrams.T]).astype(float)  # by cell: classes beside it
     margins = bigrams.sum(0).astype(float), bigrams.sum(1).astype(float)
+    small_base = _nlogn(sides)
+    small = [_nlogn(sides + k) - small_base for k in range(1, 5)]  # what most counts add
     bars = margins[0] + margins[1] == 0  # all would move to an empty class together
     bars[end] = True
     out = own.copy()
@@ -214,9 +216,15 @@ def best_classes(own: np.ndarray, word: np.ndarray, cell: np.ndarray, count: np.
         n, w, c = count[a:b].astype(float), word[a:b], cell[a:b]
         starts, ws = edges[at:to] - a, word[edges[at:to]]
         rows, mine = np.arange(b - a), own[w]
-        base = sides[c]
-        base[rows, mine] -= n
-        gain = np.add.reduceat(_nlogn(base + n[:, None]) - _nlogn(base), starts, axis=0)
+        rises = np.empty((b - a, size))
+        for k, table in enumerate(small, 1):
+            few = n == k
+            rises[few] = table[c[few]]
+        many = np.flatnonzero(n > len(small))
+        rises[many] = _nlogn(sides[c[many]] + n[many, None]) - small_base[c[many]]
+        at_home = sides[c, mine] - n
+        rises[rows, mine] = _nlogn(at_home + n) - _nlogn(at_home)
+        gain = np.add.reduceat(rises, starts, axis=0)
         rows, mine = np.arange(len(ws)), own[ws]
         for k, margin in enumerate(margins):
             total = np.add.reduceat(np.where(c // size == k, n, 0.0), starts)
