@@ -30,12 +30,28 @@ RECALL = 0.9999
 SMALL, DEPTH, ALIKE = 256, 6, 0.5
 #: Sets that are compared to tell whether a node is alike throughout.
 PROBES = 24
+#: Nodes with more than this share of all rows are joined by broadcast; there are fewer of them than this.
+HEAVY = 2000
 
 
 def runs_for(threshold: float, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold has met in some first split with the chance ``recall``."""
-    miss = math.exp(-BRANCH * threshold)
-    return math.ceil(math.log(1 - recall) / math.log(miss))
+    """Runs after which a pair at the threshold has met with the chance ``recall``, even if every node on its way is split to ``DEPTH``."""
+    meets = 1.0
+    for _ in range(DEPTH):  # a path goes on if one of the shared children's does
+        meets = 1 - math.exp(-BRANCH * threshold * meets)
+    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+
+
+def join_sized(rows: DataFrame, sized: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``rows`` joined to ``sized``, which has a row a key with ``m``, its rows.
+
+    Keys with more than a ``HEAVY``-th of all rows are fewer than ``HEAVY``, so they are broadcast; a task
+    of the others' shuffle gets no more than that of one key.
+    """
+    heavy = F.col("m") > max(n_rows // HEAVY, 1)
+    hot = F.broadcast(sized.where(heavy))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(sized.where(~heavy), key))
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +97,12 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
     """
     ws = Workspace(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = _similar(narrow, ws, threshold)
+    return ws.finish(out.select("doc_id", "copy_of", "n_links", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept")))
+
+
+def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
+    """A row per row of (doc_id, text): doc_id, text_key (of its text), copy_of, n_links, class_id, and whether its set leads its class."""
 
     def sketch(batches):
         for b in batches:
@@ -95,9 +117,10 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
                     sums.append(own.sum().tobytes() + mix(own + U(1)).sum().tobytes() if len(own) else b"")
                     low = np.partition(own, SKETCH - 1)[:SKETCH] if len(own) > SKETCH else own
                     least.append(np.sort(low).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sums, pa.binary()), pa.array(least, pa.binary())], ["doc_id", "size", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(sums, pa.binary()), pa.array(least, pa.binary())], ["doc_id", "text_key", "size", "digest", "sketch"])
 
-    sets = ws.save(narrow.mapInArrow(sketch, "doc_id long, size long, digest binary, sketch binary"))
+    keyed = narrow.withColumn("text_key", text_key(F.col("text")))
+    sets = ws.save(keyed.mapInArrow(sketch, "doc_id long, text_key string, size long, digest binary, sketch binary"))
     joinable = F.col("doc_id").isNotNull() & (F.col("size") > 0)
     alike = sets.where(joinable).groupBy("size", "digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     alike = ws.save(alike.withColumn("id", F.xxhash64("size", "digest")))
@@ -142,22 +165,23 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
     leaves = None
     for depth in range(1, DEPTH + 1):
         rows = ws.save(rows)
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        met = ws.save(rows.join(sizes, "node"))
+        n_rows = rows.count()
+        sizes = ws.save(rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        met = ws.save(join_sized(rows, sizes, "node", n_rows))
         ws.drop(rows)
         large = met.where(F.col("m") > SMALL)
         if depth == DEPTH or large.isEmpty():
             leaves = met if leaves is None else leaves.unionByName(met)
             break
         probe = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(PROBES))
-        held = ws.save(large.join(alike.select("id", "sketch"), "id"))
+        held = ws.save(large.drop("m").join(alike.select("id", "sketch"), "id"))
         probes = held.groupBy("node", probe.alias("_p")).agg(F.min(F.struct("id", "sketch")).alias("x"))
         probes = probes.groupBy("node").agg(F.collect_list("x.sketch").alias("sketches"))
-        mean = ws.save(probes.mapInArrow(mean_similarity, "node long, mean double"))
-        dense = mean.where(F.col("mean") >= ALIKE).select("node")
-        ready = met.where(F.col("m") <= SMALL).unionByName(large.join(dense, "node", "left_semi"))
+        mean = sizes.join(probes.mapInArrow(mean_similarity, "node long, mean double"), "node")
+        told = ws.save(join_sized(held, ws.save(mean), "node", n_rows))
+        ready = met.where(F.col("m") <= SMALL).unionByName(told.where(F.col("mean") >= ALIKE).select("node", "id", "m"))
         leaves = ready if leaves is None else leaves.unionByName(ready)
-        rows = held.join(dense, "node", "left_anti").select("node", "id", "sketch").mapInArrow(descend, "node long, id long")
+        rows = told.where(F.col("mean") < ALIKE).select("node", "id", "sketch").mapInArrow(descend, "node long, id long")
     leaves = ws.save(leaves.select("node", "id", "m"))
     paths = leaves.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     members = ws.save(alike.join(paths, "id").select("id", "doc", "size", "copies", "sketch", "nodes"))
@@ -196,11 +220,10 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
                 for k in range(j - i):
                     own = tok[cut[k] : cut[k + 1]]
                     digest.append(own.sum().tobytes() + mix(own + U(1)).sum().tobytes() if len(own) else b"")
-                    out.append((own >> U(32)).astype(np.uint32).tobytes())
+                    out.append(own.tobytes())
                     size.append(len(own))
             yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], ["size", "digest", "tokens"])
 
-    # whole sets, as 32-bit hashes: two of a thousand tokens fall together in one pair of ten thousand
     tokens = words.mapInArrow(whole, "size long, digest binary, tokens binary")
     tokens = tokens.groupBy(F.xxhash64("size", "digest").alias("id")).agg(F.first("tokens").alias("tokens"))
     tiles = gather(active, 2000, max(active.count(), 1)).join(tokens, "id")
@@ -213,7 +236,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
         for own in each_tile(node, lo, hi, ids):
             if len(own) < 2:
                 continue
-            both = _overlaps([np.frombuffer(raw[int(i)].as_py(), np.uint32) for i in own])
+            both = _overlaps([np.frombuffer(raw[int(i)].as_py(), U) for i in own])
             z = size[own].astype(np.float64)
             ok = (both >= threshold * (z[:, None] + z[None, :] - both) - 1e-6) & pairs_mask(part[own], lo[own[0]], hi[own[0]])
             if not ok.any():
@@ -230,12 +253,21 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
     group = ws.save(components(links, ws, "id", "root"))
     total = links.groupBy("id").agg(F.sum("n").alias("n"))
     told = ws.save(alike.select("size", "digest", "id", "doc", "copies").join(total, "id", "left").join(group, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    smallest = told.groupBy("component").agg(F.min("doc").alias("class_id"))
-    told = told.join(smallest, "component")
-    told = told.select(F.col("size").alias("_size"), F.col("digest").alias("_digest"), F.col("doc").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "class_id")
-    linked = sets.where(joinable).join(told, (sets["size"] == told["_size"]) & (sets["digest"] == told["_digest"])).select("doc_id", "copy_of", "n_links", "class_id")
-    alone = sets.where(~joinable).select("doc_id", F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    # a class is led by the set of its smallest id, or of several such by the set of the least digest
+    lead = told.groupBy("component").agg(F.min(F.struct("doc", "size", "digest")).alias("first"))
+    told = told.join(lead, "component")
+    leads = (F.col("first.size") == F.col("size")) & (F.col("first.digest") == F.col("digest"))
+    told = told.select(F.col("size").alias("_size"), F.col("digest").alias("_digest"), F.col("doc").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("first.doc").alias("class_id"), leads.alias("leads"))
+    both = ["doc_id", "text_key", "size", "digest", "copy_of", "n_links", "class_id", "leads"]
+    linked = sets.where(joinable).join(told, (sets["size"] == told["_size"]) & (sets["digest"] == told["_digest"])).select(*both)
+    own = F.col("doc_id")
+    alone = sets.where(~joinable).select("doc_id", "text_key", "size", "digest", own.alias("copy_of"), F.lit(0).cast("long").alias("n_links"), own.alias("class_id"), F.lit(True).alias("leads"))
+    return linked.unionByName(alone)
+
+
+def text_key(text):
+    """Tells texts apart: its MD5, or a mark that sorts after any for null."""
+    return F.coalesce(F.md5(text), F.lit("null"))
 
 
 def _likely(both: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
@@ -281,10 +313,28 @@ def _overlaps(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
 
 
 def similar_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of linked ones: that with the smallest id.
+    """``docs`` with one document of each group of linked ones: the first by id, then by its shingles' digest.
 
-    Of rows that are equal in id and shingles one stays; rows with a null id all stay.
+    Rows that share an id but not their texts are documents of their own. Of rows equal in id and
+    shingles, or both without words, the one with the least text key stays, and of rows with one text the
+    first by all columns as JSON. Rows with a null id all stay.
     """
-    found = similar_documents(docs, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    ws = Workspace(docs.sparkSession)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _similar(narrow, ws, threshold).where("leads and doc_id = class_id")
+    each = found.groupBy("doc_id", "size", "digest", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    one = each.groupBy("doc_id", "size", "digest").agg(F.min(F.struct("text_key", "times")).alias("x"))
+    one = ws.finish(one.select(F.col("doc_id").alias("_id"), F.col("x.text_key").alias("_key"), F.col("x.times").alias("_times")))
+
+    def kept(which: DataFrame) -> DataFrame:
+        same = (docs["doc_id"].cast("long") == which["_id"]) & (text_key(docs["text"]) == which["_key"])
+        return docs.join(which, same)
+
+    out = kept(one.where("_times = 1")).select(*[docs[c] for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    again = one.where("_times > 1")
+    if not again.isEmpty():
+        row = F.struct(*[docs[c] for c in docs.columns])
+        first = kept(again).select(row.alias("_row"), again["_id"], again["_key"])
+        first = first.groupBy("_id", "_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        out = out.unionByName(first.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+    return out

@@ -292,6 +292,34 @@ def test_join_odd_rows(spark):
     assert kept.columns == odd(spark).columns and kept.count() == len(ODD) - 1
 
 
+def test_groups_keep_other_texts_of_an_id(spark):
+    say = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [
+        (1, say("a"), "x"), (1, say("b"), "y"), (1, say("b") + " more", "z"),  # ids repeat, texts don't; b and b + link
+        (2, say("a"), "x"), (3, say("c"), "x"), (3, say("c"), "w"), (3, say("c").replace(" ", "  "), "w"),
+        (4, "", "x"), (4, None, "y"), (5, "", "x"), (None, say("a"), "x"), (None, say("a"), "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = chosen_path.similar_groups(docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r.doc_id), r.text, r.source) for r in got.collect())
+    by = {}
+    for d, t, _ in kept:
+        by.setdefault(d, []).append(t)
+    assert sorted(map(str, by)) == ["1", "3", "4", "5", "None"] and [len(by[x]) for x in ("1", "3", "4", "5", "None")] == [2, 1, 1, 1, 2]
+    assert say("a") in by["1"] and len({t[:2] for t in by["1"]}) == 2
+    again = sorted((str(r.doc_id), r.text, r.source) for r in chosen_path.similar_groups(docs.repartition(5)).collect())
+    assert again == kept
+
+
+def test_recall_counts_every_split():
+    runs = chosen_path.runs_for(0.8)
+    meets = 1.0
+    for _ in range(chosen_path.DEPTH):
+        meets = 1 - math.exp(-1.6 * meets)
+    assert (1 - meets) ** runs <= 1e-4 < (1 - meets) ** (runs - 1)
+
+
 # embeddings
 
 
