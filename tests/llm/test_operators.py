@@ -109,23 +109,47 @@ def test_rule_table_compiles_to_one_verdict(spark):
 
 
 def brute_forward(word, pieces, p):
+    """log of the sum over all segmentations, from logarithms."""
     b = (" " + word).encode()
-    a = [1.0] + [0.0] * len(b)
+    a = [0.0] + [-math.inf] * len(b)
     for i in range(1, len(b) + 1):
-        a[i] = sum(a[j] * p[pieces[b[j:i]]] for j in range(max(0, i - langid.PIECE_BYTES), i) if b[j:i] in pieces)
-    return math.log(a[-1])
+        a[i] = np.logaddexp.reduce([a[j] + math.log(p[pieces[b[j:i]]]) for j in range(i) if b[j:i] in pieces])
+    return a[-1]
+
+
+WORDS = ["the", "straße", "日本", "a", "", "unbelievable", "donaudampfschifffahrtsgesellschaftskapitän", "日本語のとても長い文章" * 9, "x" * 700, "содействиеправительственных" * 4]
 
 
 def test_forward_sums_all_segmentations():
     pieces = langid.vocabulary(PIECES)
     number = {x: i for i, x in enumerate(pieces)}
-    p = np.random.RandomState(0).random_sample((len(pieces), 2)) + 1e-6
+    assert max(map(len, pieces)) > 16
+    p = np.random.RandomState(0).random_sample((len(pieces), 2)) ** 4 + 1e-9
     p /= p.sum(0)
-    words = ["the", "straße", "日本", "a", "", "unbelievable"]
-    got = langid.log_likelihood(words, langid.lookup(PIECES), p)
-    for w, g in zip(words, got, strict=True):
+    find = langid.lookup(PIECES)
+    got = langid.log_likelihood(WORDS, find, langid.scaled(p, find))
+    for w, g in zip(WORDS, got, strict=True):
         want = [brute_forward(w, number, p[:, k]) for k in (0, 1)] if w else [0, 0]
-        assert np.allclose(g, want)
+        assert np.allclose(g, want), w
+
+
+def test_expected_counts_are_gradients():
+    # the expected uses of a piece are its probability times the derivative of the log likelihood
+    pieces = langid.vocabulary(PIECES)
+    number = {x: i for i, x in enumerate(pieces)}
+    p = np.random.RandomState(1).random_sample((len(pieces), 1)) + 0.01
+    p /= p.sum()
+    find = langid.lookup(PIECES)
+    weights = np.arange(2.0 * len(WORDS)).reshape(-1, 2) % 3
+    got = langid.expected_counts(WORDS, weights, find, langid.scaled(p, find))
+    for piece in (b"the", b" ", b"x", b"xx", "日本".encode(), "日".encode(), b"un", "прав".encode()):
+        if piece not in number:
+            continue
+        k, eps = number[piece], 1e-6
+        up, down = p[:, 0].copy(), p[:, 0].copy()
+        up[k], down[k] = up[k] * (1 + eps), down[k] * (1 - eps)
+        want = sum(weights[i] * (brute_forward(w, number, up) - brute_forward(w, number, down)) / (2 * eps) for i, w in enumerate(WORDS) if w)
+        assert np.allclose(got[k], want, rtol=1e-3, atol=1e-4), piece
 
 
 def test_language_held_out(spark):
