@@ -14,6 +14,7 @@ each block and bucket, but never more rows than keys.
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from gridweave.llm.arrays import U, mix
 from gridweave.workspace import Workspace
@@ -89,6 +90,14 @@ def none_of(schema: str | StructType) -> pa.Table:
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
 
+def relaxed(fields: list[StructField]) -> StructType:
+    """A schema of these fields in which anything may be null, as tables give them back."""
+    said = json.dumps(StructType(fields).jsonValue())
+    for mark in ("nullable", "containsNull", "valueContainsNull"):
+        said = said.replace(f'"{mark}": false', f'"{mark}": true')
+    return StructType.fromJson(json.loads(said))
+
+
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, start of each group in that order, distinct keys ascending)."""
     order = np.argsort(keys, kind="stable")

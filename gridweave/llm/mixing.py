@@ -78,7 +78,7 @@ def mix_plan(docs: DataFrame, weights=(1, 2, 3), max_epochs: float = 3.0, seed:
     owed = F.col("target") - whole * F.col("source_size")
     extra = (2 * (F.col("_before") + F.col("_ahead")) + F.col("size") <= 2 * owed) & (owed > 0) & (F.col("size") > 0)
     repeats = whole + F.when(extra, 1).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), "weight")
+    return ws.finish(rows.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), "weight"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

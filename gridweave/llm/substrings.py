@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from gridweave.llm.arrays import SLICE_BYTES, U, Hasher, as_large, buffer_of, slices
-from gridweave.llm.exchange import ANSWER, SENT, Blocks, as_table, bucket_of, dealt_out, groups, judge_bits, pack_keys, read_bits, send, unpack_keys
+from gridweave.llm.exchange import ANSWER, SENT, Blocks, as_table, bucket_of, dealt_out, groups, judge_bits, pack_keys, read_bits, relaxed, send, unpack_keys
 from gridweave.workspace import Workspace
 
 #: Bytes of an anchor, and windows of a run at most.
@@ -395,7 +395,7 @@ def dedup_documents(docs: DataFrame, width: int = 50) -> DataFrame:
         return pa.table([table.column("_row"), table.column("text").is_null(), kept, pa.array(total)], names=["_row", "_no_text", "_text", "_removed"])
 
     kinds = [rows.schema["_row"], StructField("_no_text", BooleanType()), StructField("_text", StringType()), StructField("_removed", LongType())]
-    out, ws = _cut(rows, width, texts, StructType(kinds))
+    out, ws = _cut(rows, width, texts, relaxed(kinds))
     out = out.where((F.col("_text") != "") | (F.col("_removed") == 0))
     new = {"text": F.when(~F.col("_no_text"), F.col("_text"))}
     if "n_chars" in docs.columns:

@@ -116,4 +116,4 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     linked = good.join(alike, good["v"] == alike["_v"]).select("vec_id", (F.col("copies") - 1 + F.col("n")).alias("n_links"), "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return ws.finish(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
