@@ -26,11 +26,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    found = langid.identify(docs, langid.train(docs, path), path)
+    found = langid.with_language(docs, langid.train(docs, path), path)
     told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    told = told.groupBy(F.col("doc_id").alias("_id")).agg(F.max_by("lang_pred", "score").alias("_lang"))
-    kept = docs.join(told, docs["doc_id"].eqNullSafe(told["_id"]))
-    return kept.select(*[kept["_lang"].alias("lang") if c == "lang" else docs[c] for c in docs.columns])
+    return told.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else ws.save(out)
+        if i < len(STAGES) - 1:
+            out, before = ws.save(out), docs
+            ws.drop(before)
+        docs = out
     return docs
