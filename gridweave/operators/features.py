@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.text import recode, safe_double, token_count, tolerant_bool
 from gridweave.functions.weights import coupling
+from gridweave.operators.ordering import if_few
 
 # Defaults of the eight features by kind, kilovolts by voltage class, relation names.
 DEFAULTS = {"lat": 40.72, "lon": -73.99, "elevation": 3.0, "flood_depth": 0.0}
@@ -55,7 +56,7 @@ def node_features(nodes: DataFrame, kind: str = "infra_type") -> DataFrame:
 def scaled_vectors(df: DataFrame, by: str, column: str = "features", width: int = 8) -> DataFrame:
     """Vectors scaled to 0..1 by position within each key; the raw one is kept as ``raw_features``."""
     ends = df.groupBy(by).agg(*[f(F.get(column, i)).alias(f"_{k}{i}") for i in range(width) for k, f in (("lo", F.min), ("hi", F.max))])
-    out = df.join(F.broadcast(ends), by)
+    out = df.join(if_few(ends), by)
     scale = lambda i: (F.get(F.col(column), i) - F.col(f"_lo{i}")) / F.when(F.col(f"_hi{i}") == F.col(f"_lo{i}"), F.lit(1.0)).otherwise(F.col(f"_hi{i}") - F.col(f"_lo{i}"))
     return out.withColumn(f"raw_{column}", F.col(column)).withColumn(column, F.array(*[scale(i) for i in range(width)]).cast("array<float>")).drop(*[f"_{k}{i}" for i in range(width) for k in ("lo", "hi")])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators.components import components
+from gridweave.operators.ordering import if_few, ordinal
 from gridweave.workspace import Workspace
 
 
@@ -120,9 +121,16 @@ def consecutive_pairs(stations: DataFrame, line: str = "line", node_id: str = "n
     return rows.where("v is not null")
 
 
-def local_index(nodes: DataFrame, kind: str = "infra_type", order: str = "ord") -> DataFrame:
-    """Add ``idx``: 0, 1, 2, ... within each kind."""
-    return nodes.withColumn("idx", (F.row_number().over(Window.partitionBy(kind).orderBy(order)) - 1).cast("long"))
+def local_index(nodes: DataFrame, kind: str = "infra_type", order: str = "ord", ws: Workspace | None = None) -> DataFrame:
+    """Add ``idx``: 0, 1, 2, ... within each kind.
+
+    All nodes are numbered by kind and order, and each kind's first number is taken off, so a kind isn't one task's.
+    """
+    ws = ws or Workspace(nodes.sparkSession)
+    rows = ws.save(ordinal(nodes, [F.col(kind), F.col(order)], ws, "_o"))
+    first = rows.groupBy(F.col(kind).alias("_kind")).agg(F.min("_o").alias("_first"))
+    out = rows.join(if_few(first), rows[kind].eqNullSafe(first["_kind"]))
+    return out.withColumn("idx", F.col("_o") - F.col("_first")).drop("_o", "_kind", "_first")
 
 
 def spring_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 50, node_id: str = "node_id", order: str = "ord", limit: int = 5_000) -> DataFrame:
@@ -137,7 +145,9 @@ def spring_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 50, node_id:
     if len(ids) > limit:
         raise ValueError(f"a layout of more than {limit} nodes can't be drawn")
     place = {x: i for i, x in enumerate(ids)}
-    pairs = [(place[r.u], place[r.v]) for r in edges.select("u", "v").distinct().collect() if r.u in place and r.v in place]
+    few = F.broadcast(nodes.select(F.col(node_id).alias("_n")))  # counted above
+    own = edges.select("u", "v").distinct().join(few, F.col("u") == F.col("_n"), "left_semi").join(few, F.col("v") == F.col("_n"), "left_semi")
+    pairs = [(place[r.u], place[r.v]) for r in own.collect()]
     n = len(ids)
     a = np.arange(n)
     pos = np.c_[np.sqrt(a + 1) * np.cos(a * 2.399963), np.sqrt(a + 1) * np.sin(a * 2.399963)] / max(n, 1) ** 0.5

@@ -26,37 +26,37 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 def nearest(targets: DataFrame, sources: DataFrame, target_id: str, source_id: str, source_order: str | None = None, xy=("x", "y"), broadcast_rows: int = BROADCAST_ROWS, ws: Workspace | None = None) -> DataFrame:
     """The nearest source of every target: (target_id, source_id, metres), ties to the first source.
 
-    Both sides carry projected coordinates; rows without them have no part. Many sources are
-    searched in rings of grid cells: a target is done once its best source is nearer than all
-    unseen cells, and the others look further with twice the reach.
+    Both sides carry projected coordinates; rows without them or without an id have no part. A target
+    that is in several places takes the source nearest to any. Sources are searched in rings of
+    grid cells: a target is done once its best source is nearer than all unseen cells, and the
+    others look further with twice the reach. Cells of a counted few sources are broadcast.
     """
     x, y = xy
     order = source_order or source_id
-    t = targets.select(F.col(target_id).alias("t_id"), F.col(x).alias("tx"), F.col(y).alias("ty")).where("tx is not null and ty is not null")
+    t = targets.select(F.col(target_id).alias("t_id"), F.col(x).alias("tx"), F.col(y).alias("ty")).where("t_id is not null and tx is not null and ty is not null").distinct()
     s = sources.select(F.col(source_id).alias("s_id"), F.col(order).alias("s_ord"), F.col(x).alias("sx"), F.col(y).alias("sy")).where("sx is not null and sy is not null")
-    n = s.count()
     best = F.min(F.struct(distance("tx", "ty", "sx", "sy").alias("d"), F.col("s_ord").alias("o"), F.col("s_id").alias("s"))).alias("b")
-    if n <= broadcast_rows or t.isEmpty():
-        found = t.crossJoin(F.broadcast(s)).groupBy("t_id").agg(best)
-        return found.select(F.col("t_id").alias(target_id), F.col("b.s").alias(source_id), F.col("b.d").alias("metres"))
     ws = ws or Workspace(t.sparkSession)
-    ends = s.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
-    span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9)
-    step = span / max(1.0, (n / 4) ** 0.5)
     s, left, done, reach = ws.save(s), ws.save(t), None, 1
-    while not left.isEmpty():
+    n, x0, x1, y0, y1 = s.agg(F.count(F.lit(1)), F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
+    step = max(x1 - x0, y1 - y0, 1e-9) / max(1.0, (n / 4) ** 0.5) if n else 1.0
+    while n and not left.isEmpty():
         size = step * reach
         at = lambda a: F.floor(F.col(a) / F.lit(size)).cast("long")
         near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         asks = left.withColumn("_k", near).withColumns({"cx": at("tx") + F.col("_k.i"), "cy": at("ty") + F.col("_k.j")}).drop("_k")
         cells = s.withColumns({"cx": at("sx"), "cy": at("sy")})
-        hit = asks.join(cells, ["cx", "cy"]).groupBy("t_id").agg(best, F.first("tx").alias("tx"), F.first("ty").alias("ty"))
+        cells = F.broadcast(cells) if n <= broadcast_rows else cells
         # all sources within one cell's width have been seen
-        ok = ws.save(hit.where(F.col("b.d") <= F.lit(size)).select("t_id", "b"))
+        hit = asks.join(cells, ["cx", "cy"]).groupBy("t_id", "tx", "ty").agg(best)
+        ok = ws.save(hit.where(F.col("b.d") <= F.lit(size)))
         done = ok if done is None else done.unionByName(ok)
-        left = ws.save(left.join(ok.select("t_id"), "t_id", "left_anti"))
+        left = ws.save(left.join(ok.select("t_id", "tx", "ty"), ["t_id", "tx", "ty"], "left_anti"))
         reach *= 2
-    return done.select(F.col("t_id").alias(target_id), F.col("b.s").alias(source_id), F.col("b.d").alias("metres"))
+    if done is None:
+        done = t.select("t_id", F.lit(None).cast("double").alias("_none")).where("false").join(s, F.lit(False)).select("t_id", F.struct(F.col("_none").alias("d"), F.col("s_ord").alias("o"), F.col("s_id").alias("s")).alias("b"))
+    found = done.groupBy("t_id").agg(F.min("b").alias("b"))
+    return found.select(F.col("t_id").alias(target_id), F.col("b.s").alias(source_id), F.col("b.d").alias("metres"))
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: float, xy=("x", "y"), strict: bool = False) -> DataFrame:
@@ -81,6 +81,21 @@ def farther_than(left: DataFrame, right: DataFrame, radius: float, key: str, xy=
     return left.join(close, key, "left_anti")
 
 
+def _by_cells(points: DataFrame, boxes: DataFrame, x: str, y: str, step: float) -> DataFrame:
+    """Points joined to the boxes (left, bottom, right, top) of the grid cells that they lie in.
+
+    A box is dealt to cells of its own size class, ``step`` times a power of two, so even the largest
+    lies in four cells at most; points ask each class that there is.
+    """
+    width = F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), F.lit(float(step)))
+    boxes = boxes.withColumn("_class", F.ceil(F.log2(width / F.lit(float(step)))).cast("int"))
+    classes = [r[0] for r in boxes.select("_class").where("_class is not null").distinct().collect()]  # as many as doublings
+    at = lambda c: F.floor(F.col(c) / (F.pow(F.lit(2.0), "_class") * F.lit(float(step)))).cast("long")
+    boxes = boxes.withColumn("cx", F.explode(F.sequence(at("left"), at("right")))).withColumn("cy", F.explode(F.sequence(at("bottom"), at("top"))))
+    asks = points.withColumn("_class", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>"))).withColumns({"cx": at(x), "cy": at(y)})
+    return asks.join(boxes, ["_class", "cx", "cy"]).drop("_class", "cx", "cy")
+
+
 def first_box(points: DataFrame, boxes: DataFrame, key: str, box_id: str = "division", xy=("x", "y"), step: float | None = None) -> DataFrame:
     """(key, box_id): the least numbered box with the point, edges included, or -1.
 
@@ -95,9 +110,7 @@ def first_box(points: DataFrame, boxes: DataFrame, key: str, box_id: str = "divi
         joined = p.join(F.broadcast(b), inside, "left")
     else:
         step = step or b.agg(F.avg(F.col("right") - F.col("left"))).first()[0]
-        at = lambda c: F.floor(F.col(c) / F.lit(float(step))).cast("long")
-        b = b.withColumn("cx", F.explode(F.sequence(at("left"), at("right")))).withColumn("cy", F.explode(F.sequence(at("bottom"), at("top"))))
-        joined = p.withColumns({"cx": at(x), "cy": at(y)}).join(b, ["cx", "cy"]).where(inside)
+        joined = _by_cells(p, b, x, y, step or 1.0).where(inside)
         joined = p.select(key).join(joined.select(key, "_box"), key, "left")
     return joined.groupBy(key).agg(F.coalesce(F.min("_box"), F.lit(-1)).alias(box_id))
 
@@ -118,9 +131,7 @@ def inside_any_polygon(points: DataFrame, polygons: DataFrame, key: str, rings:
     if edges <= 20 * BROADCAST_ROWS:
         hits = p.join(F.broadcast(seg), boxed)
     else:
-        at = lambda c: F.floor(F.col(c) / F.lit(float(width or 1.0))).cast("long")
-        seg = seg.withColumn("cx", F.explode(F.sequence(at("left"), at("right")))).withColumn("cy", F.explode(F.sequence(at("bottom"), at("top"))))
-        hits = p.withColumns({"cx": at(x), "cy": at(y)}).join(seg, ["cx", "cy"]).where(boxed)
+        hits = _by_cells(p, seg, x, y, width or 1.0).where(boxed)
     found = hits.where(inside_segments(x, y, "segments")).select(key).distinct().withColumn(flag, F.lit(True))
     return points.join(found, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 

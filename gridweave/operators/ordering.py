@@ -21,3 +21,12 @@ def ordinal(df: DataFrame, order: list[Column], ws: Workspace, name: str = "ord"
     shift = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return dealt.join(F.broadcast(shift), "_p").withColumn(name, F.col("_shift") + within).drop("_p", "_shift")
+
+
+#: Rows up to which a table of groups is broadcast.
+FEW = 10_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, to be broadcast if a count finds it small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

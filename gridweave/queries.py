@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import geo, text
 from gridweave.functions.weights import coupling, inverse_distance, whole_metres
 from gridweave.operators import dedup, features, graph, joins, summaries, tables
+from gridweave.operators.ordering import ordinal
 from gridweave.plans import flood as flood_plan
 from gridweave.plans import present
 from gridweave.workspace import Workspace
@@ -221,9 +222,9 @@ e AS (SELECT key, [CASE WHEN dx > 0 THEN (-74.015e0 - x1) / dx WHEN dx < 0 THEN
 (dx <> 0 OR x1 BETWEEN -74.015e0 AND -73.98e0) AND (dy <> 0 OR y1 BETWEEN 40.705e0 AND 40.745e0) AS ok FROM c)
 SELECT key, ok AND list_max(lo) <= list_min(hi) AS meets FROM e""")
 def line_box(spark, d):
-    w = Window.partitionBy("all").orderBy("key")
-    s = suppliers(spark, d).withColumn("all", F.lit(1))
-    pairs = s.select("key", geo.line(geo.point("lon", "lat"), geo.point(F.lead("lon").over(w), F.lead("lat").over(w))).alias("c")).where(F.get(F.get("c", 1), 0).isNotNull())
+    s = ordinal(suppliers(spark, d).select("key", "lon", "lat"), [F.col("key")], Workspace(spark))
+    nxt = s.select((F.col("ord") - 1).alias("ord"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    pairs = s.join(nxt, "ord").select("key", geo.line(geo.point("lon", "lat"), geo.point("lon2", "lat2")).alias("c"))
     return pairs.select("key", geo.line_meets_box("c", (BOX[2], BOX[0], BOX[3], BOX[1])).alias("meets"))
 
 

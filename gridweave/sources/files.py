@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridweave.operators.ordering import ordinal
+from gridweave.workspace import Workspace
+
 #: Columns of a cell-tower export, in order.
 TOWER_COLUMNS = "radio string, mcc int, net int, area int, cell long, unit int, lon double, lat double, range int, samples int, changeable int, created long, updated long, average_signal int"
 
@@ -97,8 +100,10 @@ def _graph_part(spark: SparkSession, path: str, tag: str, ids: list[str]) -> Dat
     keys = [(r["_id"], r["_attr.name"], r["_attr.type"]) for r in keys.select("_id", F.col("`_attr.name`"), F.col("`_attr.type`"), "_for").where(F.col("_for") == tag).collect()]
     data = "data array<struct<_VALUE:string,_key:string>>"
     schema = T.StructType.fromDDL(", ".join(f"`_{i}` string" for i in ids) + f", {data}")
-    rows = spark.read.format("xml").schema(schema).option("rowTag", tag).load(path).coalesce(1)
-    rows = rows.withColumn("ord", F.monotonically_increasing_id()).withColumn("m", F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(d["_key"], d["_VALUE"]))))
+    rows = spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
+    rows = ordinal(rows.select("*", *place), [F.col("_file"), F.col("_start"), F.col("_row")], Workspace(spark))
+    rows = rows.withColumn("m", F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(d["_key"], d["_VALUE"]))))
     kinds = {"string": "string", "long": "long", "int": "long", "double": "double", "float": "double", "boolean": "boolean"}
     return rows.select("ord", *[F.col(f"_{i}") for i in ids], *[F.try_element_at("m", F.lit(k)).try_cast(kinds.get(kind, "string")).alias(name) for k, name, kind in keys])
 

@@ -53,9 +53,15 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id")
     return top.unionByName(n).unionByName(e).unionByName(foot)
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "node_id") -> None:
-    """One document in node and edge order, as graph tools read it; a graph that fits one file."""
-    graphml_lines(nodes, edges, node_id).coalesce(1).sortWithinPartitions("part", "ord").select("value").write.mode("overwrite").text(path)
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "node_id", one_file: int = 1_000_000) -> None:
+    """A document in node and edge order: one file up to so many lines, as graph tools read it.
+
+    A larger one is written in parallel, as parts that make the document when put together by name.
+    """
+    lines = graphml_lines(nodes, edges, node_id)
+    few = lines.limit(one_file + 1).count() <= one_file
+    dealt = lines.coalesce(1) if few else lines.repartitionByRange("part", "ord")
+    dealt.sortWithinPartitions("part", "ord").select("value").write.mode("overwrite").text(path)
 
 
 def write_tensors(node_vectors: DataFrame, edge_vectors: DataFrame, path: str) -> dict:
