@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,11 +75,8 @@ def water_flow(nodes: DataFrame) -> DataFrame:
     return _edge(rows, "water_flow", 5, weight=kilometres("metres"), distance_m=whole_metres("metres"), buffer_hours=F.lit(0.0), dependency_class=F.lit("physical"))
 
 
-def all_edges(nodes: DataFrame, lines: DataFrame, ws=None) -> DataFrame:
-    """Every producer's edges in order (rank, at), ends closed over the nodes, each (u, v) once.
-
-    A repeated edge keeps its first place and takes the later write's attributes.
-    """
+def edge_producers(nodes: DataFrame, lines: DataFrame, ws=None) -> dict[str, Callable[[], DataFrame]]:
+    """What makes every producer's edges, by its name, in the order in which they are written."""
     n = projected(nodes)
     has = n.where("x is not null")
     kind = lambda *k: has.where(F.col("infra_type").isin(*k))
@@ -87,18 +86,26 @@ def all_edges(nodes: DataFrame, lines: DataFrame, ws=None) -> DataFrame:
     dependents = local(kind("hospital", "water", "telecom", "subway", "fuel"))
     served = telecom.where(F.coalesce("tower_count", F.lit(0)) >= SERVED_TOWERS)
     zero = F.lit(0.0)
-    made = [
-        power_lines(lines),
-        subway_lines(n),
-        nearest_edges(power, dependents, "power_dependency", 3, recode("infra_type", BUFFER_HOURS, 0.0), "physical", ws=ws),
-        nearest_edges(power, terminals, "power_dependency", 4, F.lit(TERMINAL_POWER), "physical", ws=ws),
-        water_flow(n),
-        nearest_edges(water, hospital, "water_supplies", 6, F.lit(WATER_SUPPLY), "physical", ws=ws),
-        nearest_edges(telecom, power, "scada_monitoring", 7, F.lit(SCADA), "cyber", ws=ws),
-        nearest_edges(subway, local(kind("power", "hospital", "water", "telecom", "fuel")), "repair_access", 8, zero, "logical", "recovery", ws=ws),
-        nearest_edges(terminals, stations, "fuel_distribution", 9, zero, "physical", ws=ws),
-        nearest_edges(stations, hospital, "fuel_supplies", 10, F.lit(FUEL_TO["hospital"]), "physical", ws=ws),
-        nearest_edges(stations, served, "fuel_supplies", 11, F.lit(FUEL_TO["telecom"]), "physical", ws=ws),
-        nearest_edges(stations, local(water), "fuel_supplies", 12, F.lit(FUEL_TO["water"]), "physical", ws=ws),
-    ]
-    return last_write_wins(closed_edges(union_all(made), nodes), ["rank", "at"])
+    return {
+        "power_lines": lambda: power_lines(lines),
+        "subway_lines": lambda: subway_lines(n),
+        "power_dependents": lambda: nearest_edges(power, dependents, "power_dependency", 3, recode("infra_type", BUFFER_HOURS, 0.0), "physical", ws=ws),
+        "power_terminals": lambda: nearest_edges(power, terminals, "power_dependency", 4, F.lit(TERMINAL_POWER), "physical", ws=ws),
+        "water_flow": lambda: water_flow(n),
+        "water_supplies": lambda: nearest_edges(water, hospital, "water_supplies", 6, F.lit(WATER_SUPPLY), "physical", ws=ws),
+        "scada": lambda: nearest_edges(telecom, power, "scada_monitoring", 7, F.lit(SCADA), "cyber", ws=ws),
+        "repair_access": lambda: nearest_edges(subway, local(kind("power", "hospital", "water", "telecom", "fuel")), "repair_access", 8, zero, "logical", "recovery", ws=ws),
+        "fuel_distribution": lambda: nearest_edges(terminals, stations, "fuel_distribution", 9, zero, "physical", ws=ws),
+        "fuel_hospitals": lambda: nearest_edges(stations, hospital, "fuel_supplies", 10, F.lit(FUEL_TO["hospital"]), "physical", ws=ws),
+        "fuel_telecom": lambda: nearest_edges(stations, served, "fuel_supplies", 11, F.lit(FUEL_TO["telecom"]), "physical", ws=ws),
+        "fuel_water": lambda: nearest_edges(stations, local(water), "fuel_supplies", 12, F.lit(FUEL_TO["water"]), "physical", ws=ws),
+    }
+
+
+def all_edges(nodes: DataFrame, lines: DataFrame, ws=None) -> DataFrame:
+    """Every producer's edges in order (rank, at), ends closed over the nodes, each (u, v) once.
+
+    A repeated edge keeps its first place and takes the later write's attributes.
+    """
+    made = edge_producers(nodes, lines, ws)
+    return last_write_wins(closed_edges(union_all([make() for make in made.values()]), nodes), ["rank", "at"])

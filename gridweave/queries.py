@@ -544,3 +544,6 @@ SELECT CAST(c_custkey AS BIGINT) AS node_id, least(c_custkey, coalesce(c, c_cust
 def scc(spark, d):
     n = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"))
     return graph.strong_components(order_trail(spark, d), n)
+
+
+from gridweave import network_queries  # noqa: E402, F401 - adds its queries to the table above
