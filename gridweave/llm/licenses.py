@@ -1,13 +1,13 @@
-"""Licence scans: TF-IDF cosine of passages to templates, then inheritance from directories.
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
-Everything here is DataFrame operations. Words count over all files give the weights, so the
+What is compared is every passage of a text, for headers, and the text as a whole, for licence
+files. Everything here is DataFrame operations. Words count over all files give the weights, so the
 words that licences share with prose weigh little.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,12 +33,22 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1"),
+    ("BSD-2-Clause", "Licensed under the 2-Clause BSD License"),
+    ("ISC", "Licensed under the ISC License"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("Zlib", "Licensed under the zlib License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "BSD 2-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "BSD 3-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 ]
 TOKEN = "[a-z0-9]+"
 #: Least cosine of a notice.
 THRESHOLD = 0.6
-#: The words by which the query's SQL picks passages; the scan itself doesn't use them.
-TELLING = ["license", "licensed", "permission", "redistribution", "redistribute", "cc0", "domain"]
 #: Names of files that license their directory and all below, without regard to case.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 #: Documents of at most so many characters may stand as licence files.
@@ -61,22 +71,31 @@ def may_reach(weights: dict[int, dict[str, float]], threshold: float) -> Callabl
 
     A passage's cosine to a template is at most the norm of the template's weights of the words
     that they share. So those words' squares sum to the threshold's at least, and one of them is
-    among the greatest weights, without which the others' squares don't.
+    among the greatest weights, without which the others' squares don't. The number of shared words is looked
+    at before their squares.
     """
     least = max(threshold - 1e-6, 0.0) ** 2  # cosines are rounded
-    heads, sums = set(), []
+    heads, rules = set(), []
     for own in weights.values():
+        by_weight = sorted(own.items(), key=lambda x: (-x[1], x[0]))
         rest = sum(w * w for w in own.values())
-        for token, w in sorted(own.items(), key=lambda x: (-x[1], x[0])):
+        for token, w in by_weight:
             if rest + 1e-9 < least:
                 break
             heads.add(token)
             rest -= w * w
-        sums.append([(token, w * w) for token, w in sorted(own.items())])
+        sums = list(itertools.accumulate(w * w for _, w in by_weight))
+        few = next(k for k, x in enumerate(sums, 1) if x + 1e-9 >= least)
+        rules.append((few, F.array(*[F.lit(t) for t, _ in by_weight]), F.array(*[F.lit(w * w) for _, w in by_weight])))
 
     def test(words: Column) -> Column:
-        reach = [sum((F.when(F.array_contains(words, t), F.lit(q)).otherwise(F.lit(0.0)) for t, q in own), F.lit(1e-9)) >= least for own in sums]
-        return F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(heads)])) & functools.reduce(operator.or_, reach)
+        any_head = F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(heads)]))
+        reach = F.lit(False)
+        for few, tokens_of, squares in rules:
+            shared = F.array_intersect(words, tokens_of)
+            total = F.aggregate(shared, F.lit(1e-9), lambda x, t: x + F.get(squares, F.array_position(tokens_of, t).cast("int") - 1))  # noqa: B023
+            reach = reach | ((F.size(shared) >= few) & (total >= least))
+        return any_head & reach
 
     return test
 
@@ -86,7 +105,7 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     Returns a row per input row: doc_id, path, license, similarity, basis (``own``, ``inherited``
     or ``none``) and license_path (the directory inherited from). A file's own licence is that
-    of its passage nearest to a template, ties by name; files named as ``LICENSE_FILE`` give
+    of the template nearest to a passage or to the whole text, ties by name; files named as ``LICENSE_FILE`` give
     theirs to their directory, the nearest to a template first. A null text has no licence and
     a null path no directory. Ids need not be unique: rows are told apart by a row key of id,
     path and text, and equal rows get equal results. An empty table gives an empty result;
@@ -113,7 +132,8 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         by_template.setdefault(r.template, {})[r.token] = r.t_weight
     reaches = may_reach(by_template, threshold)
     holders = seen.where(reaches(F.col("words"))).select("key", "text").distinct()
-    passages = holders.select("key", F.posexplode(F.split("text", PASSAGE_END)).alias("place", "passage"))
+    units = F.concat(F.transform(F.split("text", PASSAGE_END), lambda x, i: F.struct(i.alias("place"), x.alias("passage"))), F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("passage"))))
+    passages = holders.select("key", F.inline(units))
     passages = passages.select("key", "place", tokens(F.col("passage")).alias("words"))
     passages = passages.withColumn("shared", F.array_intersect("words", vocabulary)).where(reaches(F.col("shared")))
     counted = passages.select("key", "place", F.explode("words").alias("token")).groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -128,14 +148,19 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     grants = known.where(F.col("own").isNotNull() & F.element_at(parts, -1).rlike(LICENSE_FILE)).select(folder.alias("folder"), "own", "own_similarity")
     grants = grants.groupBy("folder").agg(F.min(F.struct((-F.col("own_similarity")).alias("s"), F.col("own").alias("license"))).alias("g"))
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("folder")))
-    asks = known.where(F.col("own").isNull() & F.col("path").isNotNull()).select("key", F.explode(above).alias("a")).select("key", "a.*").distinct()
-    heirs = asks.join(grants, "folder").groupBy("key").agg(F.max(F.struct("depth", "folder", "g")).alias("h"))
-    out = known.join(heirs, "key", "left")
-    return out.select(
+    # folders first, each once with all that lie above it; a file then asks for its own folder only
+    folders = known.where(F.col("own").isNull() & F.col("path").isNotNull()).select(folder.alias("at")).distinct()
+    deep = F.when(F.col("at") == "", F.lit(0)).otherwise(F.size(F.split("at", "/")))
+    above = F.transform(F.sequence(F.lit(0), deep), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(F.split("at", "/"), 1, d), "/").alias("folder")))
+    heirs = folders.select("at", F.inline(above)).join(grants, "folder").groupBy("at").agg(F.max(F.struct("depth", "folder", "g")).alias("h"))
+    heirs = ws.save(heirs)
+    heirs = F.broadcast(heirs) if heirs.count() <= 10_000 else heirs
+    rows = known.withColumn("_at", F.when(F.col("own").isNull(), folder))
+    out = rows.join(heirs, rows["_at"] == heirs["at"], "left")
+    return ws.finish(out.select(
         "doc_id", "path", F.coalesce("own", "h.g.license").alias("license"), F.coalesce("own_similarity", -F.col("h.g.s"), F.lit(0.0)).alias("similarity"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("h").isNotNull(), "inherited").otherwise("none").alias("basis"), F.when(F.col("own").isNull(), F.col("h.folder")).alias("license_path"),
-    )
+    ))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

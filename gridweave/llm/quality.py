@@ -19,7 +19,7 @@ RULES = [
     ("symbols", "symbol_ratio", "<=", 0.1),
     ("word_length_low", "mean_word_length", ">=", 2.0),
     ("word_length_high", "mean_word_length", "<=", 14.0),
-    ("stop_words", "stop_words_if_long", ">=", 1.0),
+    ("stop_words", "stop_ratio_if_long", ">=", 0.05),
     ("repeated_lines", "dup_line_ratio", "<=", 0.5),
 ]
 #: Texts of fewer words may lack function words.
@@ -44,6 +44,7 @@ def with_repeated_words(df: DataFrame, windows: str, out: str, width: int = WIND
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts and ratios that rules speak of, by projections without user functions."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    stop = F.lit(r"(?<![^\x20\x09-\x0D])(?:" + "|".join(sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})) + r")(?![^\x20\x09-\x0D])")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.select(
         "doc_id",
@@ -51,20 +52,20 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0).alias("lines"),
+        F.regexp_count(text, stop).cast("long").alias("n_stop_words"),
     )
-    stop = F.array(*[F.lit(w) for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})])
     window = F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(WINDOW)]))
     base = base.select(
         "doc_id", "word_chars", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect(F.col("words"), stop)).cast("long").alias("n_stop_words"),
+        "n_stop_words",
         F.when(F.size("words") >= WINDOW, window).alias("windows"),
     )
     base = with_repeated_words(base, "windows", "n_repeat_words").drop("windows")
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return base.withColumns({"stop_words_if_long": F.when(F.col("n_words") < LONG, F.lit(1)).otherwise(F.col("n_stop_words")), "symbol_ratio": ratio("n_symbols", "n_words"), "mean_word_length": ratio("word_chars", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines")})
+    return base.withColumns({"stop_ratio_if_long": F.when(F.col("n_words") < LONG, F.lit(1.0)).otherwise(ratio("n_stop_words", "n_words")), "symbol_ratio": ratio("n_symbols", "n_words"), "mean_word_length": ratio("word_chars", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines")})
 
 
 def compile_rules(rules=RULES) -> Column:

@@ -103,8 +103,7 @@ def oracle_sql() -> dict[str, str]:
     from gridweave.llm import licenses
     from gridweave.llm.quality import STOP_WORDS
 
-    notices = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
-    telling = ", ".join(f"'{w}'" for w in licenses.TELLING)
+    notices = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
     stop = ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
     return {
         "op1_mix_sources": r"""
@@ -137,13 +136,14 @@ found AS (SELECT token, count(*) AS df FROM (SELECT unnest(words) AS token FROM
 weights AS (SELECT token, ln((n + 1.0e0) / (coalesce(df, 0) + 1.0e0)) + 1 AS idf FROM vocab LEFT JOIN found USING (token), total),
 shaped AS (SELECT template, license, token, count(*) * any_value(idf) AS w FROM shape JOIN weights USING (token) GROUP BY ALL),
 normed AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS t_weight FROM shaped),
-holders AS (SELECT DISTINCT doc_id, path, text FROM seen WHERE list_has_any(words, [{telling}])),
+holders AS (SELECT DISTINCT doc_id, path, text FROM seen WHERE len(words) > 0),
 cut AS (SELECT doc_id, path, string_split(regexp_replace(text, '([.;:!?])[ 	
-]', '' || chr(10), 'g'), chr(10)) AS parts FROM holders),
+
+]', '' || chr(10), 'g'), chr(10)) AS parts FROM holders),
 placed AS (SELECT doc_id, path, unnest(range(len(parts))) AS place, unnest(parts) AS passage FROM cut),
-told AS (SELECT doc_id, path, place, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM placed),
+told AS (SELECT doc_id, path, place, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM placed UNION ALL SELECT doc_id, path, -1, regexp_extract_all(lower(text), '[a-z0-9]+') FROM holders),
 counted AS (SELECT doc_id, path, place, token, count(*) * coalesce(any_value(idf), any_value(ln(n + 1.0e0) + 1)) AS w
-  FROM (SELECT doc_id, path, place, unnest(words) AS token FROM told WHERE list_has_any(words, [{telling}])) LEFT JOIN weights USING (token), total GROUP BY doc_id, path, place, token),
+  FROM (SELECT doc_id, path, place, unnest(words) AS token FROM told) LEFT JOIN weights USING (token), total GROUP BY doc_id, path, place, token),
 p AS (SELECT doc_id, path, place, sqrt(sum(w * w)) AS p_norm FROM counted GROUP BY ALL),
 dots AS (SELECT doc_id, path, place, template, license, sum(w * t_weight) AS dot FROM counted JOIN normed USING (token) GROUP BY ALL),
 scored AS (SELECT doc_id, path, license, round(dot / p_norm, 6) AS s FROM dots JOIN p USING (doc_id, path, place) WHERE round(dot / p_norm, 6) >= {licenses.THRESHOLD}e0),
@@ -194,11 +194,11 @@ gaps AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDE
 rep AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS n FROM gaps GROUP BY doc_id),
 m AS (SELECT b.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-  len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words, len(list_filter(list_distinct(words), lambda x: x IN ({stop}))) AS n_stop
+  len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words, len(list_filter(words, lambda x: x IN ({stop}))) AS n_stop
   FROM base b LEFT JOIN rep r USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(n_symbols / CAST(n_words AS DOUBLE), 0) <= 0.1e0 AND word_chars / CAST(n_words AS DOUBLE) >= 2e0
-  AND word_chars / CAST(n_words AS DOUBLE) <= 14e0 AND (n_words < 30 OR n_stop >= 1) AND coalesce(n_dup_lines / CAST(n_lines AS DOUBLE), 0) <= 0.5e0 AS kept FROM f
+  AND word_chars / CAST(n_words AS DOUBLE) <= 14e0 AND (n_words < 30 OR n_stop / CAST(n_words AS DOUBLE) >= 0.05e0) AND coalesce(n_dup_lines / CAST(n_lines AS DOUBLE), 0) <= 0.5e0 AS kept FROM f
 """,
     }

@@ -389,9 +389,12 @@ def test_licenses(spark):
         (7, "a/b/c/d/w.py", ""),
         (8, "top.py", "the license of this work"),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("key", F.lit("clash"))
+    rows += [(9, "e/LICENSE", next(t for n, t in licenses.TEMPLATES if n == "ISC" and len(t) > 200).replace(". ", ".\n\n")), (10, "e/f/g/h.c", "int main; " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    for name in ("key", "license", "own", "h", "at", "folder", "similarity"):
+        df = df.withColumn(name, F.lit("clash"))
     got = {r.doc_id: (r.license, r.basis, r.license_path) for r in licenses.license_scan(df).collect()}
-    assert got == {1: ("MIT", "own", None), 2: ("GPL-3.0", "inherited", "a/b"), 3: ("Apache-2.0", "own", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("GPL-3.0", "own", None), 7: ("GPL-3.0", "inherited", "a/b"), 8: (None, "none", None)}
+    assert got == {1: ("MIT", "own", None), 2: ("GPL-3.0", "inherited", "a/b"), 3: ("Apache-2.0", "own", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("GPL-3.0", "own", None), 7: ("GPL-3.0", "inherited", "a/b"), 8: (None, "none", None), 9: ("ISC", "own", None), 10: ("ISC", "inherited", "e")}
     assert licenses.license_scan(df).count() == len(rows)
     assert licenses.license_scan(df.limit(0)).count() == 0
 
@@ -410,7 +413,7 @@ def test_licenses_by_cosine_alone(spark):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     for i, _, text in rows:
         best = 0.0
-        for passage in re.split(r"\n|(?<=[.;:!?])\s", text):
+        for passage in [*re.split(r"\n|(?<=[.;:!?])\s", text), text]:
             p = vec(passage)
             best = max([best, *(sum(x * q.get(w, 0) for w, x in p.items()) / (norm(p) * norm(q) or 1) for q in (vec(t) for _, t in licenses.TEMPLATES))])
         assert (got[i].basis == "own") == (best >= licenses.THRESHOLD), (text, best)
