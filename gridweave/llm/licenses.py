@@ -61,8 +61,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def templates(spark) -> DataFrame:
-    rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
+def templates(spark, notices=TEMPLATES) -> DataFrame:
+    rows = [(i, name, text) for i, (name, text) in enumerate(notices)]
     return spark.createDataFrame(rows, "template int, license string, notice string")
 
 
@@ -100,7 +100,7 @@ def may_reach(weights: dict[int, dict[str, float]], threshold: float) -> Callabl
     return test
 
 
-def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", notices=TEMPLATES) -> DataFrame:
     """The licence of each file: its own, else that of the nearest directory above that has one.
 
     Returns a row per input row: doc_id, path, license, similarity, basis (``own``, ``inherited``
@@ -109,13 +109,13 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     theirs to their directory, the nearest to a template first. A null text has no licence and
     a null path no directory. Ids need not be unique: rows are told apart by a row key of id,
     path and text, and equal rows get equal results. An empty table gives an empty result;
-    other columns are not read.
+    other columns are not read. ``notices`` are (licence, text) to compare with.
     """
     spark = files.sparkSession
     ws = Workspace(spark)
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     key = F.xxhash64("doc_id", "path", F.coalesce("text", F.lit("")))
-    shape = templates(spark).select("template", "license", F.explode(tokens(F.col("notice"))).alias("token"))
+    shape = templates(spark, notices).select("template", "license", F.explode(tokens(F.col("notice"))).alias("token"))
     vocabulary = F.array(*[F.lit(r.token) for r in shape.select("token").distinct().orderBy("token").collect()])
     n_files = rows.count()
     seen = ws.save(rows.select(key.alias("key"), "doc_id", "path", F.array_intersect(tokens(F.coalesce("text", F.lit(""))), vocabulary).alias("words"), "text").withColumn("text", F.when(F.size("words") > 0, F.col("text"))))

@@ -24,10 +24,9 @@ from gridweave.workspace import Workspace, ship
 
 #: Labelled rows that the lexicon is learnt from at most, by a seeded order.
 LABELLED_ROWS = 200_000
-#: Terms and stems: at most so many, the most frequent first; a term follows at least so many
-#: different words in toxic documents (copies of one text show it after one), and a stem begins
-#: so many different words.
-LEXICON, MIN_CONTEXTS, STEM_WORDS = 2000, 5, 4
+#: A term follows at least so many different words in toxic documents (copies of one text show it
+#: after one), and a stem begins so many different words.
+MIN_CONTEXTS, STEM_WORDS = 5, 4
 STEM_LENGTHS = (4, 5, 6)
 #: Least share of toxic documents, all else equal, among the documents with a term.
 PURITY = 0.8
@@ -159,8 +158,8 @@ def automaton(terms: dict[str, float], stems: dict[str, float], rigid: frozenset
 def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[dict[str, float], dict[str, float], frozenset[str], set[str]]:
     """(terms, stems, terms that must be spelt exactly, innocent words near others) from labelled rows that aren't held out.
 
-    At most ``LABELLED_ROWS`` labels, chosen by a hash of the id, and ``LEXICON`` terms and
-    stems reach the driver. Null labels or ids don't count; a document labelled more than once
+    At most ``LABELLED_ROWS`` labels, chosen by a hash of the id, are learnt from; of their words those
+    that are terms or stems, all of them, reach the driver. Null labels or ids don't count; a document labelled more than once
     is toxic if any label is.
     """
     ship(docs.sparkSession)
@@ -200,12 +199,12 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> tuple[dict[str, float
     least = max(MIN_CONTEXTS, math.ceil(math.log(max(words.count(), 2)) / math.log(n_all / n_toxic)) + 1)
     few = max(3, least - 3)
     good = (F.least("t", "contexts") >= few) & (F.col("t") >= 10 * F.col("c")) & (F.col("purity") >= PURITY)
-    found = words.where(good).orderBy(F.desc("t"), "word").limit(LEXICON).collect()
+    found = words.where(good).collect()
     terms = {r.word: min(r.purity, 0.97) if min(r.t, r.contexts) >= least else WEAK for r in found}
     stem = words.select(F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])).alias("stem"), F.least("t", "contexts").alias("t"), "c").where("stem is not null")
     stem = stem.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") >= 2).alias("n"))
     good_stem = (F.col("n") >= STEM_WORDS) & (F.col("t") >= 2 * least) & (F.col("t") >= 20 * F.col("c"))
-    stems = {r.stem: 0.9 for r in stem.where(good_stem).orderBy(F.desc("t"), "stem").limit(LEXICON).collect()}
+    stems = {r.stem: 0.9 for r in stem.where(good_stem).collect()}
     clean = words.where("c > 0 and t < 10 * c").select("word")
 
     def near(batches):

@@ -52,6 +52,45 @@ def test_probabilities_sum_to_one():
         assert abs(total - 1) < 1e-9
 
 
+def test_score_is_the_models_by_hand():
+    import numpy as np
+
+    # classes 0 and 1, the end, and the coarse ones; words by number, 5 and 6 unseen in training
+    cls_of = {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1}
+    texts = [[0, 2, 1, 3], [1, 2], [0, 4, 0, 2], [], [3]]
+    m = lm.Model(20, 6, np.array([], np.uint64), np.array([], np.int64), classes=2)
+    end = m.end
+    seqs = [[*t, "end"] for t in texts]
+    count = {w: sum(t.count(w) for t in seqs) for w in [*range(7), "end"]}
+    c = lambda w: end if w == "end" else cls_of[w]
+    table, once = np.zeros((m.size, m.size)), np.zeros(m.size)
+    for t in seqs:
+        for a, b in zip(["end", *t], t):
+            table[c(a), c(b)] += 1
+    for w in range(7):
+        once[c(w)] += count[w] == 1
+    m.fit(table, once)
+    size = table.sum(0)
+    share = (size + 0.5) / (size.sum() + 0.5 * m.size)
+    new = [0.0 if k == end else (once[k] + 0.5) / (size[k] + 1) for k in range(m.size)]
+
+    def step(a, b):
+        return (table[a, b] + lm.TRANSITION_PRIOR * share[b]) / (table[a].sum() + lm.TRANSITION_PRIOR)
+
+    for text in ([0, 2], [1, 5, 3], [6, 6, 0], [5], []):
+        words, want, before, anchor = [*text, "end"], 0.0, end, end
+        for w in words:
+            if count[w]:
+                k = c(w)
+                want += math.log10(step(before, k) * (1 - new[k]) * count[w] / size[k])
+                before = anchor = k
+            else:
+                want += math.log10(sum(step(before, k) * new[k] for k in range(m.size)))
+                before = max(range(m.size), key=lambda k: (step(anchor, k) * new[k], -k))
+        got = m.score(np.array([c(w) for w in words]), np.array([count[w] for w in words])).sum()
+        assert abs(got - want) < 1e-9, text
+
+
 def test_clusters_find_alternation():
     import numpy as np
 
