@@ -41,10 +41,19 @@ def with_repeated_words(df: DataFrame, windows: str, out: str, width: int = WIND
     return df.withColumn(out, F.coalesce(F.aggregate(gaps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long"))
 
 
+def stop_pattern(words=STOP_WORDS) -> str:
+    """Matches each stop word that stands alone, in lower case or with a capital, by its first letter."""
+    by_letter: dict[str, set[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], set()).add(w[1:])
+    own = "|".join(f"[{c.upper()}{c}](?:{'|'.join(sorted(rest))})" for c, rest in sorted(by_letter.items()))
+    return rf"(?<![^\x20\x09-\x0D])(?:{own})(?![^\x20\x09-\x0D])"
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts and ratios that rules speak of, by projections without user functions."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    stop = F.lit(r"(?<![^\x20\x09-\x0D])(?:" + "|".join(sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})) + r")(?![^\x20\x09-\x0D])")
+    stop = F.lit(stop_pattern())
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.select(
         "doc_id",
