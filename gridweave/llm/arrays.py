@@ -7,6 +7,7 @@ ASCII, so words are the same over bytes as over code points.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -121,6 +122,14 @@ def hex_bytes(digests: list[bytes]) -> list[str]:
     return [d.hex() for d in digests]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, where its C library can: Spark keeps Python workers between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def row_slices(batches, column: int, size: int = 4 * SLICE_BYTES):
     """Batches cut to rows that hold about ``size`` bytes of text."""
     for b in batches:

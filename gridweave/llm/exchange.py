@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from gridweave.llm.arrays import U, mix
+from gridweave.llm.arrays import U, give_back, mix
 from gridweave.workspace import Workspace
 
 #: Least and greatest text bytes of a block, and greatest text bytes whose keys a bucket gets; between
@@ -72,12 +72,18 @@ class Blocks:
 
     def map(self, fn: Callable, schema: str | StructType, answers: DataFrame | None = None) -> DataFrame:
         """Apply ``fn(texts, answers)`` to each block; answers is None without such a table."""
+
+        def apply(texts: pa.Table, said: pa.Table | None) -> pa.Table:
+            result = fn(texts, said)
+            give_back()
+            return result
+
         out = []
         for table, own in self._each_part():
             if answers is None:
-                out.append(table.groupBy("block").applyInArrow(lambda t: fn(t, None), schema))
+                out.append(table.groupBy("block").applyInArrow(lambda t: apply(t, None), schema))
             else:
-                out.append(table.groupBy("block").cogroup(answers.where(own).groupBy("block")).applyInArrow(lambda t, x: fn(t, x) if t.num_rows else none_of(schema), schema))
+                out.append(table.groupBy("block").cogroup(answers.where(own).groupBy("block")).applyInArrow(lambda t, x: apply(t, x) if t.num_rows else none_of(schema), schema))
         return functools.reduce(DataFrame.unionByName, out)
 
     def ask(self, fn: Callable, judge: Callable, answers: DataFrame | None = None) -> DataFrame:

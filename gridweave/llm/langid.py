@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gridweave.llm.arrays import BatchWords, Hasher, U, row_slices
+from gridweave.llm.arrays import SLICE_BYTES, BatchWords, Hasher, U, give_back, row_slices
 from gridweave.workspace import ship
 
 
@@ -264,12 +264,13 @@ def train(docs: DataFrame, vocabulary_path: str) -> tuple[list[str], np.ndarray]
         total = np.zeros((n_pieces, len(langs)))
         find = lookup(vocabulary_path)
         uniform = scaled(np.full((n_pieces, 1), 1 / n_pieces), find)
-        for b in row_slices(batches, 0):
+        for b in row_slices(batches, 0, 2 * SLICE_BYTES):
             w = BatchWords(b.column(0))
             lang = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)
             weights = np.zeros((len(w.letters), len(langs)))
             np.add.at(weights, (w.of, lang[w.doc]), 1)
             total += expected_counts(w.letters, weights, find, uniform)
+        give_back()
         piece, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(k, pa.int32()), pa.array(total[piece, k])], ["piece", "lang", "n"])
 
@@ -306,7 +307,7 @@ def _told(docs: DataFrame, model, vocabulary_path: str, id_col: str, text_col: s
     def run(batches):
         find = lookup(vocabulary_path)
         probability = scaled(shared.value, find)
-        for b in row_slices(batches, 1):
+        for b in row_slices(batches, 1, 2 * SLICE_BYTES):
             w = BatchWords(b.column(1))
             n = len(b)
             each = log_likelihood(w.letters, find, probability) if langs else np.zeros((len(w.letters), 0))
@@ -317,6 +318,7 @@ def _told(docs: DataFrame, model, vocabulary_path: str, id_col: str, text_col: s
             known = has & bool(langs)
             pred = [langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[carry], pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names)
+        give_back()
 
     carry = slice(1, 3) if rest is not None else slice(0, 0)
     fields = [narrow.schema["doc_id"], *narrow.schema.fields[1:3][: 2 if rest is not None else 0], StructField("lang_pred", StringType()), StructField("score", DoubleType())]
