@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.arrays import Hasher, U, mix, text_slices, word_spans
+from gridweave.llm.arrays import Hasher, U, give_back, mix, text_slices, word_spans
 from gridweave.llm.tiles import deal, each_tile, gather, pairs_mask, roots
 from gridweave.operators.components import components
 from gridweave.workspace import Workspace
@@ -118,6 +118,7 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
                     low = np.partition(own, SKETCH - 1)[:SKETCH] if len(own) > SKETCH else own
                     least.append(np.sort(low).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(sums, pa.binary()), pa.array(least, pa.binary())], ["doc_id", "text_key", "size", "digest", "sketch"])
+        give_back()
 
     keyed = narrow.withColumn("text_key", text_key(F.col("text")))
     sets = ws.save(keyed.mapInArrow(sketch, "doc_id long, text_key string, size long, digest binary, sketch binary"))
@@ -202,6 +203,7 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
                 ok &= _overlaps([x[x < node[own[0]]] for x in (nodes(i) for i in own)]) == 0
                 keep.append(own[ok.any(1)])
         at = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+        give_back()
         return table.select(["node", "lo", "hi", "part", "id", "doc", "size", "copies", "nodes"]).take(pa.array(at))
 
     kinds = "node long, lo int, hi int, part int, id long, doc long, size long, copies long, nodes array<long>"
@@ -223,6 +225,7 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
                     out.append(own.tobytes())
                     size.append(len(own))
             yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], ["size", "digest", "tokens"])
+        give_back()
 
     tokens = words.mapInArrow(whole, "size long, digest binary, tokens binary")
     tokens = tokens.groupBy(F.xxhash64("size", "digest").alias("id")).agg(F.first("tokens").alias("tokens"))
@@ -247,6 +250,7 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
             for f, x in zip(found, (ids[own][at], n_links[at], ids[own][roots(ok)[at]]), strict=True):
                 f.append(x)
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        give_back()
         return pa.table([cat(f) for f in found], names=["id", "n", "root"])
 
     links = ws.save(tiles.groupBy("lot").applyInArrow(verify, "id long, n long, root long"))

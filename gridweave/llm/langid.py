@@ -270,6 +270,7 @@ def train(docs: DataFrame, vocabulary_path: str) -> tuple[list[str], np.ndarray]
             weights = np.zeros((len(w.letters), len(langs)))
             np.add.at(weights, (w.of, lang[w.doc]), 1)
             total += expected_counts(w.letters, weights, find, uniform)
+            del w, weights, lang
         give_back()
         piece, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(k, pa.int32()), pa.array(total[piece, k])], ["piece", "lang", "n"])
@@ -318,6 +319,7 @@ def _told(docs: DataFrame, model, vocabulary_path: str, id_col: str, text_col: s
             known = has & bool(langs)
             pred = [langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[carry], pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names)
+            del w, each, total
         give_back()
 
     carry = slice(1, 3) if rest is not None else slice(0, 0)
