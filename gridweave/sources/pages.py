@@ -6,6 +6,7 @@ that users may give, so that tests and closed networks read saved pages.
 
 from __future__ import annotations
 
+import itertools
 import json
 import urllib.parse
 import urllib.request
@@ -29,9 +30,17 @@ def page_url(layer: str, box: tuple[float, float, float, float], offset: int, si
     return f"{layer}/query?{urllib.parse.urlencode(query)}"
 
 
-def pages(layer: str, box, size: int = 1000, fetch: Callable[[str], str] = http_text) -> Iterator[list[dict]]:
-    """Pages of features until one is short or empty."""
-    offset = 0
+def count_pages(layer: str, box, size: int, fetch: Callable[[str], str]) -> int | None:
+    """Pages of a layer by the service's own count of features in the box; None where it doesn't count."""
+    try:
+        n = json.loads(fetch(page_url(layer, box, 0, size) + "&returnCountOnly=true")).get("count")
+    except (OSError, ValueError):
+        return None
+    return None if n is None else max(1, -(-int(n) // size))
+
+
+def pages(layer: str, box, size: int = 1000, fetch: Callable[[str], str] = http_text, offset: int = 0) -> Iterator[list[dict]]:
+    """Pages of features from ``offset`` on until one is short or empty."""
     while True:
         got = json.loads(fetch(page_url(layer, box, offset, size))).get("features", [])
         if got:
@@ -44,23 +53,23 @@ def pages(layer: str, box, size: int = 1000, fetch: Callable[[str], str] = http_
 def feature_layer(spark: SparkSession, layer: str, box, properties: str, size: int = 1000, fetch: Callable[[str], str] = http_text, n_pages: int | None = None) -> DataFrame:
     """Rows of a layer: ord, properties by schema, x and y.
 
-    With ``n_pages`` known (from the service's count) each page is fetched by a task of its
-    own; otherwise pages are followed in one task until a short one.
+    Each page is fetched by a task of its own; their number, unless given, comes from the service's
+    count. The last task goes on from its page until a short one, so features added since the count, and
+    all pages of a service that doesn't count, are followed there.
     """
     ship(spark)
+    n_pages = n_pages or count_pages(layer, box, size, fetch) or 1
     schema = f"properties struct<{properties}>, geometry struct<type:string,coordinates:string>"
-    starts = spark.range(0, n_pages or 1, 1, n_pages or 1)
+    starts = spark.range(0, n_pages, 1, n_pages)
 
     def run(rows):
         for pdf in rows:
             for start in pdf["id"]:
-                if n_pages:
-                    got = [json.loads(fetch(page_url(layer, box, int(start) * size, size))).get("features", [])]
-                else:
-                    got = pages(layer, box, size, fetch)
+                got = pages(layer, box, size, fetch, int(start) * size)
+                if start < n_pages - 1:
+                    got = itertools.islice(got, 1)
                 for k, page in enumerate(got):
-                    first = (int(start) + k) * size
-                    yield pdf.iloc[:0].assign(ord=[], feature=[]) if not page else _frame(first, page)
+                    yield _frame((int(start) + k) * size, page)
 
     raw = starts.mapInPandas(run, "ord long, feature string").select("ord", F.from_json("feature", schema).alias("f"))
     at = F.from_json("f.geometry.coordinates", "array<double>")

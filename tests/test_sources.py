@@ -57,9 +57,11 @@ def test_overpass(spark, tmp_path):
     assert pages.overpass_query((1, 2, 3, 4), {"amenity": ["fuel"]}).count("(1,3,2,4)") == 2
 
 
-def _service(n):
+def _service(n, count=None):
     def fetch(url):
         q = parse_qs(urlparse(url).query)
+        if count is not None and "returnCountOnly" in q:
+            return json.dumps({"count": count})
         at, size = int(q["resultOffset"][0]), int(q["resultRecordCount"][0])
         own = [{"type": "Feature", "properties": {"NAME": f"s{i}"}, "geometry": {"type": "Point", "coordinates": [i, -i]}} for i in range(at, min(n, at + size))]
         return json.dumps({"features": own})
@@ -67,9 +69,11 @@ def _service(n):
     return fetch
 
 
-@pytest.mark.parametrize("n_pages", [None, 4])
-def test_pages(spark, n_pages):
-    df = pages.feature_layer(spark, "http://x/0", (0, 1, 0, 1), "NAME string", 3, _service(10), n_pages)
+@pytest.mark.parametrize(("n_pages", "count", "tasks"), [(None, None, 1), (4, None, 4), (None, 10, 4), (None, 5, 2), (None, 20, 7), (None, 0, 1)])
+def test_pages(spark, n_pages, count, tasks):
+    # a count may be missing, right, or passed by what the service holds meanwhile
+    df = pages.feature_layer(spark, "http://x/0", (0, 1, 0, 1), "NAME string", 3, _service(10, count), n_pages)
+    assert df.rdd.getNumPartitions() == tasks
     assert sorted((r.ord, r.NAME, r.x, r.y) for r in df.collect()) == [(i, f"s{i}", float(i), float(-i)) for i in range(10)]
 
 
