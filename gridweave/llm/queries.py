@@ -85,6 +85,27 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"), held_out)
 
 
+def op11_hard_negatives(spark, sf_dir):
+    from gridweave.llm.dual_tree import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    from gridweave.llm.pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_centroids(spark, sf_dir):
+    from gridweave.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -96,9 +117,31 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_near_vectors": op9_near_vectors,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_pieces": op12_pieces,
+    "op13_centroids": op13_centroids,
 }
 
 
+def _rounds_sql(k: int, rounds: int, components: int) -> str:
+    """Clustering in whole numbers: a pair of tables a round, the centroids and the nearest of each vector."""
+    out = [rf"""WITH told AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cells AS (SELECT r, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM told),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM told QUALIFY k < {k}),
+c0 AS MATERIALIZED (SELECT CAST(k AS INT) AS k, pos, x FROM first JOIN cells USING (r))"""]
+    for i in range(rounds + 1):
+        out.append(rf"""d{i} AS (SELECT r, k, CAST(sum((a.x - c.x) * (a.x - c.x)) AS BIGINT) AS d FROM cells a JOIN c{i} c USING (pos) GROUP BY r, k),
+n{i} AS MATERIALIZED (SELECT r, k, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if i < rounds:
+            out.append(rf"""s{i} AS (SELECT k, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM n{i} JOIN cells USING (r) GROUP BY k, pos),
+c{i + 1} AS MATERIALIZED (SELECT k, pos, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{i} LEFT JOIN s{i} USING (k, pos))""")
+    return ",\n".join(out) + rf""",
+named AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS h FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM n{rounds} JOIN told USING (r) JOIN named USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     from gridweave.llm import licenses
     from gridweave.llm.quality import STOP_WORDS
@@ -106,6 +149,17 @@ def oracle_sql() -> dict[str, str]:
     notices = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
     stop = ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
     return {
+        "op13_centroids": _rounds_sql(40, 5, 64),
+        "op11_hard_negatives": r"""
+WITH told AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM told a JOIN told b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+pos AS (SELECT a, anchor_id, other_id AS positive_id, s AS positive_score, row_number() OVER (PARTITION BY a ORDER BY s DESC, other_id) AS p FROM scored WHERE same QUALIFY p <= 5),
+neg AS (SELECT a, anchor_id, positive_id, p, positive_score, other_id AS negative_id, s AS negative_score, row_number() OVER (PARTITION BY a, p ORDER BY s DESC, other_id) AS k
+  FROM pos JOIN (SELECT a, other_id, s FROM scored WHERE NOT same) USING (a) WHERE 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score QUALIFY k <= 10)
+SELECT anchor_id, positive_id, CAST(k AS INT) AS rank, negative_id, positive_score, negative_score FROM neg
+""",
         "op1_mix_sources": r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
