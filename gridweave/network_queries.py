@@ -161,26 +161,27 @@ def node_producer_telecom(spark, d):
     return N.telecom_nodes(t, Workspace(spark)).select("node_id", "name", "operator", "tower_count", "radio_types", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS ord, c_custkey % 3 AS part, CASE WHEN c_custkey % 5 = 0 THEN 'Old Library' ELSE 'Works ' || c_custkey END AS name, 40.7e0 + (c_custkey * 7919 % 5501) / 100000.0e0 AS lat, -74.02e0 + (c_custkey * 104729 % 5003) / 100000.0e0 AS lon FROM customer WHERE c_custkey <= 300),
+@query("""WITH c AS (SELECT c_custkey AS ord, c_custkey % 3 AS part, CASE WHEN c_custkey % 5 = 0 THEN 'Old Library' ELSE 'Works ' || c_custkey END AS name, 40.7e0 + (c_custkey * 7919 % 5501) / 100000.0e0 AS lat, -74.02e0 + (c_custkey * 104729 % 5003) / 100000.0e0 AS lon FROM customer),
 base AS (SELECT *, 1 AS one FROM c), """ + _utm_sql("lat", "lon") + """,
 a AS (SELECT * FROM placed WHERE part > 0 AND name <> 'Old Library'),
-b AS (SELECT * FROM placed p WHERE part = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE sqrt((a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y)) < 500))
+b AS (SELECT * FROM placed p WHERE part = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE sqrt((a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y)) < 50))
 SELECT 'water_' || replace(lower(name), ' ', '_') AS node_id, name, lat, lon, false AS external FROM a UNION ALL SELECT 'water_' || replace(lower(name), ' ', '_'), name, lat, lon, true FROM b""")
 def node_producer_water(spark, d):
     c = F.col("c_custkey")
-    rows = table(spark, d, "customer").where(c <= 300).withColumns(place("c_custkey", 7919, 104729))
+    rows = table(spark, d, "customer").withColumns(place("c_custkey", 7919, 104729))
     rows = rows.select(c.alias("ord"), (c % 3).alias("third"), F.when(c % 5 == 0, "Old Library").otherwise(F.concat(F.lit("Works "), c)).alias("name"), "lat", "lon", F.lit("PLANT").alias("type"), F.lit("city").alias("operator"))
-    out = N.water_nodes(rows.where("third > 0").drop("third"), rows.where("third = 0").drop("third"), ["Old Library"], 500.0)
+    out = N.water_nodes(rows.where("third > 0").drop("third"), rows.where("third = 0").drop("third"), ["Old Library"], 50.0)
     return out.select("node_id", "name", "lat", "lon", "external")
 
 
-@query("""WITH p AS (SELECT upper(p_brand) AS name, min(p_partkey) AS o FROM part WHERE p_partkey <= 500 GROUP BY 1), known AS (SELECT DISTINCT upper(p_brand) AS name FROM part WHERE p_size > 20 AND p_partkey <= 100)
-SELECT 'power_' || lower(name) AS node_id, 'EXTERNAL' AS status, true AS external FROM p WHERE name NOT IN (SELECT name FROM known)""")
+@query("""WITH p AS (SELECT 'SITE ' || (p_partkey % 5000 + p_size) AS name FROM part), known AS (SELECT 'SITE ' || p_partkey AS name FROM part WHERE p_size > 20)
+SELECT DISTINCT 'power_site_' || substr(name, 6) AS node_id, 'EXTERNAL' AS status, true AS external FROM p WHERE name NOT IN (SELECT name FROM known)""")
 def node_producer_external_power(spark, d):
-    p = table(spark, d, "part")
-    lines = p.where("p_partkey <= 500").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("SUB_1"), F.lit(None).cast("string").alias("SUB_2"))
-    local = p.where("p_size > 20 and p_partkey <= 100").select(F.col("p_brand").alias("NAME"))
-    city = p.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("NAME"), F.lit(40.7).alias("LATITUDE"), F.lit(-74.0).alias("LONGITUDE"))
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    site = lambda key: F.concat(F.lit("Site "), key.cast("string"))
+    lines = p.select(k.alias("ord"), site(k % 5000 + F.col("p_size")).alias("SUB_1"), F.lit(None).cast("string").alias("SUB_2"))
+    local = p.where("p_size > 20").select(site(k).alias("NAME"))
+    city = p.select(k.alias("ord"), site(k).alias("NAME"), F.lit(40.7).alias("LATITUDE"), F.lit(-74.0).alias("LONGITUDE"))
     return N.external_power_nodes(lines, local, city).select("node_id", "status", "external")
 
 

@@ -54,46 +54,65 @@ def weak_components(edges: DataFrame, nodes: DataFrame, node_id: str = "node_id"
     return out.select(node_id, F.coalesce("component", node_id).alias("component"))
 
 
+def _step(labels: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
+    """One round of spreading: labels (n, c, p) take the least of their own, their in-neighbours' and their shortcut's.
+
+    ``p`` is a node that reaches ``n``. It jumps to its own shortcut's, so it is twice as far back each round; a node that
+    an in-neighbour gives a lesser label takes that one's.
+    """
+    sent = edges.join(labels.select(F.col("n").alias("u"), F.struct(F.col("c").alias("c"), F.col("p").alias("p")).alias("_in")), "u").groupBy("v").agg(F.min("_in").alias("_in"))
+    back = labels.select(F.col("n").alias("_n"), F.col("c").alias("_c"), F.col("p").alias("_p"))
+    out = labels.join(sent, labels["n"] == sent["v"], "left").join(back, labels["p"] == back["_n"], "left")
+    near, far = F.coalesce(F.col("_in.c"), F.col("c")), F.coalesce(F.col("_c"), F.col("c"))
+    least = F.least("c", near, far)
+    out = out.select("n", least.alias("c"), F.when((near < F.col("c")) & (near < far), F.col("_in.p")).otherwise(F.coalesce("_p", "p")).alias("p"), (least < F.col("c")).alias("moved"))
+    return ws.save(out)
+
+
 def _spread(labels: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
     """Least label that reaches each node along edges, to a fixed point; labels are (n, c).
 
-    Edges stay within an area where both ends have one (column ``a``).
+    Shortcuts double their reach each round, so a long chain takes about the logarithm of its edges.
     """
+    first = edges.groupBy("v").agg(F.min("u").alias("_u"))
+    labels = labels.join(first, labels["n"] == first["v"], "left").select("n", "c", F.coalesce("_u", "n").alias("p"))
+    before = None
     while True:
-        sent = edges.join(labels.select(F.col("n").alias("u"), F.col("c").alias("_in")), "u").groupBy("v").agg(F.min("_in").alias("_in"))
-        nxt = labels.join(sent, labels["n"] == sent["v"], "left").select("n", F.least("c", F.coalesce("_in", "c")).alias("c"), F.coalesce(F.col("_in") < F.col("c"), F.lit(False)).alias("moved"))
-        nxt = ws.save(nxt)
+        nxt = _step(labels, edges, ws)
+        ws.drop(before)
+        before, labels = nxt, nxt.select("n", "c", "p")
         if nxt.where("moved").isEmpty():
             return nxt.select("n", "c")
-        labels = nxt.select("n", "c")
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame, node_id: str = "node_id", ws: Workspace | None = None) -> DataFrame:
     """(node_id, component): the smallest node of the strongly connected component.
 
-    Nodes without edges in or out are components of their own and are trimmed away. Then each
-    node takes the least node that reaches it as its colour; what reaches a colour's own node
-    within the colour is its component. The rest goes round again.
+    Nodes are ranked by a hash. Each takes the first-ranked node that reaches it as its pivot; what reaches a
+    pivot within its area is its component. Edges between areas can't be in one and go, and so do nodes
+    without edges in or out; the rest goes round again. Since pivots are random, areas fall to parts of
+    themselves, and rounds are about the square of the logarithm of the nodes.
     """
     ws = ws or Workspace(edges.sparkSession)
-    e = ws.save(edges.select("u", "v").where("u <> v").distinct())
-    done = []
+    e = ws.save(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
+    rank = lambda n: F.struct(F.xxhash64(n, F.lit(len(done))).alias("h"), F.col(n).alias("n"))
+    done: list[DataFrame] = []
     while not e.isEmpty():
         heads, tails = e.select(F.col("v").alias("n")).distinct(), e.select(F.col("u").alias("n")).distinct()
         inner = ws.save(heads.join(tails, "n", "left_semi"))
-        kept = ws.save(e.join(inner.withColumnRenamed("n", "u"), "u", "left_semi").join(inner.withColumnRenamed("n", "v"), "v", "left_semi").select("u", "v"))
-        if kept.count() < e.count():
-            e = kept
-            continue
-        colour = _spread(inner.select("n", F.col("n").alias("c")), e, ws)
-        cu, cv = colour.select(F.col("n").alias("u"), F.col("c").alias("_cu")), colour.select(F.col("n").alias("v"), F.col("c").alias("_cv"))
-        within = ws.save(e.join(cu, "u").join(cv, "v").where("_cu = _cv").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # against the edges, a colour's node is the least label of all that reach it
-        back = _spread(colour.select("n", F.when(F.col("n") == F.col("c"), F.struct(F.lit(0).alias("k"), F.col("c").alias("c"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("n").alias("c"))).alias("c")), within, ws)
-        part = ws.save(back.where("c.k = 0").select(F.col("n").alias("id"), F.col("c.c").alias("component")))
-        done.append(part)
+        e = ws.save(e.join(inner.withColumnRenamed("n", "u"), "u", "left_semi").join(inner.withColumnRenamed("n", "v"), "v", "left_semi").select("u", "v"))
+        pivot = _spread(inner.select("n", rank("n").alias("c")), e, ws).select("n", F.col("c.n").alias("c"))
+        cu, cv = pivot.select(F.col("n").alias("u"), F.col("c").alias("_cu")), pivot.select(F.col("n").alias("v"), F.col("c").alias("_cv"))
+        within = ws.save(e.join(cu, "u").join(cv, "v").where("_cu = _cv").select("u", "v"))
+        # against the edges, a pivot is the least label of all that reach it
+        own = pivot.select("n", F.struct(F.when(F.col("n") == F.col("c"), 0).otherwise(1).alias("k"), F.when(F.col("n") == F.col("c"), F.col("c")).otherwise(F.col("n")).alias("c")).alias("c"))
+        back = _spread(own, within.select(F.col("v").alias("u"), F.col("u").alias("v")), ws)
+        part = ws.save(back.where("c.k = 0").select(F.col("n").alias("id"), F.col("c.c").alias("_root")))
+        least = part.groupBy("_root").agg(F.min("id").alias("component"))
+        done.append(ws.save(part.join(least, "_root").select("id", "component")))
         gone = part.select("id")
-        e = ws.save(e.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v"))
+        before, e = e, ws.save(within.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v"))
+        ws.drop(before, within, inner, part)
     out = nodes.select(node_id)
     if not done:
         return out.select(node_id, F.col(node_id).alias("component"))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.geo import distance, inside_segments, rings_to_segments
 from gridweave.functions.text import present
+from gridweave.operators.ordering import ordinal
 from gridweave.workspace import Workspace
 
 #: Rows up to which a side of a spatial join is broadcast.
@@ -23,39 +24,88 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
+#: Sources of a leaf and children of a node, in the tree that nearest neighbours are searched in.
+LEAF_ROWS, FANOUT = 8, 8
+
+
+def _z_order(x, y, low: tuple[float, float], side: float) -> Column:
+    """Number of a point's place along the Z-order curve over a square, 26 bits an axis."""
+
+    def spread(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    step = side / ((1 << 26) - 1)
+    x, y = (F.least(F.greatest(F.floor((F.col(c) - F.lit(o)) / F.lit(step)), F.lit(0)), F.lit((1 << 26) - 1)).cast("long") for c, o in ((x, low[0]), (y, low[1])))
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
+def search_tree(sources: DataFrame, ws: Workspace) -> tuple[DataFrame, list[DataFrame]]:
+    """(sources with their leaf, levels of nodes from the root down) of rows (s_id, s_ord, sx, sy).
+
+    Sources are numbered along the Z-order curve and cut into leaves of equal counts, so a city has many small
+    leaves and a far outlier shares one; nodes (node, up, x0, y0, x1, y1) have the boxes of what they hold.
+    """
+    n, x0, x1, y0, y1 = sources.agg(F.count(F.lit(1)), F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
+    side = max(x1 - x0, y1 - y0, 1e-9) if n else 1.0
+    z = sources.withColumn("_z", _z_order("sx", "sy", (x0 or 0.0, y0 or 0.0), side))
+    z = ordinal(z, [F.col(c) for c in ("_z", "sx", "sy", "s_ord", "s_id")], ws, "_n") if n > LEAF_ROWS else z.withColumn("_n", F.lit(0))
+    rows = ws.save(z.withColumn("leaf", F.floor(F.col("_n") / LEAF_ROWS).cast("long")).drop("_z", "_n"))
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    up = F.floor(F.col("node") / FANOUT).cast("long").alias("up")
+    nodes = rows.select(F.col("leaf").alias("node"), F.col("sx").alias("x0"), F.col("sy").alias("y0"), F.col("sx").alias("x1"), F.col("sy").alias("y1")).groupBy("node").agg(*box)
+    levels, count = [ws.save(nodes.select("node", up, "x0", "y0", "x1", "y1"))], -(-n // LEAF_ROWS)
+    while count > 1:
+        above = levels[-1].groupBy(F.col("up").alias("node")).agg(*box)
+        levels.append(ws.save(above.select("node", up, "x0", "y0", "x1", "y1")))
+        count = -(-count // FANOUT)
+    return rows, levels[::-1]
+
+
+def nearest_leaves(targets: DataFrame, levels: list[DataFrame], n_sources: int, broadcast_rows: int, ws: Workspace) -> DataFrame:
+    """(t_id, tx, ty, leaf): the leaves that may hold a target's nearest source, by descent from the root.
+
+    On each level a target follows the nodes whose box is no farther than the nearest source can be: every side
+    of a box has a source on it, so the nearer of two of them bounds the distance. Targets stay where they are
+    dealt while levels are small enough to broadcast; below that targets and nodes meet by the node's number.
+    """
+    front = targets.withColumns({"node": F.lit(0).cast("long"), "ub": F.lit(float("inf"))}).repartition("t_id")
+    for i, nodes in enumerate(levels):
+        height = len(levels) - 1 - i
+        own = nodes.select(F.col("node").alias("_node"), F.col("up").alias("_up"), "x0", "y0", "x1", "y1")
+        few = n_sources <= broadcast_rows * LEAF_ROWS * FANOUT**height
+        met = front.join(F.broadcast(own) if few else own, F.col("node") == F.col("_up" if i else "_node"))
+        dx = F.greatest(F.col("x0") - F.col("tx"), F.col("tx") - F.col("x1"), F.lit(0.0))
+        dy = F.greatest(F.col("y0") - F.col("ty"), F.col("ty") - F.col("y1"), F.lit(0.0))
+        ends = {c: (F.abs(F.col(t) - F.col(f"{c}0")), F.abs(F.col(t) - F.col(f"{c}1"))) for c, t in (("x", "tx"), ("y", "ty"))}
+        near, far = ({c: f(*e) for c, e in ends.items()} for f in (F.least, F.greatest))
+        sure = F.sqrt(F.least(near["x"] * near["x"] + far["y"] * far["y"], near["y"] * near["y"] + far["x"] * far["x"]))
+        met = met.withColumns({"_low": F.sqrt(dx * dx + dy * dy), "ub": F.least("ub", F.min(sure).over(Window.partitionBy("t_id")))})
+        front = met.where(F.col("_low") <= F.col("ub") * (1 + 1e-12)).select("t_id", "tx", "ty", F.col("_node").alias("node"), "ub")
+        front = front if few else ws.save(front)
+    return front.select("t_id", "tx", "ty", F.col("node").alias("leaf"))
+
+
 def nearest(targets: DataFrame, sources: DataFrame, target_id: str, source_id: str, source_order: str | None = None, xy=("x", "y"), broadcast_rows: int = BROADCAST_ROWS, ws: Workspace | None = None) -> DataFrame:
     """The nearest source of every target: (target_id, source_id, metres), ties to the first source.
 
     Both sides carry projected coordinates; rows without them or without an id have no part. A target
-    that is in several places takes the source nearest to any. Sources are searched in rings of
-    grid cells: a target is done once its best source is nearer than all unseen cells, and the
-    others look further with twice the reach. Cells of a counted few sources are broadcast.
+    that is in several places takes the source nearest to any. Sources are searched in a tree of leaves
+    of equal counts along a Z-order curve, so a target sees a few leaves however sources are spread.
     """
     x, y = xy
     order = source_order or source_id
-    t = targets.select(F.col(target_id).alias("t_id"), F.col(x).alias("tx"), F.col(y).alias("ty")).where("t_id is not null and tx is not null and ty is not null").distinct()
-    s = sources.select(F.col(source_id).alias("s_id"), F.col(order).alias("s_ord"), F.col(x).alias("sx"), F.col(y).alias("sy")).where("sx is not null and sy is not null")
-    best = F.min(F.struct(distance("tx", "ty", "sx", "sy").alias("d"), F.col("s_ord").alias("o"), F.col("s_id").alias("s"))).alias("b")
+    known = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    t = targets.select(F.col(target_id).alias("t_id"), F.col(x).cast("double").alias("tx"), F.col(y).cast("double").alias("ty")).where(F.col("t_id").isNotNull() & known("tx", "ty")).distinct()
+    s = sources.select(F.col(source_id).alias("s_id"), F.col(order).alias("s_ord"), F.col(x).cast("double").alias("sx"), F.col(y).cast("double").alias("sy")).where(known("sx", "sy"))
     ws = ws or Workspace(t.sparkSession)
-    s, left, done, reach = ws.save(s), ws.save(t), None, 1
-    n, x0, x1, y0, y1 = s.agg(F.count(F.lit(1)), F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
-    step = max(x1 - x0, y1 - y0, 1e-9) / max(1.0, (n / 4) ** 0.5) if n else 1.0
-    while n and not left.isEmpty():
-        size = step * reach
-        at = lambda a: F.floor(F.col(a) / F.lit(size)).cast("long")
-        near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        asks = left.withColumn("_k", near).withColumns({"cx": at("tx") + F.col("_k.i"), "cy": at("ty") + F.col("_k.j")}).drop("_k")
-        cells = s.withColumns({"cx": at("sx"), "cy": at("sy")})
-        cells = F.broadcast(cells) if n <= broadcast_rows else cells
-        # all sources within one cell's width have been seen
-        hit = asks.join(cells, ["cx", "cy"]).groupBy("t_id", "tx", "ty").agg(best)
-        ok = ws.save(hit.where(F.col("b.d") <= F.lit(size)))
-        done = ok if done is None else done.unionByName(ok)
-        left = ws.save(left.join(ok.select("t_id", "tx", "ty"), ["t_id", "tx", "ty"], "left_anti"))
-        reach *= 2
-    if done is None:
-        done = t.select("t_id", F.lit(None).cast("double").alias("_none")).where("false").join(s, F.lit(False)).select("t_id", F.struct(F.col("_none").alias("d"), F.col("s_ord").alias("o"), F.col("s_id").alias("s")).alias("b"))
-    found = done.groupBy("t_id").agg(F.min("b").alias("b"))
+    s = ws.save(s)
+    n = s.count()
+    rows, levels = search_tree(s, ws)
+    leaves = nearest_leaves(ws.save(t), levels, n, broadcast_rows, ws)
+    met = leaves.join(F.broadcast(rows) if n <= broadcast_rows else rows, "leaf")
+    found = met.groupBy("t_id").agg(F.min(F.struct(distance("tx", "ty", "sx", "sy").alias("d"), F.col("s_ord").alias("o"), F.col("s_id").alias("s"))).alias("b"))
     return found.select(F.col("t_id").alias(target_id), F.col("b.s").alias(source_id), F.col("b.d").alias("metres"))
 
 

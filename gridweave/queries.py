@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import geo, text
 from gridweave.functions.weights import coupling, inverse_distance, whole_metres
-from gridweave.operators import dedup, features, graph, joins, summaries, tables
+from gridweave.operators import dedup, features, graph, joins, polygons, summaries, tables
 from gridweave.operators.ordering import ordinal
 from gridweave.plans import flood as flood_plan
 from gridweave.plans import present
@@ -546,4 +546,22 @@ def scc(spark, d):
     return graph.strong_components(order_trail(spark, d), n)
 
 
+@query("""WITH p AS (SELECT o_custkey AS key, 37 * o_orderkey % 101 * 1.0e0 AS x, 53 * o_orderkey % 89 * 1.0e0 AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+s AS (SELECT a.key, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.key = b.key AND b.i = a.i % a.n + 1),
+c AS (SELECT a.key, a.y1 + ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) * (a.y2 - a.y1) AS y
+  FROM s a JOIN s b ON a.key = b.key AND a.i < b.i AND (a.x2 - a.x1) * (b.y2 - b.y1) <> (a.y2 - a.y1) * (b.x2 - b.x1)
+  AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)),
+h AS (SELECT DISTINCT key, y FROM (SELECT key, y1 AS y FROM s UNION ALL SELECT key, y FROM c)),
+strips AS (SELECT key, y AS low, lead(y) OVER (PARTITION BY key ORDER BY y) AS high FROM h),
+cut AS (SELECT t.key, low, high - low AS tall, x1 + ((low + high) / 2 - y1) * (x2 - x1) / (y2 - y1) AS x FROM strips t JOIN s USING (key) WHERE high > low AND (y1 > (low + high) / 2) <> (y2 > (low + high) / 2)),
+signed AS (SELECT key, tall * x * CASE WHEN row_number() OVER (PARTITION BY key, low ORDER BY x) % 2 = 0 THEN 1 ELSE -1 END AS a FROM cut),
+areas AS (SELECT key, sum(a) AS area FROM signed GROUP BY key) SELECT key, round(area, 3) AS area FROM areas WHERE area > 0.0005e0""")
+def valid_polygon_areas(spark, d):
+    """Rings through each customer's orders, which cross themselves, made valid."""
+    k, w = F.col("o_orderkey"), F.struct("o_orderdate", "o_orderkey", "c")
+    o = table(spark, d, "orders").withColumn("c", F.array((k * 37 % 101).cast("double"), (k * 53 % 89).cast("double")))
+    rings = o.groupBy(F.col("o_custkey").alias("key")).agg(F.array(F.transform(F.array_sort(F.collect_list(w)), lambda s: s["c"])).alias("rings"))
+    return polygons.make_valid(rings, "key").where("area > 0.0005").select("key", F.round("area", 3).alias("area"))
+
+
 from gridweave import network_queries  # noqa: E402, F401 - adds its queries to the table above

@@ -47,3 +47,35 @@ def test_boxes_of_all_sizes_meet_by_cells(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     got = {r.k: r.division for r in joins.first_box(p, b, "k").collect()}
     assert got == {k: min([i for i, l, o, r, t in boxes if l <= x <= r and o <= y <= t], default=-1) for k, x, y in points}
+
+
+def test_strong_components_of_a_long_cycle_in_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 edges that closes, and one that doesn't: shortcuts take rounds by the logarithm."""
+    from gridweave.operators import graph
+
+    rounds, step = [], graph._step
+    monkeypatch.setattr(graph, "_step", lambda *a: rounds.append(1) or step(*a))
+    n = 10_001
+    chain = spark.range(n - 1).selectExpr("id AS u", "id + 1 AS v")
+    nodes = spark.range(n).withColumnRenamed("id", "node_id")
+    closed = chain.unionByName(spark.createDataFrame([(n - 1, 0)], "u long, v long"))
+    assert {r.component for r in graph.strong_components(closed, nodes).collect()} == {0}
+    assert len(rounds) < 40
+
+
+def test_strong_components_equal_plain_reachability(spark):
+    import random
+
+    from gridweave.operators import graph
+
+    r = random.Random(3)
+    n = 60
+    edges = {(r.randrange(n), r.randrange(n)) for _ in range(75)}
+    reach = {i: {i} for i in range(n)}
+    for _ in range(n):
+        for u, v in edges:
+            reach[u] |= reach[v]
+    want = {i: min(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n)}
+    e = spark.createDataFrame([*edges, (None, 3), (4, None)], "u long, v long")
+    found = graph.strong_components(e, spark.range(n).withColumnRenamed("id", "node_id"))
+    assert {x.node_id: x.component for x in found.collect()} == want

@@ -126,3 +126,41 @@ def test_layout_is_repeatable(spark):
     e = spark.createDataFrame([(f"n{i}", f"n{(i * 5 + 1) % 12}") for i in range(12)], "u string, v string")
     a, b = (sorted(map(tuple, graph.spring_layout(n, e).collect())) for _ in range(2))
     assert a == b and len(a) == 12
+
+
+def _plain_nearest(targets, sources):
+    return {t: min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, s) for s, a, b in sources) for t, x, y in targets}
+
+
+def test_nearest_with_an_outlier_sees_few_sources(spark):
+    """A city of sources and one 10,000 km away: the same rows, and under 200 boxes and sources a target."""
+    import random
+
+    from gridweave.operators import joins
+    from gridweave.workspace import Workspace
+
+    r = random.Random(8)
+    sources = [(i, r.gauss(0, 5000), r.gauss(0, 5000)) for i in range(4999)] + [(4999, 1e7, 1e7)] + [(5000 + i, 50.0, 50.0) for i in range(40)]
+    targets = [(i, r.gauss(0, 6000), r.gauss(0, 6000)) for i in range(300)] + [(300, 9e6, 9e6), (301, -4e6, 3e5), (302, 50.0, 50.0), (303, 51.0, 50.0)]
+    t, s = spark.createDataFrame(targets, "t long, x double, y double"), spark.createDataFrame(sources, "s long, x double, y double")
+    for rows in (joins.BROADCAST_ROWS, 2):
+        found = {x.t: (x.metres, x.s) for x in joins.nearest(t, s, "t", "s", broadcast_rows=rows).collect()}
+        want = _plain_nearest(targets, sources)
+        assert {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in want.items()}
+    ws = Workspace(spark)
+    placed, levels = joins.search_tree(s.selectExpr("s AS s_id", "s AS s_ord", "x AS sx", "y AS sy"), ws)
+    leaves = joins.nearest_leaves(t.selectExpr("t AS t_id", "x AS tx", "y AS ty"), levels, len(sources), joins.BROADCAST_ROWS, ws)
+    seen = [x["count"] for x in leaves.join(placed, "leaf").where("t_id < 301").groupBy("t_id").count().collect()]
+    assert max(seen) < 200 and sum(seen) / len(seen) < 80
+    ws.clear()
+
+
+def test_nearest_of_odd_rows(spark):
+    from gridweave.operators import joins
+
+    nan = float("nan")
+    s = spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", None, 1.0), ("d", nan, 1.0)], "s string, x double, y double")
+    t = spark.createDataFrame([(1, 1.0, 1.0), (1, 0.0, 2.0), (2, None, 1.0), (3, nan, nan), (None, 1.0, 1.0)], "t long, x double, y double")
+    assert [(r.t, r.s) for r in joins.nearest(t, s, "t", "s").collect()] == [(1, "a")]
+    assert joins.nearest(t, s.where("false"), "t", "s").count() == 0
+    assert joins.nearest(t.where("false"), s, "t", "s").count() == 0
