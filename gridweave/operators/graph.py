@@ -152,40 +152,6 @@ def local_index(nodes: DataFrame, kind: str = "infra_type", order: str = "ord",
     return out.withColumn("idx", F.col("_o") - F.col("_first")).drop("_o", "_kind", "_first")
 
 
-def spring_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 50, node_id: str = "node_id", order: str = "ord", limit: int = 5_000) -> DataFrame:
-    """(node_id, x, y) of the Fruchterman-Reingold layout, for drawing; at most ``limit`` nodes.
-
-    Forces act between all pairs, so only a graph that can be drawn is laid out. Nodes start
-    on a spiral by ``order``, so reruns agree.
-    """
-    import numpy as np
-
-    ids = [r[0] for r in nodes.orderBy(order).select(node_id).limit(limit + 1).collect()]
-    if len(ids) > limit:
-        raise ValueError(f"a layout of more than {limit} nodes can't be drawn")
-    place = {x: i for i, x in enumerate(ids)}
-    few = F.broadcast(nodes.select(F.col(node_id).alias("_n")))  # counted above
-    own = edges.select("u", "v").distinct().join(few, F.col("u") == F.col("_n"), "left_semi").join(few, F.col("v") == F.col("_n"), "left_semi")
-    pairs = [(place[r.u], place[r.v]) for r in own.collect()]
-    n = len(ids)
-    a = np.arange(n)
-    pos = np.c_[np.sqrt(a + 1) * np.cos(a * 2.399963), np.sqrt(a + 1) * np.sin(a * 2.399963)] / max(n, 1) ** 0.5
-    k, heat = 1 / max(n, 1) ** 0.5, 0.1
-    i, j = (np.array([p[s] for p in pairs], int) for s in (0, 1))
-    for _ in range(rounds):
-        d = pos[:, None] - pos[None]
-        far = np.maximum(np.sqrt((d * d).sum(2)), 1e-3)
-        move = (d * (k * k / far**2)[:, :, None]).sum(1)
-        e = pos[i] - pos[j]
-        pull = e * np.sqrt((e * e).sum(1))[:, None] / k
-        np.add.at(move, i, -pull)
-        np.add.at(move, j, pull)
-        size = np.maximum(np.sqrt((move * move).sum(1)), 1e-9)
-        pos += move / size[:, None] * np.minimum(size, heat)[:, None]
-        heat *= 0.95
-    return nodes.sparkSession.createDataFrame([(x, float(p[0]), float(p[1])) for x, p in zip(ids, pos, strict=True)], f"{node_id} {nodes.schema[node_id].dataType.simpleString()}, x double, y double")
-
-
 def stations_by_line(nodes: DataFrame, routes: str = "routes", node_id: str = "node_id", order: str = "ord") -> DataFrame:
     """(line, stations): ids of each line's stations in node order."""
     from gridweave.functions.text import tokens

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import geo, text
 from gridweave.functions.weights import coupling, inverse_distance, whole_metres
-from gridweave.operators import dedup, features, graph, joins, polygons, summaries, tables
+from gridweave.operators import dedup, features, graph, joins, layout, polygons, summaries, tables
 from gridweave.operators.ordering import ordinal
 from gridweave.plans import flood as flood_plan
 from gridweave.plans import present
@@ -564,4 +564,11 @@ def valid_polygon_areas(spark, d):
     return polygons.make_valid(rings, "key").where("area > 0.0005").select("key", F.round("area", 3).alias("area"))
 
 
+@query("")
+def spring_layout(spark, d):
+    """Customers laid out by the springs between those whose orders follow one another."""
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"))
+    return layout.spring_layout(n, order_trail(spark, d), rounds=4)
+
+
 from gridweave import network_queries  # noqa: E402, F401 - adds its queries to the table above

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.sources.documents import write_document
+
 KINDS = {"bigint": "long", "int": "long", "double": "double", "float": "double", "boolean": "boolean"}
 
 
-def features(df: DataFrame, x: str = "lon", y: str = "lat", coordinates: str | None = None, geometry: str = "Point") -> DataFrame:
-    """One JSON text a row: a GeoJSON feature, null properties left out."""
+def features_text(df: DataFrame, x: str = "lon", y: str = "lat", coordinates: str | None = None, geometry: str = "Point") -> Column:
+    """A row's GeoJSON feature as text, null properties left out."""
     place = F.col(coordinates) if coordinates else F.array(F.col(x).cast("double"), F.col(y).cast("double"))
     own = [c for c in df.columns if c != coordinates]
     shape = F.struct(F.lit(geometry).alias("type"), place.alias("coordinates"))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*own).alias("properties"), shape.alias("geometry"))).alias("value"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*own).alias("properties"), shape.alias("geometry")))
+
+
+def features(df: DataFrame, **shape) -> DataFrame:
+    """One JSON text a row: a GeoJSON feature, null properties left out."""
+    return df.select(features_text(df, **shape).alias("value"))
 
 
 def write_geojson(df: DataFrame, path: str, **shape) -> None:
@@ -22,11 +29,10 @@ def write_geojson(df: DataFrame, path: str, **shape) -> None:
 
 
 def write_feature_collection(df: DataFrame, path: str, order: str | None = None, **shape) -> None:
-    """One document, for small layers: a header, features with commas before all but the first, a foot."""
-    rows = df.orderBy(order) if order else df
-    texts = features(rows, **shape)
-    one = texts.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    one.coalesce(1).write.mode("overwrite").text(path)
+    """One document of any size, features by ``order``, written by parts that are joined when all are done."""
+    texts = features(df, **shape)
+    rows = texts if order is None else df.select(F.col(order).alias("_order"), features_text(df, **shape).alias("value"))
+    write_document(rows, [F.col("_order")] if order else None, path, "document.json", '{"type":"FeatureCollection","features":[', ",\n", "]}")
 
 
 def write_csv(df: DataFrame, path: str, drop: list[str] | None = None) -> None:
@@ -53,15 +59,10 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id")
     return top.unionByName(n).unionByName(e).unionByName(foot)
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "node_id", one_file: int = 1_000_000) -> None:
-    """A document in node and edge order: one file up to so many lines, as graph tools read it.
-
-    A larger one is written in parallel, as parts that make the document when put together by name.
-    """
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "node_id") -> None:
+    """One document of any size, in node and edge order, written by parts that are joined when all are done."""
     lines = graphml_lines(nodes, edges, node_id)
-    few = lines.limit(one_file + 1).count() <= one_file
-    dealt = lines.coalesce(1) if few else lines.repartitionByRange("part", "ord")
-    dealt.sortWithinPartitions("part", "ord").select("value").write.mode("overwrite").text(path)
+    write_document(lines, [F.col("part"), F.col("ord")], path, "document.graphml", foot="\n")
 
 
 def write_tensors(node_vectors: DataFrame, edge_vectors: DataFrame, path: str) -> dict:
@@ -77,5 +78,6 @@ def write_tensors(node_vectors: DataFrame, edge_vectors: DataFrame, path: str) -
 
 
 def write_lines(spark, lines: list[str], path: str) -> None:
-    """A short summary as text."""
-    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    """A short summary as one text file."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    write_document(rows, [F.col("i")], path, "document.txt", foot="\n")
