@@ -37,6 +37,16 @@ def utm(lat, lon, meridian: float = UTM18_MERIDIAN) -> tuple[Column, Column]:
     return x * r + FALSE_EASTING, y * r
 
 
+def _latitude(chi: Column) -> Column:
+    """Latitude of a conformal latitude, in radians, by its series in the eccentricity."""
+    e2 = ECCENTRICITY**2
+    d = (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120)
+    phi = chi
+    for k, c in enumerate(d, 1):
+        phi = phi + F.lit(c) * F.sin(chi * 2 * k)
+    return phi
+
+
 def utm_inverse(x, y, meridian: float = UTM18_MERIDIAN) -> tuple[Column, Column]:
     """(lat, lon) in degrees of UTM metres north of the equator."""
     r = SCALE * RECTIFYING_RADIUS
@@ -46,12 +56,7 @@ def utm_inverse(x, y, meridian: float = UTM18_MERIDIAN) -> tuple[Column, Column]
         xi0 = xi0 - F.lit(b) * F.sin(xi * 2 * k) * F.cosh(eta * 2 * k)
         eta0 = eta0 - F.lit(b) * F.cos(xi * 2 * k) * F.sinh(eta * 2 * k)
     chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    e2 = ECCENTRICITY**2
-    d = (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120)
-    phi = chi
-    for k, c in enumerate(d, 1):
-        phi = phi + F.lit(c) * F.sin(chi * 2 * k)
-    return F.degrees(phi), F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + F.lit(meridian)
+    return F.degrees(_latitude(chi)), F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + F.lit(meridian)
 
 
 # EPSG:2263, New York Long Island in US survey feet (Lambert conformal conic, two parallels).
@@ -64,17 +69,31 @@ def _lcc_t(phi: float) -> float:
     return math.tan(math.pi / 4 - phi / 2) / ((1 - s) / (1 + s)) ** (ECCENTRICITY / 2)
 
 
-def state_plane_feet(lat, lon) -> tuple[Column, Column]:
-    """(x, y) in EPSG:2263 feet of degrees (Snyder 1987)."""
+def _lcc_constants() -> tuple[float, float, float]:
+    """(cone, scaled radius, radius of the origin), in metres."""
     p1, p2 = (math.radians(p) for p in LCC_PARALLELS)
     m = [math.cos(p) / math.sqrt(1 - (ECCENTRICITY * math.sin(p)) ** 2) for p in (p1, p2)]
     n = math.log(m[0] / m[1]) / math.log(_lcc_t(p1) / _lcc_t(p2))
     big_f = m[0] / (n * _lcc_t(p1) ** n)
-    rho0 = SEMI_MAJOR * big_f * _lcc_t(math.radians(LCC_ORIGIN[0])) ** n
+    return n, SEMI_MAJOR * big_f, SEMI_MAJOR * big_f * _lcc_t(math.radians(LCC_ORIGIN[0])) ** n
+
+
+def state_plane_degrees(x, y) -> tuple[Column, Column]:
+    """(lat, lon) in degrees of EPSG:2263 feet."""
+    n, scaled, rho0 = _lcc_constants()
+    mx, my = col(x) * F.lit(FOOT) - LCC_EASTING_M, F.lit(rho0) - col(y) * F.lit(FOOT)
+    t = F.pow(F.sqrt(mx * mx + my * my) / scaled, F.lit(1 / n))
+    chi = F.lit(math.pi / 2) - F.atan(t) * 2
+    return F.degrees(_latitude(chi)), F.degrees(F.atan2(mx, my) / n) + F.lit(LCC_ORIGIN[1])
+
+
+def state_plane_feet(lat, lon) -> tuple[Column, Column]:
+    """(x, y) in EPSG:2263 feet of degrees (Snyder 1987)."""
+    n, scaled, rho0 = _lcc_constants()
     phi = F.radians(col(lat))
     s = F.sin(phi) * ECCENTRICITY
     t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - s) / (s + 1), F.lit(ECCENTRICITY / 2))
-    rho = F.pow(t, F.lit(n)) * (SEMI_MAJOR * big_f)
+    rho = F.pow(t, F.lit(n)) * scaled
     theta = F.radians(col(lon) - F.lit(LCC_ORIGIN[1])) * n
     return (rho * F.sin(theta) + LCC_EASTING_M) / FOOT, (F.lit(rho0) - rho * F.cos(theta)) / FOOT
 

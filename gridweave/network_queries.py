@@ -14,7 +14,8 @@ from gridweave.operators.tables import union_all
 from gridweave.plans import edges as E
 from gridweave.plans import nodes as N
 from gridweave.queries import KIND_OF, _case, _utm_sql, place, query, table
-from gridweave.sources import files, sinks
+from gridweave.functions import crs
+from gridweave.sources import files, rasters, services, sinks
 from gridweave.workspace import Workspace
 
 FAR = 10_000_000_000
@@ -233,3 +234,106 @@ def csv_round_trip(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit("POINT").alias("geometry"))
     sinks.write_csv(rows, f"{ws.root}/table")
     return files.csv(spark, f"{ws.root}/table", "key long, name string, balance double")
+
+
+_PLACES = "40.7e0 + (s_suppkey * 6151 % 5501) / 100000.0e0 AS y, -74.02e0 + (s_suppkey * 3571 % 5003) / 100000.0e0 AS x"
+
+
+@query(f"WITH s AS (SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance, {_PLACES} FROM supplier) SELECT * FROM s WHERE x BETWEEN -74.015e0 AND -73.98e0 AND y >= 40.705e0 AND y <= 40.745e0")
+def feature_service_pages(spark, d):
+    """Suppliers served by pages of 50 features; the box is handed to the service."""
+    ws = Workspace(spark)
+    s = table(spark, d, "supplier").withColumns(place("s_suppkey", 6151, 3571))
+    s = s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), "lat", "lon")
+    services.save_pages(s.select("key", sinks.features_text(s).alias("value")), f"{ws.root}/pages", 50, "key", ws)
+    services.register(spark)
+    layer = spark.read.format("feature_service").schema("key long, name string, balance double, x double, y double").option("size", 50).load(f"{ws.root}/pages")
+    return layer.where("x between -74.015 and -73.98 and y >= 40.705 and y <= 40.745")
+
+
+@query("""WITH c AS (SELECT c_custkey AS key, c_name AS name, -74.02e0 + (c_custkey * 104729 % 5003) / 100000.0e0 AS lon FROM customer)
+SELECT key, name, round(lon, 6) AS lon, CASE WHEN lon < -73.99e0 THEN 0 ELSE 1 END AS first_tile FROM c""")
+def tiled_boxes(spark, d):
+    """Customers in answers of two overlapping boxes, each once."""
+    ws = Workspace(spark)
+    c = table(spark, d, "customer").withColumns(place("c_custkey", 7919, 104729)).select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), "lon")
+    tiles = c.withColumn("tile", F.explode(F.array_compact(F.array(F.when(F.col("lon") < -73.99, 0), F.when(F.col("lon") > -74.0, 1)))))
+    tiles.withColumn("first_tile", F.col("tile")).write.partitionBy("tile").option("header", True).csv(f"{ws.root}/tiles")
+    services.register(spark)
+    rows = spark.read.format("tiled_csv").schema("tile int, line long, key long, name string, lon double, first_tile int").option("least", 0).load(f"{ws.root}/tiles")
+    return services.first_of_tiles(rows, ["key"]).withColumn("lon", F.round("lon", 6))
+
+
+@query("SELECT 's' || l_suppkey AS u, 'o' || l_orderkey AS v, l_quantity / 4 AS weight, l_linenumber AS line FROM lineitem")
+def graph_document_edges(spark, d):
+    """Line items as edges of a graph document, parallel ones too, written by many tasks and read again."""
+    ws, k = Workspace(spark), F.col("l_orderkey")
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("u"), F.concat(F.lit("o"), k).alias("v"), (F.col("l_quantity") / 4).alias("weight"), F.col("l_linenumber").alias("line"), (k * 10 + F.col("l_linenumber")).alias("ord"))
+    n = e.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    sinks.write_graphml(n, e, f"{ws.root}/graph")
+    return files.graphml_edges(spark, f"{ws.root}/graph").select("u", "v", "weight", F.col("line").cast("int").alias("line"))
+
+
+@query("""WITH e AS (SELECT event_type AS radio, 310 AS mcc, CAST(user_id AS BIGINT) AS net, CAST(event_id AS BIGINT) AS cell, round(40.7e0 + (user_id * 31 % 550) / 10000.0e0, 6) AS lat FROM events) SELECT * FROM e""")
+def gzip_towers(spark, d):
+    """Events as a gzipped export of cell towers, whose header is replaced."""
+    ws = Workspace(spark)
+    own = {"radio": F.col("event_type"), "mcc": F.lit(310), "net": F.col("user_id"), "cell": F.col("event_id"), "lat": F.lit(40.7) + (F.col("user_id") * 31 % 550) / F.lit(10000.0)}
+    names = [c.split()[0] for c in files.TOWER_COLUMNS.split(", ")]
+    rows = table(spark, d, "events").select(*[own.get(c, F.lit(1)).alias(f"any_{i}") for i, c in enumerate(names)])
+    rows.write.option("header", True).option("compression", "gzip").csv(f"{ws.root}/towers")
+    return files.towers(spark, f"{ws.root}/towers").select("radio", "mcc", F.col("net").cast("long").alias("net"), "cell", F.round("lat", 6).alias("lat"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INT) AS division, 980000.0e0 + s_suppkey * 100 AS left, 195000.0e0 - s_suppkey * 10 - (s_suppkey % 7 + 1) * 20 AS bottom,
+ 980000.0e0 + s_suppkey * 100 + (s_suppkey % 5 + 1) * 30 AS right, 195000.0e0 - s_suppkey * 10 AS top FROM supplier""")
+def raster_tile_bounds(spark, d):
+    """A GeoTIFF tile for each supplier, without pixels; bounds from its tags, numbered by name."""
+
+    def tiles(batches):
+        import struct
+
+        import pandas as pd
+
+        for pdf in batches:
+            content = []
+            for k in pdf["s_suppkey"].tolist():
+                head = struct.pack("<2sHIH", b"II", 42, 8, 4) + struct.pack("<HHIHH", 256, 3, 1, k % 5 + 1, 0) + struct.pack("<HHIHH", 257, 3, 1, k % 7 + 1, 0)
+                head += struct.pack("<HHII", 33550, 12, 3, 62) + struct.pack("<HHII", 33922, 12, 6, 86) + struct.pack("<I", 0)
+                content.append(head + struct.pack("<3d", 30.0, 20.0, 0.0) + struct.pack("<6d", 0, 0, 0, 980000.0 + k * 100, 195000.0 - k * 10, 0))
+            yield pd.DataFrame({"path": [f"tile_{k:012d}.tif" for k in pdf["s_suppkey"]], "content": content})
+
+    made = table(spark, d, "supplier").select("s_suppkey").mapInPandas(tiles, "path string, content binary")
+    return rasters.numbered_bounds(made)
+
+
+def _lambert_sql(lat: str, lon: str) -> str:
+    """x and y in feet of columns in degrees, as SQL: the conformal cone of two parallels."""
+    n, scaled, rho0 = geo._lcc_constants()
+    e = repr(geo.ECCENTRICITY) + "e0"
+    t = f"tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {e} * sin(radians({lat}))) / (1 + {e} * sin(radians({lat}))), {e} / 2)"
+    rho, theta = f"({scaled!r}e0 * pow({t}, {n!r}e0))", f"(radians({lon} + 74.0e0) * {n!r}e0)"
+    return f"({rho} * sin({theta}) + 300000.0e0) * 3937 / 1200 AS x, ({rho0!r}e0 - {rho} * cos({theta})) * 3937 / 1200 AS y"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS key, 40.7e0 + (s_suppkey * 6151 % 5501) / 100000.0e0 AS lat, -74.02e0 + (s_suppkey * 3571 % 5003) / 100000.0e0 AS lon FROM supplier), f AS (SELECT key, lat, lon, {_lambert_sql("lat", "lon")} FROM s)
+SELECT key, round(x, 3) AS x, round(y, 3) AS y, round(lat, 5) AS lat, round(lon, 5) AS lon FROM f""")
+def reference_systems(spark, d):
+    """Suppliers in degrees, UTM metres and state-plane feet by the tags of their columns, and back in degrees."""
+    s = table(spark, d, "supplier").withColumns(place("s_suppkey", 6151, 3571)).select(F.col("s_suppkey").alias("key"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    degrees = crs.tagged(s, "x", "y", 4326)
+    feet = crs.transformed(degrees, "x", "y", 2263)
+    back = crs.transformed(crs.transformed(feet, "x", "y", 32618), "x", "y", 4326).select("key", F.round("y", 5).alias("lat"), F.round("x", 5).alias("lon"))
+    return feet.join(back, "key").select("key", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "lat", "lon")
+
+
+@query(f"""WITH {NET}, n AS (SELECT 'nodes' AS part, infra_type AS name, count(*) AS rows, 2 AS width FROM base GROUP BY infra_type), e AS (SELECT 'edges' AS part, 'power__supplies__' || infra_type AS name, count(*) AS rows, 1 AS width FROM base WHERE infra_type <> 'power' GROUP BY infra_type)
+SELECT * FROM n UNION ALL SELECT * FROM e""")
+def tensor_bundle(spark, d):
+    """Vectors saved with digests taken while they are written, read back and compared; rows and widths of each part."""
+    ws = Workspace(spark)
+    n = network_nodes(spark, d)
+    vectors = n.select("infra_type", "ord", F.array("lat", "lon").alias("features"))
+    edges = n.where("infra_type <> 'power'").select(F.lit("power").alias("src_type"), F.lit("supplies").alias("relation"), F.col("infra_type").alias("dst_type"), "ord", F.array("lat").alias("attr"))
+    sinks.write_tensors(vectors, edges, f"{ws.root}/bundle")
+    return sinks.tensor_summary(spark, f"{ws.root}/bundle", ["features"], ["attr"])

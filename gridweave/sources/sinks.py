@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.sources.documents import write_document
@@ -65,16 +65,44 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str =
     write_document(lines, [F.col("part"), F.col("ord")], path, "document.graphml", foot="\n")
 
 
+def _contents(df: DataFrame) -> list[Column]:
+    """Rows, and the sum of their hashes, which no order changes."""
+    hashed = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(hashed), F.lit(0).cast("decimal(38,0)")).alias("digest")]
+
+
 def write_tensors(node_vectors: DataFrame, edge_vectors: DataFrame, path: str) -> dict:
-    """Vectors by kind and triplet as Parquet, read back and compared: their row counts."""
-    node_vectors.write.mode("overwrite").partitionBy("infra_type").parquet(f"{path}/nodes")
-    edge_vectors.write.mode("overwrite").partitionBy("src_type", "relation", "dst_type").parquet(f"{path}/edges")
-    spark = node_vectors.sparkSession
-    got = {"nodes": spark.read.parquet(f"{path}/nodes").count(), "edges": spark.read.parquet(f"{path}/edges").count()}
-    want = {"nodes": node_vectors.count(), "edges": edge_vectors.count()}
-    if got != want:
-        raise OSError(f"wrote {want} vectors and read {got}")
-    return got
+    """Vectors by kind and triplet as Parquet: their row counts, once read back and found the same.
+
+    Counts and digests are taken while the rows are written, so the vectors are computed once.
+    """
+    told = {}
+    for name, df, by in (("nodes", node_vectors, ["infra_type"]), ("edges", edge_vectors, ["src_type", "relation", "dst_type"])):
+        seen = Observation()
+        df.observe(seen, *_contents(df)).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+        told[name] = {"schema": df.schema, **seen.get}
+    check_tensors(node_vectors.sparkSession, path, told)
+    return {k: v["n"] for k, v in told.items()}
+
+
+def check_tensors(spark: SparkSession, path: str, told: dict) -> None:
+    """Read a bundle back; another count or digest than ``told`` for a part is an error."""
+    for name, t in told.items():
+        back = spark.read.schema(t["schema"]).parquet(f"{path}/{name}")
+        got = back.agg(*_contents(back)).first()
+        if (got.n, got.digest) != (t["n"], t["digest"]):
+            raise OSError(f"{name}: wrote {t['n']} rows with digest {t['digest']}, read {got.n} with {got.digest}")
+
+
+def tensor_summary(spark: SparkSession, path: str, node_columns: list[str], edge_columns: list[str]) -> DataFrame:
+    """(part, name, rows, width) of a bundle: a row for each kind of nodes and each triplet of edges."""
+    out = None
+    for part, by, vectors in (("nodes", ["infra_type"], node_columns), ("edges", ["src_type", "relation", "dst_type"], edge_columns)):
+        df = spark.read.parquet(f"{path}/{part}")
+        widths = [F.coalesce(F.max(F.size(c)), F.lit(0)) for c in vectors]
+        one = df.groupBy(F.concat_ws("__", *by).alias("name")).agg(F.count(F.lit(1)).alias("rows"), sum(widths[1:], widths[0]).alias("width")).select(F.lit(part).alias("part"), "name", "rows", "width")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def write_lines(spark, lines: list[str], path: str) -> None:
