@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo, text
-from gridweave.operators import graph
+from gridweave.operators import graph, tiles
 from gridweave.operators.tables import union_all
 from gridweave.plans import edges as E
 from gridweave.plans import nodes as N
@@ -337,3 +337,31 @@ def tensor_bundle(spark, d):
     edges = n.where("infra_type <> 'power'").select(F.lit("power").alias("src_type"), F.lit("supplies").alias("relation"), F.col("infra_type").alias("dst_type"), "ord", F.array("lat").alias("attr"))
     sinks.write_tensors(vectors, edges, f"{ws.root}/bundle")
     return sinks.tensor_summary(spark, f"{ws.root}/bundle", ["features"], ["attr"])
+
+
+def _mercator_sql(lat: str, lon: str, zoom: str) -> str:
+    """u and v of columns in units of a zoom, as SQL."""
+    return f"CAST(round(({lon} + 180) / 360 * pow(2, {zoom}) * 4096) AS BIGINT), CAST(round((0.5e0 - ln(tan(pi() / 4 + radians({lat}) / 2)) / (2 * pi())) * pow(2, {zoom}) * 4096) AS BIGINT)"
+
+
+@query(f"""WITH {NET}, z AS (SELECT unnest([11, 13, 15]) AS zoom), p AS (SELECT zoom, infra_type, CAST(floor((lon + 180) / 360 * pow(2, zoom)) AS INT) AS tx,
+CAST(floor((0.5e0 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * pow(2, zoom)) AS INT) AS ty FROM base, z) SELECT zoom, tx, ty, infra_type, count(*) AS n FROM p GROUP BY ALL""")
+def node_tiles(spark, d):
+    """Nodes by map tile and zoom: how many of each kind a tile draws."""
+    n = network_nodes(spark, d)
+    placed = tiles.point_tiles(n.withColumn("key", F.struct("infra_type", "node_id")), "key", [11, 13, 15])
+    return placed.groupBy("zoom", "tx", "ty", F.col("key.infra_type").alias("infra_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS key, 40.7e0 + (c_custkey * 7919 % 5501) / 100000.0e0 AS lat, -74.02e0 + (c_custkey * 104729 % 5003) / 100000.0e0 AS lon, 40.7e0 + (c_custkey * 6151 % 5501) / 100000.0e0 AS lat2, -74.02e0 + (c_custkey * 3571 % 5003) / 100000.0e0 AS lon2 FROM customer),
+z AS (SELECT unnest([10, 14]) AS zoom), p AS (SELECT key, zoom, [{_mercator_sql("lat", "lon", "zoom")}] AS a, [{_mercator_sql("lat2", "lon2", "zoom")}] AS b FROM c, z),
+s AS (SELECT key, zoom, a[1] AS u1, a[2] AS v1, b[1] AS u2, b[2] AS v2 FROM p WHERE a <> b),
+x AS (SELECT *, unnest(generate_series(least(u1, u2) // 4096, greatest(u1, u2) // 4096)) AS tx FROM s),
+y AS (SELECT *, CASE WHEN u1 = u2 THEN v1 ELSE v1 + (greatest(least(u1, u2), tx * 4096) - u1) * (v2 - v1) / CAST(u2 - u1 AS DOUBLE) END AS q, CASE WHEN u1 = u2 THEN v2 ELSE v1 + (least(greatest(u1, u2), (tx + 1) * 4096) - u1) * (v2 - v1) / CAST(u2 - u1 AS DOUBLE) END AS r FROM x),
+t AS (SELECT key, zoom, tx, unnest(generate_series(CAST(floor(least(q, r) / 4096) AS BIGINT), CAST(floor(greatest(q, r) / 4096) AS BIGINT))) AS ty FROM y)
+SELECT zoom, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, count(*) AS n, count(DISTINCT key) AS lines FROM t GROUP BY ALL""")
+def line_tiles(spark, d):
+    """Lines from each customer's place to another, cut to map tiles: how many pieces a tile draws."""
+    c = table(spark, d, "customer").withColumns(place("c_custkey", 7919, 104729)).withColumnsRenamed({"lat": "lat1", "lon": "lon1"}).withColumns(place("c_custkey", 6151, 3571))
+    lines = c.select("c_custkey", F.array(F.array("lon1", "lat1"), F.array("lon", "lat")).alias("coordinates"))
+    return tiles.line_tiles(lines, "c_custkey", [10, 14]).groupBy("zoom", "tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("lines"))
