@@ -21,7 +21,8 @@ UNITS = 4096
 def mercator(lat, lon) -> tuple[Column, Column]:
     """(u, v) in 0..1 from the north-west corner of the map; latitudes beyond the map are its edge."""
     y = F.radians(F.when(col(lat).isNotNull(), F.greatest(F.least(col(lat), F.lit(85.05112878)), F.lit(-85.05112878))))  # least and greatest pass over a null
-    return (col(lon) + 180.0) / 360.0, F.lit(0.5) - F.log(F.tan(F.lit(math.pi / 4) + y / 2)) / F.lit(2 * math.pi)
+    v = F.lit(0.5) - F.log(F.tan(F.lit(math.pi / 4) + y / 2)) / F.lit(2 * math.pi)
+    return (col(lon) + 180.0) / 360.0, F.when(v < 0, 0.0).when(v > 1, 1.0).otherwise(v)
 
 
 def _zoomed(df: DataFrame, zooms: Sequence[int]) -> DataFrame:
