@@ -62,7 +62,8 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id")
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "node_id") -> None:
     """One document of any size, in node and edge order, written by parts that are joined when all are done."""
     lines = graphml_lines(nodes, edges, node_id)
-    write_document(lines, [F.col("part"), F.col("ord")], path, "document.graphml", foot="\n")
+    # lines without an order of their own are dealt by their text, so that they don't all come to one task
+    write_document(lines, [F.col("part"), F.col("ord"), F.col("value")], path, "document.graphml", foot="\n")
 
 
 def _contents(df: DataFrame) -> list[Column]:
