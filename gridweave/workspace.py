@@ -56,9 +56,19 @@ class Workspace:
         self._tables: list[str] = []
         ship(spark)
 
-    def own_table(self, name: str) -> None:
-        """Have a table of the catalog dropped with the others."""
+    def own_table(self, name: str) -> str:
+        """The folder for a table of the catalog, which is dropped with the others."""
         self._tables.append(name)
+        self._paths.append(f"{self.root}/{name}")
+        return self._paths[-1]
+
+    def adopt(self, df: DataFrame) -> DataFrame:
+        """Own what another workspace saved, or save ``df`` if it isn't a table as saved."""
+        path = getattr(df, "_workspace_path", None)
+        if path is None:
+            return self.save(df)
+        self._paths.append(path)
+        return df
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the table read back."""
@@ -83,10 +93,10 @@ class Workspace:
 
     def clear(self) -> None:
         """Delete all tables saved here."""
-        for path in list(self._paths):
-            self._delete(path)
         while self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
+        for path in list(self._paths):
+            self._delete(path)
         self.release()
 
     def release(self) -> None:
