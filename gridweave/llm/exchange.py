@@ -33,6 +33,8 @@ from gridweave.workspace import Workspace
 BLOCK_BYTES, BUCKET_BYTES = (4 << 20, 64 << 20), 256 << 20
 #: Blocks of one part of the table at most: Spark allows 100,000 buckets; more blocks make more parts.
 TABLE_BLOCKS = 50_000
+#: Equal rows of more than half so many are dealt to several blocks, however short they are.
+BLOCK_ROWS = 200_000
 SENT = "block int, bucket int, kind int, keys binary, vals binary"
 ANSWER = "block int, bucket int, kind int, bits binary"
 _SENT_NAMES = ["block", "bucket", "kind", "keys", "vals"]
@@ -41,29 +43,55 @@ _SENT_NAMES = ["block", "bucket", "kind", "keys", "vals"]
 class Blocks:
     """Documents (doc_id, text and more) in a table bucketed by block, so that rounds don't shuffle texts again.
 
-    A row's block follows from its id and text, so rows that repeat an id or lack one spread out.
+    A row's block follows from its id and text, so rows that repeat an id or lack one spread out;
+    rows equal in both that would fill a block are dealt to all blocks. The table lies in the workspace.
     ``prepare`` may turn each block's rows to rows of ``schema`` (with a block column) that are
     written in their stead.
     """
 
     def __init__(self, docs: DataFrame, ws: Workspace, prepare: Callable | None = None, schema: StructType | None = None):
         self.ws, self.spark = ws, docs.sparkSession
-        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        # rows equal in id and text are counted before anything is dealt out
+        own = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        alike = docs.groupBy(F.xxhash64("doc_id", "text", F.lit(7)).alias("_hash")).agg(F.sum(own).alias("_bytes"), F.count(F.lit(1)).alias("_times"))
+        alike = ws.save(alike)
+        total = alike.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
         self.bytes = total
         size = min(max(BLOCK_BYTES[0], total // 20_000), BLOCK_BYTES[1])
         self.n = max(1, -(-total // size))
         self.n_buckets = max(1, -(-total // min(max(BLOCK_BYTES[0], total // 20_000), BUCKET_BYTES)))
         block = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(self.n)).cast("int").alias("block")
+        many = self._spread(docs, alike, size)
         m = min(self.n, TABLE_BLOCKS)
-        dealt = docs.select(block, "*").repartition(m, "block")
+        dealt = docs.select(block, "*") if many is None else many
+        dealt = dealt.repartition(m, "block")
         if prepare is not None:
             dealt = dealt.groupBy("block").applyInArrow(prepare, schema)
         part = F.floor(F.col("block") / TABLE_BLOCKS).cast("int").alias("_part")
         self.name = f"blocks_{uuid.uuid4().hex}"
-        dealt.select(part, "*").write.format("parquet").option("compression", "zstd").partitionBy("_part").bucketBy(m, "block").saveAsTable(self.name)
-        ws.own_table(self.name)
+        dealt.select(part, "*").write.format("parquet").option("compression", "zstd").partitionBy("_part").bucketBy(m, "block").option("path", ws.own_table(self.name)).saveAsTable(self.name)
+        ws.drop(alike)
         self.parts = -(-self.n // TABLE_BLOCKS)
 
+    def _spread(self, docs: DataFrame, alike: DataFrame, size: int) -> DataFrame | None:
+        """``docs`` with blocks in which equal rows of more than half a block's bytes or rows lie apart; None if there are none.
+
+        Such rows are saved, and dealt by their places in the saved files, which a task that runs
+        again finds unchanged. Their hashes are at most two a block's worth of bytes or rows.
+        """
+        heavy = alike.where((F.col("_times") > 1) & ((F.col("_bytes") > size // 2) | (F.col("_times") > BLOCK_ROWS // 2))).select("_hash")
+        n = heavy.count()
+        if n == 0:
+            return None
+        if n <= 1_000_000:
+            heavy = F.broadcast(heavy)
+        hashed = docs.withColumn("_hash", F.xxhash64("doc_id", "text", F.lit(7)))
+        block = F.pmod(F.col("_hash"), F.lit(self.n)).cast("int").alias("block")
+        apart = self.ws.save(hashed.join(heavy, "_hash", "left_semi").select(*docs.columns))
+        anywhere = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(self.n)).cast("int").alias("block")
+        rest = hashed.join(heavy, "_hash", "left_anti").select(block, *docs.columns)
+        return rest.unionByName(apart.select(anywhere, "*"))
+
     def _each_part(self):
         """(rows of a part, condition of its blocks)."""
         table = self.spark.table(self.name)

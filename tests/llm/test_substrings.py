@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 from gridweave.llm import arrays, substrings
@@ -155,3 +156,36 @@ def test_word_spans_do_not_cross_texts():
     buf = np.frombuffer(b"ab cdef  g", np.uint8)
     s, e, t = arrays.word_spans(buf, np.array([0, 2, 5, 5, 10]))
     assert [(buf[a:b].tobytes(), int(k)) for a, b, k in zip(s, e, t)] == [(b"ab", 0), (b"cd", 1), (b"ef", 3), (b"g", 3)]
+
+
+def test_equal_rows_lie_in_several_blocks(spark, monkeypatch):
+    """Copies of one row, its id null or not, don't share a block, and results stay those of every window."""
+    from gridweave.llm import exchange
+    from gridweave.workspace import Workspace
+
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", (4000, 4000))
+    text = "the same notice stands in every one of these rows, word for word"
+    rows = corpus(3, 20) + [(None, text)] * 300 + [(77, text)] * 300 + [(78, f"a row of its own {text}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ws = Workspace(spark)
+    blocks = exchange.Blocks(docs, ws)
+    table = spark.table(blocks.name)
+    assert table.count() == len(rows)
+    for own in ("doc_id is null", "doc_id = 77"):
+        by_block = [r["count"] for r in table.where(own).groupBy("block").count().collect()]
+        assert len(by_block) > blocks.n / 2 and max(by_block) < 100
+    ws.clear()
+    assert digest_rows(substrings.removed_spans(docs)) == brute(rows)
+
+
+def test_blocks_stay_out_of_the_warehouse(spark):
+    from gridweave.llm import exchange
+    from gridweave.workspace import Workspace
+
+    ws = Workspace(spark)
+    blocks = exchange.Blocks(spark.createDataFrame(corpus(4, 10), "doc_id long, text string"), ws)
+    place = spark.sql(f"DESCRIBE FORMATTED {blocks.name}").where("col_name = 'Location'").first().data_type
+    path = ws.root.removeprefix("file://")
+    assert path in place and os.path.isdir(f"{path}/{blocks.name}")
+    ws.clear()
+    assert not os.path.exists(f"{path}/{blocks.name}") and not spark.catalog.tableExists(blocks.name)
