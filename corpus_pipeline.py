@@ -72,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            out, before = ws.save(out), docs
+            out, before = ws.adopt(out), docs  # written once: a stage that has saved its result isn't written again
             ws.drop(before)
         docs = out
     return docs
