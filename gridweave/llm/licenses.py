@@ -1,13 +1,15 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
-What is compared is every passage of a text, for headers, and the text as a whole, for licence
-files. Everything here is DataFrame operations. Words count over all files give the weights, so the
-words that licences share with prose weigh little.
+What is compared is every passage of a text and every window of words, for headers and openings of
+long licences, and the text as a whole, for short ones. Everything here is DataFrame operations. A
+word's weight falls with the licences that use it, and no weight hangs on other files, so a file has
+one licence in any corpus. Versions and variants differ by single words; those decide by rules of their own (``MARKS``).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from gridweave.workspace import Workspace
 
-#: Notices and opening sentences of public licences, by SPDX name.
+#: Notices, openings and short full texts of public licences, by SPDX name; further, where one text
+#: serves two licences, words of the whole file: one of each list needed, and those that must be absent.
 TEMPLATES = [
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
@@ -27,7 +30,8 @@ TEMPLATES = [
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("BSD-3-Clause", "Licensed under the 3-Clause BSD License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted", [["endorse"]], []),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted", [], ["endorse"]),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -43,16 +47,61 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
-    ("BSD-2-Clause", "BSD 2-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSD-3-Clause", "BSD 3-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "BSD 2-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", [], ["endorse"]),
+    ("BSD-3-Clause", "BSD 3-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", [["endorse"]], []),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989 Copyright (C) 1989 Free Software Foundation, Inc. 51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The license agreements of most software companies try to keep users at the mercy of those companies."),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 Free Software Foundation, Inc. 51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This is the first released version of the library GPL. It is numbered 2 because it goes with version 2 of the ordinary GPL."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. \"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions. 1.0.1. \"Commercial Use\" means distribution or otherwise making the Covered Code available to a third party. 1.1. \"Contributor\" means each entity that creates or contributes to the creation of Modifications."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT. 1. DEFINITIONS"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License (\"Public License\")."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN \"AS-IS\" BASIS. CREATIVE COMMONS MAKES NO WARRANTIES REGARDING THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
+#: Words that tell versions and variants apart. A passage, window or whole text counts for a licence only with
+#: one word of each first list and none of the second.
+MARKS = {
+    "Apache-2.0": ([["apache"], ["2"]], []),
+    "GPL-1.0": ([["general"], ["public"], ["1"]], ["lesser", "library", "affero", "2", "3"]),
+    "LGPL-2.0": ([["library"], ["general"], ["2"]], ["lesser", "affero"]),
+    "GPL-2.0": ([["general"], ["public"], ["2"]], ["lesser", "library", "affero"]),
+    "GPL-3.0": ([["general"], ["public"], ["3"]], ["lesser", "library", "affero"]),
+    "LGPL-2.1": ([["lesser"], ["2"], ["1"]], ["affero"]),
+    "LGPL-3.0": ([["lesser"], ["3"]], ["affero"]),
+    "AGPL-3.0": ([["affero"], ["3"]], []),
+    "MPL-2.0": ([["mozilla"], ["2"]], []),
+    "MPL-1.1": ([["mozilla"], ["1"]], []),
+    "EPL-2.0": ([["eclipse"], ["2"]], []),
+    "BSL-1.0": ([["boost"], ["1"]], []),
+    "CC0-1.0": ([["cc0"]], []),
+    "CC-BY-4.0": ([["cc", "creative"], ["4"]], ["sa", "sharealike", "nc", "noncommercial", "nd", "noderivatives"]),
+    "CC-BY-SA-4.0": ([["sa", "sharealike"], ["4"]], ["nc", "noncommercial", "nd", "noderivatives"]),
+    "CC-BY-NC-4.0": ([["nc", "noncommercial"], ["4"]], ["sa", "sharealike", "nd", "noderivatives"]),
+}
 TOKEN = "[a-z0-9]+"
 #: Least cosine of a notice.
 THRESHOLD = 0.6
 #: Names of files that license their directory and all below, without regard to case.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
-#: Documents of at most so many characters may stand as licence files.
-LICENSE_CHARS = 600
+#: Words of windows: for headers, and for openings of licence files. One begins every half of a window; texts of no more words
+#: are their own window.
+WINDOWS = (32, 64)
 #: Passages end at line ends and after marks that white space follows.
 PASSAGE_END = r"\n|(?<=[.;:!?])\s"
 
@@ -62,21 +111,37 @@ def tokens(text: Column) -> Column:
 
 
 def templates(spark, notices=TEMPLATES) -> DataFrame:
-    rows = [(i, name, text) for i, (name, text) in enumerate(notices)]
-    return spark.createDataFrame(rows, "template int, license string, notice string")
+    """A row a notice, with the number of its rule among the distinct conditions."""
+    told = conditions(notices)
+    rules = [c for i, c in enumerate(told) if c not in told[:i]]
+    rows = [(i, x[0], x[1], rules.index(c)) for i, (x, c) in enumerate(zip(notices, told, strict=True))]
+    return spark.createDataFrame(rows, "template int, license string, notice string, rule int")
 
 
-def may_reach(weights: dict[int, dict[str, float]], threshold: float) -> Callable[[Column], Column]:
+def conditions(notices=TEMPLATES) -> list[tuple]:
+    """By template: words that a passage needs (one of each list) and must not have, and those of its file."""
+    return [(*MARKS.get(x[0], ([], [])), *(x[2:] or ([], []))) for x in notices]
+
+
+def _has(words: Column, needs: list[list[str]], bars: list[str]) -> Column:
+    any_of = lambda given: F.arrays_overlap(words, F.array(*[F.lit(w) for w in given]))
+    out = F.lit(True)
+    for given in needs:
+        out = out & any_of(given)
+    return out & ~any_of(bars) if bars else out
+
+
+def may_reach(weights: dict[int, dict[str, float]], threshold: float, needs: dict[int, list]) -> Callable[[Column], Column]:
     """Whether a text with these of the templates' words can have a passage of such a cosine.
 
     A passage's cosine to a template is at most the norm of the template's weights of the words
     that they share. So those words' squares sum to the threshold's at least, and one of them is
-    among the greatest weights, without which the others' squares don't. The number of shared words is looked
-    at before their squares.
+    among the greatest weights, without which the others' squares don't. The words that a template needs and the
+    number of shared words are looked at before the squares.
     """
     least = max(threshold - 1e-6, 0.0) ** 2  # cosines are rounded
     heads, rules = set(), []
-    for own in weights.values():
+    for template, own in weights.items():
         by_weight = sorted(own.items(), key=lambda x: (-x[1], x[0]))
         rest = sum(w * w for w in own.values())
         for token, w in by_weight:
@@ -86,64 +151,80 @@ def may_reach(weights: dict[int, dict[str, float]], threshold: float) -> Callabl
             rest -= w * w
         sums = list(itertools.accumulate(w * w for _, w in by_weight))
         few = next(k for k, x in enumerate(sums, 1) if x + 1e-9 >= least)
-        rules.append((few, F.array(*[F.lit(t) for t, _ in by_weight]), F.array(*[F.lit(w * w) for _, w in by_weight])))
+        rules.append((needs[template], few, F.array(*[F.lit(t) for t, _ in by_weight]), F.array(*[F.lit(w * w) for _, w in by_weight])))
 
     def test(words: Column) -> Column:
         any_head = F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(heads)]))
         reach = F.lit(False)
-        for few, tokens_of, squares in rules:
+        for needed, few, tokens_of, squares in rules:
             shared = F.array_intersect(words, tokens_of)
             total = F.aggregate(shared, F.lit(1e-9), lambda x, t: x + F.get(squares, F.array_position(tokens_of, t).cast("int") - 1))  # noqa: B023
-            reach = reach | ((F.size(shared) >= few) & (total >= least))
+            reach = reach | (_has(words, needed, []) & (F.size(shared) >= few) & (total >= least))
         return any_head & reach
 
     return test
 
 
+def windows(words: Column, k: int) -> Column:
+    """(place, words) of each window of the ``k``-th size; none if the words are no more than one."""
+    size = WINDOWS[k]
+    last = F.ceil((F.size(words) - size) / (size // 2)).cast("int")
+    places = F.when(F.size(words) > size, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct((-2 - i * len(WINDOWS) - k).alias("place"), F.slice(words, i * (size // 2) + 1, F.lit(size)).alias("words")))
+
+
 def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", notices=TEMPLATES) -> DataFrame:
     """The licence of each file: its own, else that of the nearest directory above that has one.
 
     Returns a row per input row: doc_id, path, license, similarity, basis (``own``, ``inherited``
     or ``none``) and license_path (the directory inherited from). A file's own licence is that
-    of the template nearest to a passage or to the whole text, ties by name; files named as ``LICENSE_FILE`` give
+    of the template nearest to a passage, a window of words or the whole text, among those whose marks are met, ties by name; files
+    named as ``LICENSE_FILE`` give
     theirs to their directory, the nearest to a template first. A null text has no licence and
     a null path no directory. Ids need not be unique: rows are told apart by a row key of id,
     path and text, and equal rows get equal results. An empty table gives an empty result;
-    other columns are not read. ``notices`` are (licence, text) to compare with.
+    other columns are not read. ``notices`` are (licence, text) to compare with, or as ``TEMPLATES``.
     """
     spark = files.sparkSession
     ws = Workspace(spark)
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     key = F.xxhash64("doc_id", "path", F.coalesce("text", F.lit("")))
-    shape = templates(spark, notices).select("template", "license", F.explode(tokens(F.col("notice"))).alias("token"))
-    vocabulary = F.array(*[F.lit(r.token) for r in shape.select("token").distinct().orderBy("token").collect()])
-    n_files = rows.count()
-    seen = ws.save(rows.select(key.alias("key"), "doc_id", "path", F.array_intersect(tokens(F.coalesce("text", F.lit(""))), vocabulary).alias("words"), "text").withColumn("text", F.when(F.size("words") > 0, F.col("text"))))
-    found = seen.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = F.log(F.lit(n_files + 1.0)) + 1
-    weights = shape.select("token").distinct().join(found, "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
-    weights = ws.save(weights.withColumn("idf", F.log((F.lit(n_files) + 1.0) / (F.col("df") + 1.0)) + 1))
-    # a template's weights; both tables have a row a word of the templates
-    shaped = shape.groupBy("template", "license", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
+    rows = rows.withColumn("key", key)
+    told = conditions(notices)
+    rules = [c for i, c in enumerate(told) if c not in told[:i]]
+    marks = {w for needs, bars, file_needs, file_bars in told for given in (*needs, bars, *file_needs, file_bars) for w in given}
+    shape = templates(spark, notices).select("template", "license", "rule", F.explode(tokens(F.col("notice"))).alias("token"))
+    # weights by licences; all tables of templates have a row a word of a template
+    n_licenses = len({x[0] for x in notices})
+    rarest = F.lit(math.log(n_licenses + 1.0) + 1)
+    weights = ws.save(shape.groupBy("token").agg(F.count_distinct("license").alias("df")).select("token", (F.log((F.lit(n_licenses) + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf")))
+    shaped = shape.groupBy("template", "license", "rule", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
     norms = shaped.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("t_norm"))
-    shaped = ws.save(shaped.join(norms, "template").select("token", "template", "license", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")))
+    shaped = ws.save(shaped.join(norms, "template").select("token", "template", "license", "rule", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")))
     by_template = {}
-    for r in shaped.collect():  # a row a word of a template
+    for r in shaped.collect():
         by_template.setdefault(r.template, {})[r.token] = r.t_weight
-    reaches = may_reach(by_template, threshold)
-    holders = seen.where(reaches(F.col("words"))).select("key", "text").distinct()
-    units = F.concat(F.transform(F.split("text", PASSAGE_END), lambda x, i: F.struct(i.alias("place"), x.alias("passage"))), F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("passage"))))
-    passages = holders.select("key", F.inline(units))
-    passages = passages.select("key", "place", tokens(F.col("passage")).alias("words"))
-    passages = passages.withColumn("shared", F.array_intersect("words", vocabulary)).where(reaches(F.col("shared")))
-    counted = passages.select("key", "place", F.explode("words").alias("token")).groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("tf"))
+    vocabulary = F.array(*[F.lit(w) for w in sorted(marks.union(*by_template.values()))])
+    reaches = may_reach(by_template, threshold, {i: needs + file_needs for i, (needs, _, file_needs, _) in enumerate(told)})
+    reaches_by_passage = may_reach(by_template, threshold, {i: needs for i, (needs, *_) in enumerate(told)})
+    met = lambda words, part: F.array_compact(F.array(*[F.when(_has(F.col(words), *c[part]), F.lit(i)) for i, c in enumerate(rules)]))
+    holders = rows.select("key", "text", F.array_intersect(tokens(F.coalesce("text", F.lit(""))), vocabulary).alias("held")).where(reaches(F.col("held"))).distinct()
+    holders = holders.select("key", "text", met("held", slice(2, 4)).alias("by_file"), tokens(F.col("text")).alias("all_words"))
+    lines = F.transform(F.split("text", PASSAGE_END), lambda x, i: F.struct(i.alias("place"), tokens(x).alias("words")))
+    whole = F.array(F.struct(F.lit(-1).alias("place"), F.col("all_words").alias("words")))
+    units = F.concat(lines, whole, *[windows(F.col("all_words"), k) for k in range(len(WINDOWS))])
+    passages = holders.select("key", "by_file", F.inline(units))
+    passages = passages.withColumn("shared", F.array_intersect("words", vocabulary)).where(reaches_by_passage(F.col("shared")))
+    passages = passages.select("key", "place", "words", F.array_intersect(met("shared", slice(0, 2)), "by_file").alias("open"))
+    counted = passages.where(F.size("open") > 0).select("key", "place", "open", F.explode("words").alias("token")).groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("tf"), F.any_value("open").alias("open"))
     counted = counted.join(F.broadcast(weights.select("token", "idf")), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest))
     counted = ws.save(counted)
     p_norm = counted.groupBy("key", "place").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("p_norm"))
-    dots = counted.join(F.broadcast(shaped), "token").groupBy("key", "place", "template", "license").agg(F.sum(F.col("w") * F.col("t_weight")).alias("dot"))
+    dots = counted.join(F.broadcast(shaped), "token").where(F.array_contains("open", F.col("rule")))
+    dots = dots.groupBy("key", "place", "template", "license").agg(F.sum(F.col("w") * F.col("t_weight")).alias("dot"))
     scored = dots.join(p_norm, ["key", "place"]).withColumn("similarity", F.round(F.col("dot") / F.col("p_norm"), 6)).where(F.col("similarity") >= threshold)
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("key", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_similarity"))
-    known = ws.save(seen.select("key", "doc_id", "path").join(best, "key", "left"))
+    known = ws.save(rows.select("key", "doc_id", "path").join(best, "key", "left"))
     parts = F.split("path", "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     grants = known.where(F.col("own").isNotNull() & F.element_at(parts, -1).rlike(LICENSE_FILE)).select(folder.alias("folder"), "own", "own_similarity")
@@ -166,11 +247,11 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 def document_paths(docs: DataFrame) -> DataFrame:
     """Documents as files: a folder a source, in it one a hundred ids.
 
-    A short document whose first or last line is a notice stands as its folder's licence file.
+    A document whose first or last line is a notice stands as its folder's licence file.
     """
     notice = F.lit(r"(?i)^(released|(this work is )?licensed) under [^.]*([.][0-9]+)*[.]?$")
     edge = F.regexp_like(F.substring_index("text", "\n", 1), notice) | F.regexp_like(F.substring_index("text", "\n", -1), notice)
-    alone = F.coalesce(edge & (F.length("text") <= LICENSE_CHARS), F.lit(False))
+    alone = F.coalesce(edge, F.lit(False))
     name = F.when(alone, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), name)
     return docs.select("doc_id", path.alias("path"), "text")

@@ -146,7 +146,10 @@ def oracle_sql() -> dict[str, str]:
     from gridweave.llm import licenses
     from gridweave.llm.quality import STOP_WORDS
 
-    notices = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+    notices = ", ".join("({}, '{}', '{}')".format(i, x[0], x[1].replace("'", "''")) for i, x in enumerate(licenses.TEMPLATES))
+    any_of = lambda words, given: f"list_has_any({words}, {given})"
+    marked = lambda words, needs, bars: [any_of(words, g) for g in needs] + ([f"NOT {any_of(words, bars)}"] if bars else [])
+    open_to = " ".join(f"WHEN {i} THEN " + (" AND ".join(marked("words", c[0], c[1]) + marked("held", c[2], c[3])) or "true") for i, c in enumerate(licenses.conditions()))
     stop = ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
     return {
         "op13_centroids": _rounds_sql(40, 5, 64),
@@ -180,27 +183,30 @@ SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS take
 """,
         "op7_license_scan": rf"""
 WITH docs AS (SELECT doc_id, coalesce(source, 'unknown') AS source, text, '(?i)^(released|(this work is )?licensed) under [^.]*([.][0-9]+)*[.]?$' AS notice FROM documents),
-rows AS (SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 100 AS VARCHAR), CASE WHEN coalesce((regexp_matches(string_split(text, chr(10))[1], notice)
-  OR regexp_matches(string_split(text, chr(10))[-1], notice)) AND length(text) <= {licenses.LICENSE_CHARS}, false) THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END) AS path FROM docs),
+rows AS (SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 100 AS VARCHAR), CASE WHEN coalesce(regexp_matches(string_split(text, chr(10))[1], notice)
+  OR regexp_matches(string_split(text, chr(10))[-1], notice), false) THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END) AS path FROM docs),
 shape AS (SELECT template, license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS token FROM (VALUES {notices}) AS t(template, license, notice)),
-vocab AS (SELECT DISTINCT token FROM shape),
 seen AS (SELECT doc_id, path, text, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS words FROM rows),
-total AS (SELECT count(*) AS n FROM rows),
-found AS (SELECT token, count(*) AS df FROM (SELECT unnest(words) AS token FROM seen) JOIN vocab USING (token) GROUP BY token),
-weights AS (SELECT token, ln((n + 1.0e0) / (coalesce(df, 0) + 1.0e0)) + 1 AS idf FROM vocab LEFT JOIN found USING (token), total),
+total AS (SELECT count(DISTINCT license) AS n FROM shape),
+weights AS (SELECT token, any_value(ln((n + 1.0e0) / (df + 1.0e0)) + 1) AS idf FROM (SELECT token, count(DISTINCT license) AS df FROM shape GROUP BY token), total GROUP BY token),
 shaped AS (SELECT template, license, token, count(*) * any_value(idf) AS w FROM shape JOIN weights USING (token) GROUP BY ALL),
 normed AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS t_weight FROM shaped),
-holders AS (SELECT DISTINCT doc_id, path, text FROM seen WHERE len(words) > 0),
+holders AS (SELECT DISTINCT doc_id, path, text, words AS held FROM seen WHERE len(words) > 0),
 cut AS (SELECT doc_id, path, string_split(regexp_replace(text, '([.;:!?])[ 	
 
 ]', '' || chr(10), 'g'), chr(10)) AS parts FROM holders),
 placed AS (SELECT doc_id, path, unnest(range(len(parts))) AS place, unnest(parts) AS passage FROM cut),
-told AS (SELECT doc_id, path, place, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM placed UNION ALL SELECT doc_id, path, -1, regexp_extract_all(lower(text), '[a-z0-9]+') FROM holders),
+full_texts AS (SELECT doc_id, path, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM holders),
+sizes AS (SELECT k - 1 AS k, ({list(licenses.WINDOWS)})[k] AS size FROM range(1, {len(licenses.WINDOWS) + 1}) AS r(k)),
+windows AS (SELECT doc_id, path, words, k, size, unnest(range(0, (len(words) - size + size // 2 - 1) // (size // 2) + 1)) AS i FROM full_texts, sizes WHERE len(words) > size),
+told AS (SELECT doc_id, path, place, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM placed UNION ALL SELECT doc_id, path, -1, words FROM full_texts
+  UNION ALL SELECT doc_id, path, -2 - i * {len(licenses.WINDOWS)} - k, words[i * (size // 2) + 1 : i * (size // 2) + size] FROM windows),
 counted AS (SELECT doc_id, path, place, token, count(*) * coalesce(any_value(idf), any_value(ln(n + 1.0e0) + 1)) AS w
   FROM (SELECT doc_id, path, place, unnest(words) AS token FROM told) LEFT JOIN weights USING (token), total GROUP BY doc_id, path, place, token),
 p AS (SELECT doc_id, path, place, sqrt(sum(w * w)) AS p_norm FROM counted GROUP BY ALL),
 dots AS (SELECT doc_id, path, place, template, license, sum(w * t_weight) AS dot FROM counted JOIN normed USING (token) GROUP BY ALL),
-scored AS (SELECT doc_id, path, license, round(dot / p_norm, 6) AS s FROM dots JOIN p USING (doc_id, path, place) WHERE round(dot / p_norm, 6) >= {licenses.THRESHOLD}e0),
+scored AS (SELECT doc_id, path, license, round(dot / p_norm, 6) AS s FROM dots JOIN p USING (doc_id, path, place) JOIN told USING (doc_id, path, place)
+  JOIN holders USING (doc_id, path) WHERE CASE template {open_to} END AND round(dot / p_norm, 6) >= {licenses.THRESHOLD}e0),
 best AS (SELECT doc_id, path, license AS own, s AS own_s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY s DESC, license) AS k FROM scored) WHERE k = 1),
 known AS (SELECT r.doc_id, r.path, own, own_s, string_split(r.path, '/') AS parts FROM rows r LEFT JOIN best b ON b.doc_id = r.doc_id AND b.path = r.path),
 grants AS (SELECT folder, own AS license, own_s AS s FROM (SELECT array_to_string(parts[1:len(parts) - 1], '/') AS folder, own, own_s,

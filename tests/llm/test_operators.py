@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -389,7 +390,7 @@ def test_licenses(spark):
         (7, "a/b/c/d/w.py", ""),
         (8, "top.py", "the license of this work"),
     ]
-    rows += [(9, "e/LICENSE", next(t for n, t in licenses.TEMPLATES if n == "ISC" and len(t) > 200).replace(". ", ".\n\n")), (10, "e/f/g/h.c", "int main; " * 20_000)]
+    rows += [(9, "e/LICENSE", next(x[1] for x in licenses.TEMPLATES if x[0] == "ISC" and len(x[1]) > 200).replace(". ", ".\n\n")), (10, "e/f/g/h.c", "int main; " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     for name in ("key", "license", "own", "h", "at", "folder", "similarity"):
         df = df.withColumn(name, F.lit("clash"))
@@ -399,26 +400,92 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def plain_license(text):
+    """(similarity, licence) of the nearest template that a passage, window or the text is open to."""
+    tokens = lambda t: re.findall("[a-z0-9]+", t.lower())
+    n = len({x[0] for x in licenses.TEMPLATES})
+    users = collections.defaultdict(set)
+    for x in licenses.TEMPLATES:
+        for w in tokens(x[1]):
+            users[w].add(x[0])
+    vec = lambda words: {w: k * (math.log((n + 1) / (len(users.get(w, ())) + 1)) + 1) for w, k in collections.Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    has = lambda words, needs, bars: all(set(g) & set(words) for g in needs) and not set(bars) & set(words)
+    full = tokens(text)
+    units = [tokens(x) for x in re.split(r"\n|(?<=[.;:!?])\s", text)] + [full]
+    for size in (32, 64):
+        units += [full[i : i + size] for i in range(0, len(full) - size // 2, size // 2)] if len(full) > size else []
+    found = []
+    for words in units:
+        p = vec(words)
+        for x, (needs, bars, file_needs, file_bars) in zip(licenses.TEMPLATES, licenses.conditions(), strict=True):
+            if p and has(words, needs, bars) and has(full, file_needs, file_bars):
+                q = vec(tokens(x[1]))
+                found.append((-round(sum(y * q.get(w, 0) for w, y in p.items()) / (norm(p) * norm(q)), 6), x[0]))
+    best = min(found, default=(0, None))
+    return (-best[0], best[1]) if -best[0] >= licenses.THRESHOLD else (0.0, None)
+
+
 def test_licenses_by_cosine_alone(spark):
-    notices = ["CC BY-SA 4.0", "Released under MIT.", "CC BY-NC 4.0", "Apache 2.0", "Under CC BY 4.0 since May."]
+    notices = ["CC BY-SA 4.0", "Released under MIT.", "CC BY-NC 4.0", "Apache 2.0", "Under CC BY 4.0 since May.", "Licensed under the XYZ License", "Licensed under the GNU General Public License", "GNU General Public License, version 4"]
+    notices += ["/* This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or any later version. */\n" + "int x = 3;\n" * 50]
     rows = [(i, f"p{i}/LICENSE", t) for i, t in enumerate(notices)]
     rows += [(100 + i, f"p{i}/a/x.py", "some code of mine") for i in range(len(notices))] + [(200 + i, f"q/{i}.txt", f"plain prose number {i} of the town") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
-    tokens = lambda t: re.findall("[a-z0-9]+", t.lower())
-    df_of = collections.Counter(w for _, _, t in rows for w in set(tokens(t)))
-    vocabulary = {w for _, t in licenses.TEMPLATES for w in tokens(t)}
-    idf = lambda w: math.log((len(rows) + 1) / ((df_of[w] if w in vocabulary else 0) + 1)) + 1
-    vec = lambda t: {w: n * idf(w) for w, n in collections.Counter(tokens(t)).items()}
-    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    for i, _, text in rows:
-        best = 0.0
-        for passage in [*re.split(r"\n|(?<=[.;:!?])\s", text), text]:
-            p = vec(passage)
-            best = max([best, *(sum(x * q.get(w, 0) for w, x in p.items()) / (norm(p) * norm(q) or 1) for q in (vec(t) for _, t in licenses.TEMPLATES))])
-        assert (got[i].basis == "own") == (best >= licenses.THRESHOLD), (text, best)
-        assert got[i].basis != "own" or abs(got[i].similarity - best) < 1e-5
-    assert [got[i].license for i in (0, 1, 2)] == [got[100 + i].license for i in (0, 1, 2)] == ["CC-BY-SA-4.0", "MIT", "CC-BY-NC-4.0"]
+    for i, path, text in rows:
+        similarity, name = plain_license(text)
+        assert (got[i].basis == "own") == (name is not None), (text, similarity)
+        if name:
+            assert got[i].license == name and abs(got[i].similarity - similarity) < 1e-5, (text, name)
+    names = {0: "CC-BY-SA-4.0", 1: "MIT", 2: "CC-BY-NC-4.0", 3: "Apache-2.0", 5: None, 6: None, 7: None, 8: "GPL-2.0"}
+    assert {i: got[i].license for i in names} == names == {i: got[100 + i].license for i in names}
+
+
+#: Openings of licence files as they are published, lines and all.
+FSF = " Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n"
+BSD_2 = "Copyright (c) 2020, An Author\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+BSD_END = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.\n'
+FILES = {
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA\n" + FSF + "                            Preamble\n\n  The licenses for most software are designed to take away your\nfreedom to share and change it.  By contrast, the GNU General Public\nLicense is intended to guarantee your freedom to share and change free\nsoftware--to make sure the software is free for all its users.\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n" + FSF + "                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n  The licenses for most software and other practical works are designed\nto take away your freedom to share and change the works.\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n" + FSF + "  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.\n",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n" + FSF + "                            Preamble\n\n  The GNU Affero General Public License is a free, copyleft license for\nsoftware and other kinds of works, specifically designed to ensure\ncooperation with the community in the case of network server software.\n",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n      \"License\" shall mean the terms and conditions for use, reproduction,\n      and distribution as defined by Sections 1 through 9 of this document.\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. \"Contributor\"\n    means each individual or legal entity that creates, contributes to\n    the creation of, or owns Covered Software.\n",
+    "EPL-2.0": "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION\n    OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.\n\n1. DEFINITIONS\n",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE\n    LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN\n    ATTORNEY-CLIENT RELATIONSHIP.\n",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License\n\nBy exercising the Licensed Rights (defined below), You accept and agree\nto be bound by the terms and conditions of this Creative Commons\nAttribution 4.0 International Public License (\"Public License\").\n",
+    "ISC": "Copyright (c) 2020 An Author\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "BSD-2-Clause": BSD_2 + BSD_END,
+    "BSD-3-Clause": BSD_2 + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n" + BSD_END,
+}
+
+
+def test_license_files_in_corpora_of_any_size(spark):
+    """Each file has its licence, and its folder too, however many other files there are."""
+    own = [(i, f"f{i}/LICENSE", t) for i, t in enumerate(FILES.values())] + [(100 + i, f"f{i}/src/a.c", "int main;") for i in range(len(FILES))]
+    # after other text, and before a long rest
+    own += [(200 + i, f"g{i}/COPYING", "This folder holds the sources of a small tool and of its manual.\n\n" + t + "Other lines of prose follow here.\n" * 300) for i, t in enumerate(FILES.values())]
+    seen = []
+    for n in (10, 1_000, 10_000):
+        prose = spark.range(n).select((F.col("id") + 1000).alias("doc_id"), F.format_string("q/%d.txt", "id").alias("path"), F.format_string("the software of town %d is free for the public", "id").alias("text"))
+        df = spark.createDataFrame(own, "doc_id long, path string, text string").unionByName(prose)
+        got = {r.doc_id: (r.license, r.similarity, r.basis) for r in licenses.license_scan(df).where("doc_id < 1000").collect()}
+        for i, name in enumerate(FILES):
+            assert got[i][0] == name == got[100 + i][0] == got[200 + i][0], (name, got[i], got[200 + i])
+            assert (got[i][1], got[i][2]) == (plain_license(own[i][2])[0], "own") and got[100 + i][2] == "inherited"
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_published_license_texts(spark):
+    """Whole texts as systems ship them, where this one does; those in the test above hold everywhere."""
+    folder = "/usr/share/common-licenses"
+    names = {"GPL-1": "GPL-1.0", "LGPL-2": "LGPL-2.0", "MPL-1.1": "MPL-1.1", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause", "Artistic": None, "GFDL-1.3": None}
+    there = [(x, f"{x}/LICENSE", open(f"{folder}/{x}").read()) for x in names if os.path.exists(f"{folder}/{x}")]
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(there, "doc_id string, path string, text string")).collect()}
+    assert got == {x: names[x] for x, *_ in there}
 
 
 # the others over odd rows
