@@ -111,11 +111,8 @@ def tokens(text: Column) -> Column:
 
 
 def templates(spark, notices=TEMPLATES) -> DataFrame:
-    """A row a notice, with the number of its rule among the distinct conditions."""
-    told = conditions(notices)
-    rules = [c for i, c in enumerate(told) if c not in told[:i]]
-    rows = [(i, x[0], x[1], rules.index(c)) for i, (x, c) in enumerate(zip(notices, told, strict=True))]
-    return spark.createDataFrame(rows, "template int, license string, notice string, rule int")
+    rows = [(i, x[0], x[1]) for i, x in enumerate(notices)]
+    return spark.createDataFrame(rows, "template int, license string, notice string")
 
 
 def conditions(notices=TEMPLATES) -> list[tuple]:
@@ -131,17 +128,17 @@ def _has(words: Column, needs: list[list[str]], bars: list[str]) -> Column:
     return out & ~any_of(bars) if bars else out
 
 
-def may_reach(weights: dict[int, dict[str, float]], threshold: float, needs: dict[int, list]) -> Callable[[Column], Column]:
-    """Whether a text with these of the templates' words can have a passage of such a cosine.
+def may_reach(weights: dict[int, dict[str, float]], threshold: float, told: list[tuple]) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """(templates that a text with such words can have a passage of such a cosine to, those of them that a passage can have it to).
 
     A passage's cosine to a template is at most the norm of the template's weights of the words
     that they share. So those words' squares sum to the threshold's at least, and one of them is
     among the greatest weights, without which the others' squares don't. The words that a template needs and the
-    number of shared words are looked at before the squares.
+    number of shared words are looked at before the squares. A passage is only held against what its text can reach.
     """
     least = max(threshold - 1e-6, 0.0) ** 2  # cosines are rounded
     heads, rules = set(), []
-    for template, own in weights.items():
+    for template, own in sorted(weights.items()):
         by_weight = sorted(own.items(), key=lambda x: (-x[1], x[0]))
         rest = sum(w * w for w in own.values())
         for token, w in by_weight:
@@ -151,18 +148,33 @@ def may_reach(weights: dict[int, dict[str, float]], threshold: float, needs: dic
             rest -= w * w
         sums = list(itertools.accumulate(w * w for _, w in by_weight))
         few = next(k for k, x in enumerate(sums, 1) if x + 1e-9 >= least)
-        rules.append((needs[template], few, F.array(*[F.lit(t) for t, _ in by_weight]), F.array(*[F.lit(w * w) for _, w in by_weight])))
+        rules.append((template, few, F.array(*[F.lit(t) for t, _ in by_weight]), F.array(*[F.lit(w * w) for _, w in by_weight])))
+
+    def sums_up(shared: Column, few, tokens_of: Column, squares: Column) -> Column:
+        total = F.aggregate(shared, F.lit(1e-9), lambda x, t: x + F.get(squares, F.array_position(tokens_of, t).cast("int") - 1))
+        return (F.size(shared) >= few) & (total >= least)
 
-    def test(words: Column) -> Column:
+    def by_text(words: Column) -> Column:
         any_head = F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(heads)]))
-        reach = F.lit(False)
-        for needed, few, tokens_of, squares in rules:
-            shared = F.array_intersect(words, tokens_of)
-            total = F.aggregate(shared, F.lit(1e-9), lambda x, t: x + F.get(squares, F.array_position(tokens_of, t).cast("int") - 1))  # noqa: B023
-            reach = reach | (_has(words, needed, []) & (F.size(shared) >= few) & (total >= least))
-        return any_head & reach
+        each = []
+        for template, few, tokens_of, squares in rules:
+            needs, _, file_needs, file_bars = told[template]
+            fits = _has(words, needs + file_needs, file_bars) & sums_up(F.array_intersect(words, tokens_of), few, tokens_of, squares)
+            each.append(F.when(fits, F.lit(template)))
+        return F.when(any_head, F.array_compact(F.array(*each)))
+
+    number = {template: i for i, (template, *_) in enumerate(rules)}
+    place = F.array(*[F.lit(number.get(i, 0)) for i in range(max(number, default=0) + 1)])
+    fews, all_tokens, all_squares = (F.array(*[x[k] if k > 1 else F.lit(x[k]) for x in rules]) for k in (1, 2, 3))
+
+    def by_passage(words: Column, reached: Column) -> Column:
+        def fits(t: Column) -> Column:
+            at = F.get(place, t)
+            return sums_up(F.array_intersect(words, F.get(all_tokens, at)), F.get(fews, at), F.get(all_tokens, at), F.get(all_squares, at))
+
+        return F.filter(reached, fits)
 
-    return test
+    return by_text, by_passage
 
 
 def windows(words: Column, k: int) -> Column:
@@ -191,36 +203,35 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     key = F.xxhash64("doc_id", "path", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("key", key)
     told = conditions(notices)
-    rules = [c for i, c in enumerate(told) if c not in told[:i]]
     marks = {w for needs, bars, file_needs, file_bars in told for given in (*needs, bars, *file_needs, file_bars) for w in given}
-    shape = templates(spark, notices).select("template", "license", "rule", F.explode(tokens(F.col("notice"))).alias("token"))
+    shape = templates(spark, notices).select("template", "license", F.explode(tokens(F.col("notice"))).alias("token"))
     # weights by licences; all tables of templates have a row a word of a template
     n_licenses = len({x[0] for x in notices})
     rarest = F.lit(math.log(n_licenses + 1.0) + 1)
     weights = ws.save(shape.groupBy("token").agg(F.count_distinct("license").alias("df")).select("token", (F.log((F.lit(n_licenses) + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf")))
-    shaped = shape.groupBy("template", "license", "rule", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
+    shaped = shape.groupBy("template", "license", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
     norms = shaped.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("t_norm"))
-    shaped = ws.save(shaped.join(norms, "template").select("token", "template", "license", "rule", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")))
+    shaped = ws.save(shaped.join(norms, "template").select("token", "template", "license", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")))
     by_template = {}
     for r in shaped.collect():
         by_template.setdefault(r.template, {})[r.token] = r.t_weight
     vocabulary = F.array(*[F.lit(w) for w in sorted(marks.union(*by_template.values()))])
-    reaches = may_reach(by_template, threshold, {i: needs + file_needs for i, (needs, _, file_needs, _) in enumerate(told)})
-    reaches_by_passage = may_reach(by_template, threshold, {i: needs for i, (needs, *_) in enumerate(told)})
-    met = lambda words, part: F.array_compact(F.array(*[F.when(_has(F.col(words), *c[part]), F.lit(i)) for i, c in enumerate(rules)]))
-    holders = rows.select("key", "text", F.array_intersect(tokens(F.coalesce("text", F.lit(""))), vocabulary).alias("held")).where(reaches(F.col("held"))).distinct()
-    holders = holders.select("key", "text", met("held", slice(2, 4)).alias("by_file"), tokens(F.col("text")).alias("all_words"))
+    by_text, by_passage = may_reach(by_template, threshold, told)
+    holders = rows.select("key", "text", F.array_intersect(tokens(F.coalesce("text", F.lit(""))), vocabulary).alias("held"))
+    holders = holders.withColumn("reached", by_text(F.col("held"))).where(F.size("reached") > 0).select("key", "text", "held", "reached", tokens(F.col("text")).alias("all_words"))
+    holders = ws.save(holders.dropDuplicates(["key"]))
     lines = F.transform(F.split("text", PASSAGE_END), lambda x, i: F.struct(i.alias("place"), tokens(x).alias("words")))
     whole = F.array(F.struct(F.lit(-1).alias("place"), F.col("all_words").alias("words")))
     units = F.concat(lines, whole, *[windows(F.col("all_words"), k) for k in range(len(WINDOWS))])
-    passages = holders.select("key", "by_file", F.inline(units))
-    passages = passages.withColumn("shared", F.array_intersect("words", vocabulary)).where(reaches_by_passage(F.col("shared")))
-    passages = passages.select("key", "place", "words", F.array_intersect(met("shared", slice(0, 2)), "by_file").alias("open"))
-    counted = passages.where(F.size("open") > 0).select("key", "place", "open", F.explode("words").alias("token")).groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("tf"), F.any_value("open").alias("open"))
+    passages = holders.select("key", "held", "reached", F.inline(units))
+    passages = passages.withColumn("shared", F.array_intersect("words", "held")).withColumn("near", by_passage(F.col("shared"), F.col("reached"))).where(F.size("near") > 0)
+    open_to = F.array_compact(F.array(*[F.when(_has(F.col("shared"), needs, bars), F.lit(i)) for i, (needs, bars, *_) in enumerate(told)]))
+    passages = passages.select("key", "place", "words", F.array_intersect("near", open_to).alias("open")).where(F.size("open") > 0)
+    counted = passages.select("key", "place", "open", F.explode("words").alias("token")).groupBy("key", "place", "open", "token").agg(F.count(F.lit(1)).alias("tf"))
     counted = counted.join(F.broadcast(weights.select("token", "idf")), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest))
     counted = ws.save(counted)
     p_norm = counted.groupBy("key", "place").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("p_norm"))
-    dots = counted.join(F.broadcast(shaped), "token").where(F.array_contains("open", F.col("rule")))
+    dots = counted.join(F.broadcast(shaped), "token").where(F.array_contains("open", F.col("template")))
     dots = dots.groupBy("key", "place", "template", "license").agg(F.sum(F.col("w") * F.col("t_weight")).alias("dot"))
     scored = dots.join(p_norm, ["key", "place"]).withColumn("similarity", F.round(F.col("dot") / F.col("p_norm"), 6)).where(F.col("similarity") >= threshold)
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("key", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_similarity"))
