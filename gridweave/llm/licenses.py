@@ -177,6 +177,15 @@ def may_reach(weights: dict[int, dict[str, float]], threshold: float, told: list
     return by_text, by_passage
 
 
+def once(df: DataFrame, *kept: str, **named: Column) -> DataFrame:
+    """``kept`` columns of ``df`` and ``named`` ones, each computed once a row.
+
+    A filter on a projected column is moved below the projection, and the column's expression is then written out at
+    each of its uses. What a generator gives isn't.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*[x.alias(name) for name, x in named.items()]))))
+
+
 def windows(words: Column, k: int) -> Column:
     """(place, words) of each window of the ``k``-th size; none if the words are no more than one."""
     size = WINDOWS[k]
@@ -217,16 +226,18 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         by_template.setdefault(r.template, {})[r.token] = r.t_weight
     vocabulary = F.array(*[F.lit(w) for w in sorted(marks.union(*by_template.values()))])
     by_text, by_passage = may_reach(by_template, threshold, told)
-    holders = rows.select("key", "text", F.array_intersect(tokens(F.coalesce("text", F.lit(""))), vocabulary).alias("held"))
-    holders = holders.withColumn("reached", by_text(F.col("held"))).where(F.size("reached") > 0).select("key", "text", "held", "reached", tokens(F.col("text")).alias("all_words"))
+    holders = once(rows, "key", "text", all_words=tokens(F.coalesce("text", F.lit(""))))
+    holders = once(holders, *holders.columns, held=F.array_intersect("all_words", vocabulary))
+    holders = once(holders, *holders.columns, reached=by_text(F.col("held"))).where(F.size("reached") > 0)
     holders = ws.save(holders.dropDuplicates(["key"]))
     lines = F.transform(F.split("text", PASSAGE_END), lambda x, i: F.struct(i.alias("place"), tokens(x).alias("words")))
     whole = F.array(F.struct(F.lit(-1).alias("place"), F.col("all_words").alias("words")))
     units = F.concat(lines, whole, *[windows(F.col("all_words"), k) for k in range(len(WINDOWS))])
     passages = holders.select("key", "held", "reached", F.inline(units))
-    passages = passages.withColumn("shared", F.array_intersect("words", "held")).withColumn("near", by_passage(F.col("shared"), F.col("reached"))).where(F.size("near") > 0)
+    passages = once(passages, "key", "place", "words", "reached", shared=F.array_intersect("words", "held"))
+    passages = once(passages, "key", "place", "words", "shared", near=by_passage(F.col("shared"), F.col("reached"))).where(F.size("near") > 0)
     open_to = F.array_compact(F.array(*[F.when(_has(F.col("shared"), needs, bars), F.lit(i)) for i, (needs, bars, *_) in enumerate(told)]))
-    passages = passages.select("key", "place", "words", F.array_intersect("near", open_to).alias("open")).where(F.size("open") > 0)
+    passages = once(passages, "key", "place", "words", open=F.array_intersect("near", open_to)).where(F.size("open") > 0)
     counted = passages.select("key", "place", "open", F.explode("words").alias("token")).groupBy("key", "place", "open", "token").agg(F.count(F.lit(1)).alias("tf"))
     counted = counted.join(F.broadcast(weights.select("token", "idf")), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest))
     counted = ws.save(counted)
