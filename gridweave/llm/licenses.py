@@ -9,6 +9,7 @@ one licence in any corpus. Versions and variants differ by single words; those d
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Callable
 
@@ -110,6 +111,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def constant(values: list, kind: str) -> Column:
+    """A constant array; one node of the plan whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def templates(spark, notices=TEMPLATES) -> DataFrame:
     rows = [(i, x[0], x[1]) for i, x in enumerate(notices)]
     return spark.createDataFrame(rows, "template int, license string, notice string")
@@ -148,24 +154,26 @@ def may_reach(weights: dict[int, dict[str, float]], threshold: float, told: list
             rest -= w * w
         sums = list(itertools.accumulate(w * w for _, w in by_weight))
         few = next(k for k, x in enumerate(sums, 1) if x + 1e-9 >= least)
-        rules.append((template, few, F.array(*[F.lit(t) for t, _ in by_weight]), F.array(*[F.lit(w * w) for _, w in by_weight])))
+        rules.append((template, few, [t for t, _ in by_weight], [w * w for _, w in by_weight]))
 
     def sums_up(shared: Column, few, tokens_of: Column, squares: Column) -> Column:
         total = F.aggregate(shared, F.lit(1e-9), lambda x, t: x + F.get(squares, F.array_position(tokens_of, t).cast("int") - 1))
         return (F.size(shared) >= few) & (total >= least)
 
     def by_text(words: Column) -> Column:
-        any_head = F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(heads)]))
+        any_head = F.arrays_overlap(words, constant(sorted(heads), "array<string>"))
         each = []
-        for template, few, tokens_of, squares in rules:
+        for template, few, *own in rules:
+            tokens_of, squares = constant(own[0], "array<string>"), constant(own[1], "array<double>")
             needs, _, file_needs, file_bars = told[template]
             fits = _has(words, needs + file_needs, file_bars) & sums_up(F.array_intersect(words, tokens_of), few, tokens_of, squares)
             each.append(F.when(fits, F.lit(template)))
         return F.when(any_head, F.array_compact(F.array(*each)))
 
     number = {template: i for i, (template, *_) in enumerate(rules)}
-    place = F.array(*[F.lit(number.get(i, 0)) for i in range(max(number, default=0) + 1)])
-    fews, all_tokens, all_squares = (F.array(*[x[k] if k > 1 else F.lit(x[k]) for x in rules]) for k in (1, 2, 3))
+    place = constant([number.get(i, 0) for i in range(max(number, default=0) + 1)], "array<int>")
+    kinds = {1: "array<int>", 2: "array<array<string>>", 3: "array<array<double>>"}
+    fews, all_tokens, all_squares = (constant([x[k] for x in rules], kind) for k, kind in kinds.items())
 
     def by_passage(words: Column, reached: Column) -> Column:
         def fits(t: Column) -> Column:
@@ -194,6 +202,39 @@ def windows(words: Column, k: int) -> Column:
     return F.transform(places, lambda i: F.struct((-2 - i * len(WINDOWS) - k).alias("place"), F.slice(words, i * (size // 2) + 1, F.lit(size)).alias("words")))
 
 
+def cosines(passages: DataFrame, by_template: dict[int, dict[str, float]], rarest: float) -> DataFrame:
+    """(key, cosines: (template, similarity) of each of the templates in ``open``) of each passage.
+
+    A passage's words are sorted and counted where they lie: no word is shuffled. ``held`` are words
+    of templates that the text has, with their weights in ``held_idf``, and ``shared`` those of
+    them that the passage has; other words weigh ``rarest``.
+    """
+    last = lambda i: F.coalesce(F.get("words", i - 1) != F.get("words", i), F.lit(True))
+    runs = once(passages, "key", "open", "held", "held_idf", "shared", words=F.sort_array("words"))
+    runs = once(runs, *runs.columns, ends=F.filter(F.sequence(F.lit(1), F.size("words")), last), different=F.array_distinct("words"))
+    runs = once(
+        runs, "key", "open", "shared",
+        counts=F.transform("ends", lambda end, k: end - F.coalesce(F.get("ends", k - 1), F.lit(0))),
+        at=F.transform("shared", lambda t: F.array_position("different", t).cast("int") - 1),
+        idf=F.transform("shared", lambda t: F.get("held_idf", F.array_position("held", t).cast("int") - 1)),
+    )
+    squares = F.aggregate("counts", F.lit(0.0), lambda total, n: total + n * n)
+    weighed = F.transform("shared", lambda t, i: F.struct(t.alias("token"), (F.get("counts", F.get("at", i)) * F.get("idf", i)).alias("w"), F.get("counts", F.get("at", i)).alias("n")))
+    runs = once(runs, "key", "open", squares=squares, runs=weighed)
+    known = F.aggregate("runs", F.lit(0.0), lambda total, x: total + x["w"] * x["w"] - F.lit(rarest * rarest) * x["n"] * x["n"])
+    runs = once(runs, "key", "open", "runs", norm=F.sqrt(F.lit(rarest * rarest) * F.col("squares") + known))
+    own = [sorted(by_template[i].items()) for i in range(len(by_template))]
+    all_tokens = constant([[t for t, _ in x] for x in own], "array<array<string>>")
+    all_weights = constant([[w for _, w in x] for x in own], "array<array<double>>")
+
+    def cosine(template: Column) -> Column:
+        weight = lambda t: F.coalesce(F.get(F.get(all_weights, template), F.array_position(F.get(all_tokens, template), t).cast("int") - 1), F.lit(0.0))
+        dot = F.aggregate("runs", F.lit(0.0), lambda total, x: total + x["w"] * weight(x["token"]))
+        return F.struct(template.alias("template"), F.round(dot / F.col("norm"), 6).alias("similarity"))
+
+    return once(runs, "key", cosines=F.transform("open", cosine))
+
+
 def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", notices=TEMPLATES) -> DataFrame:
     """The licence of each file: its own, else that of the nearest directory above that has one.
 
@@ -214,38 +255,36 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     told = conditions(notices)
     marks = {w for needs, bars, file_needs, file_bars in told for given in (*needs, bars, *file_needs, file_bars) for w in given}
     shape = templates(spark, notices).select("template", "license", F.explode(tokens(F.col("notice"))).alias("token"))
-    # weights by licences; all tables of templates have a row a word of a template
+    # weights by licences; a word of a template has a row
     n_licenses = len({x[0] for x in notices})
-    rarest = F.lit(math.log(n_licenses + 1.0) + 1)
-    weights = ws.save(shape.groupBy("token").agg(F.count_distinct("license").alias("df")).select("token", (F.log((F.lit(n_licenses) + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf")))
-    shaped = shape.groupBy("template", "license", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
+    rarest = math.log(n_licenses + 1.0) + 1
+    weights = shape.groupBy("token").agg(F.count_distinct("license").alias("df")).select("token", (F.log((F.lit(n_licenses) + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
+    shaped = shape.groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(weights), "token")
     norms = shaped.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("t_norm"))
-    shaped = ws.save(shaped.join(norms, "template").select("token", "template", "license", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")))
-    by_template = {}
-    for r in shaped.collect():
-        by_template.setdefault(r.template, {})[r.token] = r.t_weight
-    vocabulary = F.array(*[F.lit(w) for w in sorted(marks.union(*by_template.values()))])
-    by_text, by_passage = may_reach(by_template, threshold, told)
+    by_template, idf = {i: {} for i in range(len(notices))}, {}
+    for r in shaped.join(norms, "template").select("token", "template", "idf", (F.col("tf") * F.col("idf") / F.col("t_norm")).alias("t_weight")).collect():
+        by_template[r.template][r.token] = r.t_weight
+        idf[r.token] = r.idf
+    vocabulary = sorted(marks.union(idf))
+    by_text, by_passage = may_reach({i: own for i, own in by_template.items() if own}, threshold, told)
     holders = once(rows, "key", "text", all_words=tokens(F.coalesce("text", F.lit(""))))
-    holders = once(holders, *holders.columns, held=F.array_intersect("all_words", vocabulary))
+    holders = once(holders, *holders.columns, held=F.array_intersect("all_words", constant(vocabulary, "array<string>")))
     holders = once(holders, *holders.columns, reached=by_text(F.col("held"))).where(F.size("reached") > 0)
-    holders = ws.save(holders.dropDuplicates(["key"]))
+    idf_at = lambda t: F.get(constant([idf.get(x, rarest) for x in vocabulary], "array<double>"), F.array_position(constant(vocabulary, "array<string>"), t).cast("int") - 1)
+    holders = once(holders, *holders.columns, held_idf=F.transform("held", idf_at))
     lines = F.transform(F.split("text", PASSAGE_END), lambda x, i: F.struct(i.alias("place"), tokens(x).alias("words")))
     whole = F.array(F.struct(F.lit(-1).alias("place"), F.col("all_words").alias("words")))
     units = F.concat(lines, whole, *[windows(F.col("all_words"), k) for k in range(len(WINDOWS))])
-    passages = holders.select("key", "held", "reached", F.inline(units))
-    passages = once(passages, "key", "place", "words", "reached", shared=F.array_intersect("words", "held"))
-    passages = once(passages, "key", "place", "words", "shared", near=by_passage(F.col("shared"), F.col("reached"))).where(F.size("near") > 0)
+    passages = holders.select("key", "held", "held_idf", "reached", F.inline(units))
+    kept = ["key", "held", "held_idf", "words"]
+    passages = once(passages, *kept, "reached", shared=F.array_intersect("words", "held"))
+    passages = once(passages, *kept, "shared", near=by_passage(F.col("shared"), F.col("reached"))).where(F.size("near") > 0)
     open_to = F.array_compact(F.array(*[F.when(_has(F.col("shared"), needs, bars), F.lit(i)) for i, (needs, bars, *_) in enumerate(told)]))
-    passages = once(passages, "key", "place", "words", open=F.array_intersect("near", open_to)).where(F.size("open") > 0)
-    counted = passages.select("key", "place", "open", F.explode("words").alias("token")).groupBy("key", "place", "open", "token").agg(F.count(F.lit(1)).alias("tf"))
-    counted = counted.join(F.broadcast(weights.select("token", "idf")), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest))
-    counted = ws.save(counted)
-    p_norm = counted.groupBy("key", "place").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("p_norm"))
-    dots = counted.join(F.broadcast(shaped), "token").where(F.array_contains("open", F.col("template")))
-    dots = dots.groupBy("key", "place", "template", "license").agg(F.sum(F.col("w") * F.col("t_weight")).alias("dot"))
-    scored = dots.join(p_norm, ["key", "place"]).withColumn("similarity", F.round(F.col("dot") / F.col("p_norm"), 6)).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("key", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_similarity"))
+    passages = once(passages, *kept, "shared", open=F.array_intersect("near", open_to)).where(F.size("open") > 0)
+    found = cosines(passages, by_template, rarest).select("key", F.inline("cosines")).where(F.col("similarity") >= threshold)
+    license_of = F.get(constant([x[0] for x in notices], "array<string>"), F.col("template"))
+    best = found.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), license_of.alias("license"))).alias("b"))
+    best = best.select("key", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_similarity"))
     known = ws.save(rows.select("key", "doc_id", "path").join(best, "key", "left"))
     parts = F.split("path", "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
