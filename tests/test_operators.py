@@ -39,6 +39,13 @@ def test_radius_and_anti(spark):
     assert {r.id for r in joins.farther_than(a.where("x is not null"), b, 60.0, "id").collect()} == {p for p, *_ in rows(a)} - near
 
 
+def test_places_round_as_floats_do(spark):
+    """-73.99549999999999 is a half once multiplied by 1000, so it lies with -73.996, as in SQL."""
+    rows = spark.createDataFrame([(1, 40.7, -73.99549999999999), (2, 40.7, -73.996), (3, 40.7, -73.995), (4, 1e307, 0.0)], "key int, lat double, lon double")
+    kept = dedup.keep_nearby_first(rows, 3, F.lit(0), [F.col("key")])
+    assert sorted(r.key for r in kept.collect()) == [1, 3, 4]
+
+
 def test_first_box_many_boxes(spark, monkeypatch):
     boxes = spark.createDataFrame([(i, i * 10.0, 0.0, i * 10.0 + 15, 1000.0) for i in range(90)], "division int, left double, bottom double, right double, top double")
     p = points(spark, 100, 5, "p").where("x is not null")
