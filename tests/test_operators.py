@@ -46,6 +46,25 @@ def test_places_round_as_floats_do(spark):
     assert sorted(r.key for r in kept.collect()) == [1, 3, 4]
 
 
+def test_crowded_cell_is_the_work_of_many_tasks(spark, monkeypatch):
+    """All places within one radius were one cell, and so one task."""
+    monkeypatch.setattr(joins, "TILE_ROWS", 20)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1000)
+    a, b = points(spark, 120, 3, "a").where("x is not null"), points(spark, 80, 4, "b").where("x is not null")
+    pairs = joins.within_radius(a, b, 50_000.0).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in pairs) == 120 * 80
+    assert max(r["count"] for r in pairs) < 120 * 80 / 3
+
+
+def test_anti_makes_no_pairs(spark, monkeypatch):
+    """A target's nearest source says enough: pairs within the radius, all with all here, aren't made."""
+    a, b = points(spark, 120, 3, "a").where("x is not null"), points(spark, 80, 4, "b")
+    monkeypatch.setattr(joins, "within_radius", None)
+    assert joins.farther_than(a, b, 5000.0, "id").count() == 0
+    lone = spark.createDataFrame([("inf", 1, float("inf"), 0.0), ("none", 2, None, 0.0), ("nan", 3, float("nan"), 0.0)], a.schema)
+    assert {r.id for r in joins.farther_than(a.unionByName(lone), b, 5000.0, "id").collect()} == {"inf", "none", "nan"}
+
+
 def test_first_box_many_boxes(spark, monkeypatch):
     boxes = spark.createDataFrame([(i, i * 10.0, 0.0, i * 10.0 + 15, 1000.0) for i in range(90)], "division int, left double, bottom double, right double, top double")
     p = points(spark, 100, 5, "p").where("x is not null")
