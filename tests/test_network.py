@@ -79,3 +79,20 @@ def test_strong_components_equal_plain_reachability(spark):
     e = spark.createDataFrame([*edges, (None, 3), (4, None)], "u long, v long")
     found = graph.strong_components(e, spark.range(n).withColumnRenamed("id", "node_id"))
     assert {x.node_id: x.component for x in found.collect()} == want
+
+
+def test_flows_that_nothing_writes_again_are_not_grouped(spark, monkeypatch):
+    """Of two pumps and two plants, one pump is there twice and so only its flows are taken together."""
+    rows = [("p1", 1, "PUMPING STATION", 40.70), ("p1", 2, "PUMPING STATION", 40.71), ("p2", 3, "PUMPING STATION", 40.72), ("w1", 4, "WASTEWATER TREATMENT PLANT", 40.70), ("w2", 5, "WASTEWATER TREATMENT PLANT", 40.71)]
+    nodes = spark.createDataFrame([(n, "water", k, lat, -74.0, False, o, 0, "") for n, o, k, lat in rows], "node_id string, infra_type string, subtype string, lat double, lon double, external boolean, ord long, tower_count long, routes string")
+    lines = spark.createDataFrame([], "SUB_1 string, SUB_2 string, VOLT_CLASS string, TYPE string, ord long")
+    seen, last = [], E.last_write_wins
+
+    def watched(df, order):
+        seen.append(df.where("edge_type = 'water_flow'").count())
+        return last(df, order)
+
+    monkeypatch.setattr(E, "last_write_wins", watched)
+    out = {(r.u, r.v): (r.distance_m, list(r.first_ord.at)) for r in E.all_edges(nodes, lines).collect()}
+    assert seen == [4] and set(out) == {(u, v) for u in ("p1", "p2") for v in ("w1", "w2")}
+    assert out["p1", "w2"] == (0, [1, 5, 0]) and out["p2", "w2"][1] == [3, 5, 0]
