@@ -96,3 +96,18 @@ def test_flows_that_nothing_writes_again_are_not_grouped(spark, monkeypatch):
     out = {(r.u, r.v): (r.distance_m, list(r.first_ord.at)) for r in E.all_edges(nodes, lines).collect()}
     assert seen == [4] and set(out) == {(u, v) for u in ("p1", "p2") for v in ("w1", "w2")}
     assert out["p1", "w2"] == (0, [1, 5, 0]) and out["p2", "w2"][1] == [3, 5, 0]
+
+
+def test_rounds_of_components_are_not_broadcast(spark, monkeypatch):
+    """Tables of each round, small enough to broadcast, went through the driver."""
+    plans, save = [], Workspace.save
+
+    def watched(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    e = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "u long, v long")
+    n = spark.createDataFrame([(1,), (2,), (3,)], "node_id long")
+    assert sorted(tuple(r) for r in graph.strong_components(e, n).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert plans and not any("Broadcast" in p for p in plans)
