@@ -30,17 +30,56 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return next((p for p in paths if exists(spark, p)), None)
 
 
+#: How a document starts whose features begin on lines of their own.
+COLLECTION = '{"type":"FeatureCollection","features":['
+
+
+def _head(spark: SparkSession, path: str, stop: bytes) -> bytes | None:
+    """The beginning of the one file in a path until ``stop`` or 64 KB; None where there are several files, or none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in (fs.globStatus(p) or []) if f.isFile()] + [f.getPath() for d in (fs.globStatus(p) or []) if d.isDirectory() for f in fs.listStatus(d.getPath()) if not f.getPath().getName().startswith(("_", "."))]
+    if len(found) != 1:
+        return None
+    from gridweave.sources.stores import store
+
+    try:
+        files, own = store(str(found[0].toUri()))
+        with files.open_input_stream(own) as f:
+            head = b""
+            while len(head) < 1 << 16 and stop not in head and (block := f.read(1 << 12)):
+                head += block
+    except (ValueError, OSError):  # a store that Spark alone can open
+        return None
+    return head
+
+
+def _features_by_lines(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """(ord, f) of a document as ``write_feature_collection`` writes it, read by many tasks; None where any line isn't whole features."""
+    if not (_head(spark, path, COLLECTION.encode()) or b"").startswith(COLLECTION.encode()):
+        return None
+    place = [F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
+    text = F.regexp_replace(F.regexp_replace(F.trim("value"), f"^\\Q{COLLECTION}\\E", ""), "(,|\\]\\})$", "")
+    lines = spark.read.text(path).select(text.alias("value"), *place).where("value <> ''")
+    if not lines.where(~(F.startswith("value", F.lit('{"type":"Feature"')) & F.endswith("value", F.lit("}")))).isEmpty():
+        return None
+    rows = lines.select("_start", "_row", F.posexplode(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), kind)).alias("_pos", "f"))
+    return ordinal(rows, [F.col("_start"), F.col("_row"), F.col("_pos")], Workspace(spark)).select(F.col("ord").cast("int").alias("ord"), "f")
+
+
 def geojson(spark: SparkSession, path: str, properties: str | None = None) -> DataFrame:
     """One row a feature: ``ord`` (place in the file), its properties, and ``coordinates``.
 
     With a schema of properties nothing is inferred. Points also get ``x`` and ``y``.
     """
+    rows = None
     if properties:
-        schema = T.StructType.fromDDL(f"features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>")
-        raw = spark.read.schema(schema).option("multiLine", True).json(path)
+        kind = f"array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
+        rows = _features_by_lines(spark, path, kind)
+        raw = spark.read.schema(T.StructType.fromDDL(f"features {kind}")).option("multiLine", True).json(path)
     else:
         raw = spark.read.option("multiLine", True).json(path)
-    rows = raw.select(F.posexplode("features").alias("ord", "f"))
+    rows = raw.select(F.posexplode("features").alias("ord", "f")) if rows is None else rows
     own = [f.name for f in rows.schema["f"].dataType["properties"].dataType.fields]
     out = rows.select("ord", *[F.col(f"f.properties.`{c}`").alias(c) for c in own], F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
     if isinstance(out.schema["coordinates"].dataType, T.StringType):
@@ -96,11 +135,24 @@ def division_bounds(spark: SparkSession, rows: list[tuple], expected: int = 18)
 
 def _graph_part(spark: SparkSession, path: str, tag: str, ids: list[str]) -> DataFrame:
     """Nodes or edges of a graph document, its declared keys as typed columns."""
-    keys = spark.read.format("xml").option("rowTag", "key").load(path)
-    keys = [(r["_id"], r["_attr.name"], r["_attr.type"]) for r in keys.select("_id", F.col("`_attr.name`"), F.col("`_attr.type`"), "_for").where(F.col("_for") == tag).collect()]
+    head = _head(spark, path, b"<graph ") or b""
+    if b"<graph " in head:  # keys come first, so the rest isn't read for them
+        from xml.etree import ElementTree
+
+        top = ElementTree.fromstring(head[: head.index(b"<graph ")] + b"</graphml>")
+        keys = [(k.get("id"), k.get("attr.name"), k.get("attr.type")) for k in top if k.tag.rsplit("}", 1)[-1] == "key" and k.get("for") == tag]
+    else:
+        keys = spark.read.format("xml").option("rowTag", "key").load(path)
+        keys = [(r["_id"], r["_attr.name"], r["_attr.type"]) for r in keys.select("_id", F.col("`_attr.name`"), F.col("`_attr.type`"), "_for").where(F.col("_for") == tag).collect()]
     data = "data array<struct<_VALUE:string,_key:string>>"
     schema = T.StructType.fromDDL(", ".join(f"`_{i}` string" for i in ids) + f", {data}")
-    rows = spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
+    if tag == "edge":  # edges are last: from one's beginning to the next's is one, and files are split there
+        text = spark.read.option("lineSep", "<edge").text(path).where(F.col("value").rlike("^\\s+[^<\\s]"))
+        end, lone = F.instr("value", F.lit("</edge>")), F.instr("value", F.lit("/>"))
+        whole = F.concat(F.lit("<edge"), F.when(end > 0, F.substring("value", F.lit(1), end + 6)).otherwise(F.substring("value", F.lit(1), lone + 1)))
+        rows = text.withColumn("_at", F.col("_metadata")).where((end > 0) | (lone > 0)).select(F.from_xml(whole, schema).alias("_x"), F.col("_at").alias("_metadata")).select("_x.*", "_metadata")
+    else:
+        rows = spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
     rows = ordinal(rows.select("*", *place), [F.col("_file"), F.col("_start"), F.col("_row")], Workspace(spark))
     rows = rows.withColumn("m", F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(d["_key"], d["_VALUE"]))))

@@ -29,6 +29,29 @@ def test_graphml_round_trip(spark, tmp_path):
     assert (e.u, e.v, e.weight) == ("n<1>", "n2", 1.25)
 
 
+def test_documents_are_read_by_parts(spark, tmp_path):
+    """One document was one task's; its features and edges are split now, wherever a part ends."""
+    rows = spark.range(200).selectExpr("id as n", "concat('a ]}, ', id) as name", "cast(id as double) as lon", "2.0D as lat")
+    sinks.write_feature_collection(rows, str(tmp_path / "one"), order="n")
+    foreign = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"n": 1}, "geometry": None}]}, separators=(",", ":")).replace(',"properties"', ',\n"properties"')
+    (tmp_path / "other.json").write_text(foreign)
+    edges = "".join(f'<edge source="a{i}" target="b"/>' if i % 3 else f'<edge\n source="a{i}" target="b">\n <data key="d0">{i}.5</data>\n</edge>\n' for i in range(200))
+    (tmp_path / "g.graphml").write_text(f'\n<graphml xmlns="x"><key id="d0" for="edge" attr.name="w" attr.type="double"/><graph edgedefault="directed"><node id="b"/>{edges}</graph></graphml>')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        kind = "array<struct<properties:struct<n:long,name:string>,geometry:struct<type:string,coordinates:string>>>"
+        assert files._features_by_lines(spark, str(tmp_path / "one"), kind) is not None
+        assert files._features_by_lines(spark, str(tmp_path / "other.json"), kind) is None
+        got = files.geojson(spark, str(tmp_path / "one"), "n long, name string").orderBy("ord").collect()
+        assert [(r.ord, r.n, r.name, r.x) for r in got] == [(i, i, f"a ]}}, {i}", float(i)) for i in range(200)]
+        assert [r.n for r in files.geojson(spark, str(tmp_path / "other.json"), "n long").collect()] == [1]
+        e = files.graphml_edges(spark, str(tmp_path / "g.graphml")).orderBy("ord").collect()
+        assert [(r.ord, r.u, r.v, r.w) for r in e] == [(i, f"a{i}", "b", None if i % 3 else i + 0.5) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv_readers(spark, tmp_path):
     with gzip.open(tmp_path / "t.csv.gz", "wt") as f:
         f.write("any,names,here,x,y,z,lon,lat,r,s,c,cr,up,av\nLTE,310,260,1,2,3,-74.0,40.7,100,5,1,10,20,0\n")
