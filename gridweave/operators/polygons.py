@@ -17,6 +17,8 @@ from gridweave.workspace import Workspace
 #: Decimals of the corners that come out; points nearer than that are one.
 DIGITS = 9
 _NEAR = 1e-9
+#: Points of the polygons that are made valid in one round, about.
+ROUND_POINTS = 1_000_000
 
 
 def _cells(df: DataFrame, p: str, size: Column) -> DataFrame:
@@ -187,9 +189,25 @@ def make_valid(polygons: DataFrame, key: str, rings: str = "rings", ws: Workspac
     """(key, rings, parts, area): polygons as valid rings, one row a key that covers anything.
 
     ``parts`` has an array of rings for each shell, the shell first, as a multi-polygon is written; ``rings`` has all of them.
+    Keys are taken in rounds of some ``ROUND_POINTS`` points, and what a round wrote on its way is deleted before the next,
+    so the disk holds one round's tables and the results, however many polygons there are.
     """
-    found = valid_rings(polygons, key, rings, ws)
+    ws = ws or Workspace(polygons.sparkSession)
+    own = ws.save(polygons.select(key, F.col(rings).alias("rings")))
+    points = own.agg(F.coalesce(F.sum(F.aggregate("rings", F.lit(0).cast("long"), lambda s, r: s + F.greatest(F.coalesce(F.size(r), F.lit(0)), F.lit(0)))), F.lit(0))).first()[0]
+    rounds = max(-(-points // ROUND_POINTS), 1)
+    out = None
+    for i in range(rounds):
+        step = Workspace(polygons.sparkSession)
+        one = ws.save(_multi_polygons(valid_rings(own.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == i), key, "rings", step), key))
+        step.clear()
+        out = one if out is None else out.unionByName(one)
+    ws.drop(own)
+    return out.select(key, F.flatten("parts").alias("rings"), "parts", "area")
+
+
+def _multi_polygons(found: DataFrame, key: str) -> DataFrame:
+    """(key, parts, area) of valid rings."""
     one = found.groupBy(key, "shell").agg(F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("a"), "ring", "points"))).alias("r"), F.sum("area").alias("area"))
     part = F.struct("shell", F.transform("r", lambda s: s["points"]).alias("rings"))
-    out = one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["rings"]).alias("parts"), F.sum("area").alias("area"))
-    return out.select(key, F.flatten("parts").alias("rings"), "parts", "area")
+    return one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["rings"]).alias("parts"), F.sum("area").alias("area"))

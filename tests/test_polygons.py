@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from gridweave.operators import polygons as ops
 from gridweave.operators.polygons import make_valid, valid_rings
 
 SQUARE = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]]
@@ -90,3 +91,11 @@ def test_make_valid_of_random_rings(spark):
 
 def test_valid_rings_of_nothing(spark):
     assert valid_rings(polygons(spark, []), "key").count() == 0
+
+
+def test_polygons_are_made_valid_in_rounds(spark, monkeypatch):
+    """Tables of a round are deleted before the next."""
+    rows = [(k, [[[0.0, 0.0], [k + 1.0, 0.0], [k + 1.0, 1.0], [0.0, 1.0]]]) for k in range(3)] + [(3, None)]
+    df = spark.createDataFrame(rows, "key long, rings array<array<array<double>>>")
+    monkeypatch.setattr(ops, "ROUND_POINTS", 10)
+    assert {r.key: round(r.area, 6) for r in ops.make_valid(df, "key").collect()} == {k: k + 1.0 for k in range(3)}
