@@ -2,9 +2,9 @@
 
 A document is the set of its five-word shingles. A run splits all sets on sampled tokens: at
 each node a set goes to the children of the tokens that a hash seeded by the node picks, two
-on average, so sets that share most tokens share most children. Nodes of few sets, and
-nodes whose sets are alike throughout, aren't split further; their pairs are looked at by brute
-force, first by sketches and then by whole sets. Runs repeat until a pair at the threshold is
+on average, so sets that share most tokens share most children. A node is split only if that
+makes fewer rows than its tiles have, so nodes of few sets and nodes whose sets share much aren't; their
+pairs are looked at by brute force, first by sketches and then by whole sets. Runs repeat until a pair at the threshold is
 missed less often than the target recall allows.
 """
 
@@ -14,9 +14,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm import tiles as tiling
 from gridweave.llm.arrays import Hasher, U, give_back, mix, text_slices, word_spans
 from gridweave.llm.tiles import deal, each_tile, gather, pairs_mask, roots
 from gridweave.operators.components import components
@@ -26,9 +27,9 @@ SHINGLE_WORDS = 5
 #: Tokens of a sketch: the least by hash. Children of a node by set, on average.
 SKETCH, BRANCH = 96, 2.0
 RECALL = 0.9999
-#: Nodes up to so many sets aren't split; nor are those on this depth, or with this mean similarity.
-SMALL, DEPTH, ALIKE = 256, 6, 0.5
-#: Sets that are compared to tell whether a node is alike throughout.
+#: Nodes up to so many sets aren't split, nor are those on this depth.
+SMALL, DEPTH = 256, 6
+#: Sets that are compared to tell in how many children a node's pairs would meet again.
 PROBES = 24
 #: Nodes with more than this share of all rows are joined by broadcast; there are fewer of them than this.
 HEAVY = 2000
@@ -42,6 +43,15 @@ def runs_for(threshold: float, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
 
+def splits(m: Column, again: Column) -> Column:
+    """Whether splitting a node of ``m`` sets makes fewer rows, if its pairs meet in ``again`` children on average.
+
+    By tiles it has a row a set and part, ``m`` times ``m`` over ``PART_ROWS``; split it has ``BRANCH`` rows a set, and
+    ``again`` times those of its tiles.
+    """
+    return (m > SMALL) & (m * (1 - again) > BRANCH * tiling.PART_ROWS)
+
+
 def join_sized(rows: DataFrame, sized: DataFrame, key: str, n_rows: int) -> DataFrame:
     """``rows`` joined to ``sized``, which has a row a key with ``m``, its rows.
 
@@ -148,7 +158,7 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
             cat = lambda z: np.concatenate(z) if z else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(cat(node).astype(U).view(np.int64)), pa.array(cat(ids).astype(np.int64))], ["node", "id"])
 
-    def mean_similarity(batches):
+    def met_again(batches):
         for b in batches:
             out = []
             for group in b.column(1).to_pylist():
@@ -158,9 +168,9 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
                 a[np.repeat(np.arange(len(s)), [len(x) for x in s]), of] = 1
                 both = a @ a.T
                 n = a.sum(1)
-                j = both / (n[:, None] + n[None, :] - both)
-                out.append(float((j.sum() - len(s)) / max(len(s) * (len(s) - 1), 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["node", "mean"])
+                j = both / np.maximum(n[:, None], n[None, :])  # a shared token leads both on where the longer set picks it
+                out.append(BRANCH * float((j.sum() - len(s)) / max(len(s) * (len(s) - 1), 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["node", "again"])
 
     rows = alike.select("id", "sketch").mapInArrow(start, "node long, id long")
     leaves = None
@@ -170,7 +180,7 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
         sizes = ws.save(rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         met = ws.save(join_sized(rows, sizes, "node", n_rows))
         ws.drop(rows)
-        large = met.where(F.col("m") > SMALL)
+        large = met.where(splits(F.col("m"), F.lit(0.0)))
         if depth == DEPTH or large.isEmpty():
             leaves = met if leaves is None else leaves.unionByName(met)
             break
@@ -178,11 +188,12 @@ def _similar(narrow: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
         held = ws.save(large.drop("m").join(alike.select("id", "sketch"), "id"))
         probes = held.groupBy("node", probe.alias("_p")).agg(F.min(F.struct("id", "sketch")).alias("x"))
         probes = probes.groupBy("node").agg(F.collect_list("x.sketch").alias("sketches"))
-        mean = sizes.join(probes.mapInArrow(mean_similarity, "node long, mean double"), "node")
-        told = ws.save(join_sized(held, ws.save(mean), "node", n_rows))
-        ready = met.where(F.col("m") <= SMALL).unionByName(told.where(F.col("mean") >= ALIKE).select("node", "id", "m"))
+        again = sizes.join(probes.mapInArrow(met_again, "node long, again double"), "node")
+        told = ws.save(join_sized(held, ws.save(again), "node", n_rows))
+        on = splits(F.col("m"), F.col("again"))
+        ready = met.where(~splits(F.col("m"), F.lit(0.0))).unionByName(told.where(~on).select("node", "id", "m"))
         leaves = ready if leaves is None else leaves.unionByName(ready)
-        rows = told.where(F.col("mean") < ALIKE).select("node", "id", "sketch").mapInArrow(descend, "node long, id long")
+        rows = told.where(on).select("node", "id", "sketch").mapInArrow(descend, "node long, id long")
     leaves = ws.save(leaves.select("node", "id", "m"))
     paths = leaves.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     members = ws.save(alike.join(paths, "id").select("id", "doc", "size", "copies", "sketch", "nodes"))

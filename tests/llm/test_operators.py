@@ -308,6 +308,35 @@ def test_join_loses_no_link(spark, monkeypatch, small):
         assert r.doc_id is None or r.class_id == min(rows[k][0] for k in seen)
 
 
+def family(n, edits=0.045):
+    """Copies of one text with words replaced, few of them near enough to link."""
+    r = random.Random(n)
+    base = [f"w{i}" for i in range(120)]
+    return [(i, " ".join(f"x{r.random()}" if r.random() < edits else w for w in base)) for i in range(n)]
+
+
+def test_join_rows_of_a_family_of_copies_grow_with_it(spark, monkeypatch):
+    made = []
+    save = chosen_path.Workspace.save
+
+    def counted(self, df):
+        out = save(self, df)
+        if df.columns == ["node", "id"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path.Workspace, "save", counted)
+    totals = []
+    for n in (400, 800):
+        made.clear()
+        rows = family(n)
+        got = chosen_path.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        totals.append(sum(made))
+        if n == 400:
+            assert {r.doc_id: r.n_links for r in got} == {i: len(x) for i, x in brute_links(rows).items()}
+    assert totals[1] < 2.2 * totals[0] and totals[1] < 40 * 800
+
+
 def test_join_odd_rows(spark):
     got = chosen_path.similar_documents(odd(spark)).collect()
     assert len(got) == len(ODD)
