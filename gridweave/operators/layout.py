@@ -38,28 +38,40 @@ def _cells(at: DataFrame, n: int) -> tuple[DataFrame, int]:
 
 
 def repulsion(at: DataFrame, n: int) -> DataFrame:
-    """(n, fx, fy): the sum over all other nodes of the difference of places over its square, about."""
+    """(n, x, y, fx, fy): the sum over all other nodes of the difference of places over its square, about.
+
+    Forces of far cells are summed down the pyramid to the finest cells, which hold their neighbours' sums in an
+    array, so a node is a row throughout.
+    """
     rows, depth = _cells(at, n)
     c = F.col
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("up")
     finest = rows.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-    over = finest.select(levels, "cx", "cy", "m", "sx", "sy").select((F.lit(depth) - c("up")).alias("level"), F.expr("shiftright(cx, up)").alias("cx"), F.expr("shiftright(cy, up)").alias("cy"), "m", "sx", "sy")
-    cells = over.groupBy("level", "cx", "cy").agg(F.sum("m").alias("m"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-3, 4) for j in range(-3, 4)])).alias("k")
+    over = finest.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("up"), "cx", "cy", "m", "sx", "sy").select((F.lit(depth) - c("up")).alias("level"), F.expr("shiftright(cx, up)").alias("cx"), F.expr("shiftright(cy, up)").alias("cy"), "m", "sx", "sy")
+    cells = over.groupBy("level", "cx", "cy").agg(F.sum("m").alias("m"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy")).where("level >= 2")
+    around = lambda r: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-r, r + 1) for j in range(-r, r + 1)])).alias("k")
     apart = "(abs(k.i) > 1 or abs(k.j) > 1) and abs(shiftright(cx + k.i, 1) - shiftright(cx, 1)) <= 1 and abs(shiftright(cy + k.j, 1) - shiftright(cy, 1)) <= 1"
-    asks = cells.where("level >= 2").select("level", "cx", "cy", (c("sx") / c("m")).alias("px"), (c("sy") / c("m")).alias("py"), near).where(apart)
-    asks = asks.select("level", c("cx").alias("ax"), c("cy").alias("ay"), "px", "py", (c("cx") + c("k.i")).alias("cx"), (c("cy") + c("k.j")).alias("cy"))
-    dx, dy = c("px") - c("sx") / c("m"), c("py") - c("sy") / c("m")
+    there = [(c("cx") + c("k.i")).alias("cx"), (c("cy") + c("k.j")).alias("cy")]
+    acts = cells.select("level", "cx", "cy", "m", (c("sx") / c("m")).alias("qx"), (c("sy") / c("m")).alias("qy"), around(3)).where(apart).select("level", *there, c("m").alias("q"), "qx", "qy")
+    dx, dy = c("sx") / c("m") - c("qx"), c("sy") / c("m") - c("qy")
     d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-6))
-    far = asks.join(cells, ["level", "cx", "cy"]).groupBy("level", c("ax").alias("cx"), c("ay").alias("cy")).agg(F.sum(dx / d2 * c("m")).alias("gx"), F.sum(dy / d2 * c("m")).alias("gy"))
-    far = rows.select("n", levels, "cx", "cy").select("n", (F.lit(depth) - c("up")).alias("level"), F.expr("shiftright(cx, up)").alias("cx"), F.expr("shiftright(cy, up)").alias("cy")).join(far, ["level", "cx", "cy"]).select("n", c("gx").alias("fx"), c("gy").alias("fy"))
-    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("k")
-    own = rows.select("n", "x", "y", "cx", "cy", beside).select("n", "x", "y", ((c("k.i") == 0) & (c("k.j") == 0)).cast("int").alias("own"), (c("cx") + c("k.i")).alias("cx"), (c("cy") + c("k.j")).alias("cy"))
-    own = own.join(finest, ["cx", "cy"]).withColumns({"m": c("m") - c("own"), "sx": c("sx") - c("own") * c("x"), "sy": c("sy") - c("own") * c("y")}).where("m > 0")
-    dx, dy = c("x") - c("sx") / c("m"), c("y") - c("sy") / c("m")
-    d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-2))
-    own = own.select("n", (dx / d2 * c("m")).alias("fx"), (dy / d2 * c("m")).alias("fy"))
-    return far.unionByName(own).groupBy("n").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    far = acts.join(cells, ["level", "cx", "cy"]).groupBy("level", "cx", "cy").agg(F.sum(dx / d2 * c("q")).alias("gx"), F.sum(dy / d2 * c("q")).alias("gy"))
+    down = finest.select(c("cx").alias("_cx"), c("cy").alias("_cy"), F.explode(F.sequence(F.lit(0), F.lit(max(depth - 2, 0)))).alias("up"))
+    down = down.select("_cx", "_cy", (F.lit(depth) - c("up")).alias("level"), F.expr("shiftright(_cx, up)").alias("cx"), F.expr("shiftright(_cy, up)").alias("cy"))
+    far = down.join(far, ["level", "cx", "cy"]).groupBy(c("_cx").alias("cx"), c("_cy").alias("cy")).agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+    beside = finest.select("cx", "cy", "m", "sx", "sy", around(1)).select(*there, F.struct(((c("k.i") == 0) & (c("k.j") == 0)).cast("int").alias("own"), "m", "sx", "sy").alias("b"))
+    beside = beside.groupBy("cx", "cy").agg(F.collect_list("b").alias("beside"))
+
+    def felt(axis):
+        def add(total, b):
+            m = b["m"] - b["own"]
+            dx, dy = (c(v) - (b[s] - b["own"] * c(v)) / m for v, s in (("x", "sx"), ("y", "sy")))
+            d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-2))
+            return F.when(m > 0, total + (dx if axis == "x" else dy) / d2 * m).otherwise(total)
+
+        return F.aggregate("beside", F.lit(0.0), add)
+
+    out = rows.join(beside.join(far, ["cx", "cy"], "left"), ["cx", "cy"])
+    return out.select("n", "x", "y", *[(F.coalesce(f"g{v}", F.lit(0.0)) + felt(v)).alias(f"f{v}") for v in ("x", "y")])
 
 
 def _moved(at: DataFrame, edges: DataFrame, n: int, heat: float, ws: Workspace) -> DataFrame:
@@ -69,9 +81,10 @@ def _moved(at: DataFrame, edges: DataFrame, n: int, heat: float, ws: Workspace)
     b = at.select(c("n").alias("v"), c("x").alias("vx"), c("y").alias("vy"))
     dx, dy = c("vx") - c("ux"), c("vy") - c("uy")
     long = F.sqrt(dx * dx + dy * dy)
-    pull = edges.join(a, "u").join(b, "v").groupBy(c("u").alias("n")).agg(F.sum(dx * long).alias("ax"), F.sum(dy * long).alias("ay"))
-    out = at.join(repulsion(at, n), "n", "left").join(pull, "n", "left")
-    fx, fy = (F.coalesce(f, F.lit(0.0)) + F.coalesce(g, F.lit(0.0)) for f, g in (("fx", "ax"), ("fy", "ay")))
+    # by v first: what lies by u then is summed where it lies
+    pull = edges.join(b, "v").join(a, "u").groupBy(c("u").alias("n")).agg(F.sum(dx * long).alias("ax"), F.sum(dy * long).alias("ay"))
+    out = repulsion(at, n).join(pull, "n", "left")
+    fx, fy = (c(f) + F.coalesce(g, F.lit(0.0)) for f, g in (("fx", "ax"), ("fy", "ay")))
     out = out.select("n", "x", "y", fx.alias("fx"), fy.alias("fy")).withColumn("size", F.greatest(F.sqrt(c("fx") * c("fx") + c("fy") * c("fy")), F.lit(1e-9)))
     step = F.least("size", F.lit(heat)) / c("size")
     return ws.save(out.select("n", (c("x") + c("fx") * step).alias("x"), (c("y") + c("fy") * step).alias("y")))

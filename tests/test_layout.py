@@ -1,6 +1,7 @@
 """Spring layout: forces against plain sums, and a layout truer to a grid than where it starts."""
 
 import math
+import re
 
 import numpy as np
 
@@ -48,3 +49,10 @@ def test_layout_of_little(spark):
     edges = spark.createDataFrame([("a", "a")], "u string, v string")
     assert [r.node_id for r in layout.spring_layout(nodes, edges).collect()] == ["a"]
     assert layout.spring_layout(nodes.where("false"), edges).count() == 0
+
+
+def test_repulsion_deals_cells_and_not_nodes(spark):
+    at = spark.range(400).selectExpr("id as n", "cast(id % 20 as double) as x", "cast(id div 20 as double) as y")
+    lines = layout.repulsion(at, 400)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    dealt = [i for i, line in enumerate(lines) if "Generate explode" in line]
+    assert dealt and not any(re.search(r"\bn#", lines[i + 1]) for i in dealt)
