@@ -79,3 +79,29 @@ def test_box_edges_and_widening(spark):
     assert tables.box_filter(df, (40.7, 40.75, -74.0, -73.9)).count() == 1
     assert tables.box_or_wider(df, (40.71, 40.75, -74.0, -73.9), 0.02).count() == 1
     assert [r.external for r in tables.external_flag(df, (40.7, 40.75, -74.0, -73.9)).collect()] == [False, True, True]
+
+
+def test_places_to_the_bit_as_in_sql(spark):
+    """Java's functions differ in the last bits, so one of 1,506,506,691 distances was rounded to another metre than SQL's."""
+    import duckdb
+
+    from gridweave.queries import _utm_sql
+
+    places = [(40.7 + i * 7919 % 5501 / 1e5, -74.02 + i * 104729 % 5003 / 1e5) for i in range(3000)] + [(-12.5, 3.0), (0.0, -75.0), (61.25, -80.5)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "key long, lat double, lon double")
+    duck = duckdb.connect()
+    duck.register("given", df.toPandas())
+    want = {r[0]: r[1:] for r in duck.execute(f"WITH base AS (SELECT * FROM given), {_utm_sql('lat', 'lon')} SELECT key, x, y FROM placed").fetchall()}
+    assert {r.key: (r.x, r.y) for r in geo.with_utm_to_the_bit(df).collect()} == want
+    odd = spark.createDataFrame([(1, None, 2.0), (2, 90.0, 2.0), (3, float("inf"), 2.0), (4, 40.0, 15.0)], "key long, lat double, lon double")
+    got = {r.key: (r.x, r.y) for r in geo.with_utm_to_the_bit(odd).collect()}
+    plain = odd.select("key", *[c.alias(n) for c, n in zip(geo.utm("lat", "lon"), "xy", strict=True)])
+    assert got.pop(1) == (None, None)
+    for k, x, y in plain.where("key > 1").collect():
+        assert all(g == w or math.isnan(g) and math.isnan(w) or math.isclose(g, w) for g, w in zip(got[k], (x, y), strict=True)), k
+
+
+def test_halves_go_away_from_zero(spark):
+    values = [0.0005, -0.0005, 0.1235, 2.0, 1e300, 0.0, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.r for r in df.select(geo.half_away("v", 3).alias("r")).collect()] == [0.001, -0.001, 0.124, 2.0, 1e300, 0.0, float("inf"), None]
