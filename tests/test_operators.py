@@ -56,6 +56,21 @@ def test_crowded_cell_is_the_work_of_many_tasks(spark, monkeypatch):
     assert max(r["count"] for r in pairs) < 120 * 80 / 3
 
 
+def test_right_side_of_a_radius_is_sent_in_blocks(spark, monkeypatch):
+    """Each row of it was sent alone to 25 cells, once for each part of theirs; places without an end broke the sums of cells."""
+    a, b = points(spark, 90, 3, "a"), points(spark, 70, 4, "b")
+    lone = spark.createDataFrame([("inf", 1, float("inf"), 0.0), ("nan", 3, float("nan"), 0.0)], a.schema)
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df: saved.append(save(self, df)) or saved[-1])
+    monkeypatch.setattr(joins, "TILE_ROWS", 64)
+    rows = lambda df: [(r.id, r.x, r.y) for r in df.collect() if r.x is not None]
+    want = sorted((p, q) for p, x, y in rows(a) for q, u, v in rows(b) if ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= 400)
+    assert sorted((r.l_id, r.r_id) for r in joins.within_radius(a.unionByName(lone), b.unionByName(lone), 400.0).collect()) == want
+    blocks = next(df for df in saved if "_in" in df.columns)
+    assert blocks.count() < 70 / 1.5 and blocks.select(F.sum(F.size("_in"))).first()[0] == 70
+    assert joins.within_radius(a, a, 0.0).count() == 90
+
+
 def test_anti_makes_no_pairs(spark, monkeypatch):
     """A target's nearest source says enough: pairs within the radius, all with all here, aren't made."""
     a, b = points(spark, 120, 3, "a").where("x is not null"), points(spark, 80, 4, "b")
