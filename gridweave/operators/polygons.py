@@ -19,6 +19,8 @@ DIGITS = 9
 _NEAR = 1e-9
 #: Points of the polygons that are made valid in one round, about.
 ROUND_POINTS = 1_000_000
+#: Segments up to which a polygon is compared within its row; segments of a task, about, of such polygons.
+ROW_SEGMENTS, TASK_SEGMENTS = 256, 50_000
 
 
 def _cells(df: DataFrame, p: str, size: Column) -> DataFrame:
@@ -206,6 +208,120 @@ def make_valid(polygons: DataFrame, key: str, rings: str = "rings", ws: Workspac
     return out.select(key, F.flatten("parts").alias("rings"), "parts", "area")
 
 
+_ENDS = ("sid", "x1", "y1", "x2", "y2")
+
+
+def _delta(p: str = "") -> tuple[Column, Column]:
+    return F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1")
+
+
+def _parallel() -> Column:
+    (dx, dy), (ex, ey) = _delta(), _delta("b_")
+    return F.abs(dx * ey - dy * ex) <= _NEAR * F.sqrt(dx * dx + dy * dy) * F.sqrt(ex * ex + ey * ey)
+
+
+def _cuts() -> Column:
+    """Where a segment meets another, b_, as parts of its length; 0 and 1 where that is itself."""
+    c = F.col
+    (dx, dy), (ex, ey) = _delta(), _delta("b_")
+    gx, gy = c("b_x1") - c("x1"), c("b_y1") - c("y1")
+    det, size = dx * ey - dy * ex, dx * dx + dy * dy
+    t, u = (gx * ey - gy * ex) / F.nullif(det, F.lit(0.0)), (gx * dy - gy * dx) / F.nullif(det, F.lit(0.0))
+    on_line = F.abs(gx * dy - gy * dx) <= 10**-DIGITS * 2 * F.sqrt(size)
+    along = lambda p: ((c(f"b_x{p}") - c("x1")) * dx + (c(f"b_y{p}") - c("y1")) * dy) / size
+    none = F.array().cast("array<double>")
+    # a cut too many does no harm, one too few would, so ends may be missed by a trifle
+    met = F.when(_parallel(), F.when(on_line, F.array(along(1), along(2))).otherwise(none)).when(u.between(-_NEAR, 1 + _NEAR), F.array(t)).otherwise(none)
+    return F.when(c("sid") == c("b_sid"), F.array(F.lit(0.0), F.lit(1.0))).otherwise(met)
+
+
+def _sides() -> list[Column]:
+    """(beyond, on) of a piece and a segment b_: whether the ray from the piece's middle crosses it, and whether it lies there itself.
+
+    Steep pieces send a ray to the right, flat ones one upwards.
+    """
+    c = F.col
+    turned = lambda p, a, b: F.when(c("steep"), c(f"{p}{a}")).otherwise(c(f"{p}{b}"))
+    p1, p2, q1, q2 = turned("b_", "x1", "y1"), turned("b_", "x2", "y2"), turned("b_", "y1", "x1"), turned("b_", "y2", "x2")
+    spans = (q1 > c("at")) != (q2 > c("at"))
+    cut = p1 + (c("at") - q1) * (p2 - p1) / F.nullif(q2 - q1, F.lit(0.0))
+    own = (c("sid") == c("b_sid")) | (_parallel() & (F.abs(cut - c("m")) <= 10**-DIGITS * 2))
+    return [(spans & ~own & (cut > c("m"))).cast("int").alias("beyond"), (spans & own).cast("int").alias("on")]
+
+
+def covered_areas(polygons: DataFrame, key: str, rings: str = "rings", ws: Workspace | None = None) -> DataFrame:
+    """(key, area): what ``make_valid`` gives as area, without its rings, for keys that have segments.
+
+    Segments are cut where they meet. A piece is border if an odd number of segments lies there, and what lies beyond it
+    on a ray tells on which side the inside is; borders with the inside on their left sum up to the area (Green). Cuts are
+    parts of a segment's length and never rounded, so areas are as exact as coordinates. Polygons of ``ROW_SEGMENTS`` at
+    most are compared within a row and dealt by their key once; segments of larger ones meet by cells of their size class.
+    """
+    ws = ws or Workspace(polygons.sparkSession)
+    c = F.col
+    own = ws.save(segments(polygons, key, rings).withColumn("sid", F.monotonically_increasing_id()))
+    sizes = ws.save(own.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    large = sizes.where(c("_n") > ROW_SEGMENTS).select(key)
+    total, some = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0)) > ROW_SEGMENTS).first()
+    tasks = max(-(-total // TASK_SEGMENTS), 8)
+    small = own.join(large, key, "left_anti") if some else own
+    second = F.transform("_in", lambda s: F.struct(*[s[n].alias(f"b_{n}") for n in _ENDS]))
+    packed = small.repartition(tasks, key).groupBy(key).agg(F.collect_list(F.struct(*_ENDS)).alias("_in"))
+    near = (F.least("x1", "x2") <= F.greatest("b_x1", "b_x2") + _NEAR) & (F.least("b_x1", "b_x2") <= F.greatest("x1", "x2") + _NEAR) & (F.least("y1", "y2") <= F.greatest("b_y1", "b_y2") + _NEAR) & (F.least("b_y1", "b_y2") <= F.greatest("y1", "y2") + _NEAR)
+    met = packed.select(key, "_in", F.inline("_in")).select(key, *_ENDS, F.inline(second)).where(near)
+    pieces = _pieces(met, key)
+    other = packed.select(c(key).alias("_k"), second.alias("_in"))
+    seen = pieces.join(other.hint("shuffle_hash"), c(key) == c("_k")).select(*pieces.columns, F.inline("_in"))
+    out = _signed(seen, key)
+    if some:
+        out = out.unionByName(_areas_by_cells(own.join(large, key, "left_semi"), key, ws))
+    return out.groupBy(key).agg(F.sum("area").alias("area"))
+
+
+def _pieces(met: DataFrame, key: str) -> DataFrame:
+    """Pieces of segments between the cuts of the pairs of segments: (key, sid, ends, t, t2, steep, at, m)."""
+    c = F.col
+    dx, dy = _delta()
+    cut = met.select(key, *_ENDS, F.explode(_cuts()).alias("t")).where("t between 0 and 1")
+    cut = cut.groupBy(key, *_ENDS).agg(F.array_sort(F.collect_set("t")).alias("_t"))
+    spans = F.zip_with(F.slice("_t", 1, F.size("_t") - 1), F.slice("_t", 2, F.size("_t") - 1), lambda a, b: F.struct(a.alias("t"), b.alias("t2")))
+    rows = cut.where(F.size("_t") > 1).select(key, *_ENDS, F.inline(spans)).withColumn("steep", F.abs(dx) < F.abs(dy))
+    middle = (c("t") + c("t2")) / 2
+    mx, my = c("x1") + middle * dx, c("y1") + middle * dy
+    return rows.withColumns({"at": F.when(c("steep"), my).otherwise(mx), "m": F.when(c("steep"), mx).otherwise(my)})
+
+
+def _signed(seen: DataFrame, key: str) -> DataFrame:
+    """(key, area): a part of the area for each piece, of pieces and the segments that their rays may meet, themselves among them."""
+    c = F.col
+    dx, dy = _delta()
+    piece = [key, *_ENDS, "t", "t2", "steep"]
+    sides = seen.select(*piece, *_sides()).where("beyond + on > 0").groupBy(*piece).agg(F.sum("beyond").alias("n"), F.sum("on").alias("k"))
+    # steep pieces that rise have the ray on their right, flat ones that run to the right on their left
+    ray_left = F.when(c("steep"), dy < 0).otherwise(dx > 0)
+    sign = F.when(ray_left == (c("n") % 2 == 1), 1.0).otherwise(-1.0)
+    part = sign / c("k") * (c("t2") - c("t")) * (c("x1") * dy - c("y1") * dx) / 2
+    return sides.where("k % 2 = 1").groupBy(key).agg(F.sum(part).alias("area"))
+
+
+def _areas_by_cells(own: DataFrame, key: str, ws: Workspace) -> DataFrame:
+    """(key, area) in parts, of segments that meet by cells."""
+    c = F.col
+    boxed = ws.save(_with_box(own))
+    pair = box_pairs(boxed, boxed, key).where("_class < b__class or sid < b_sid")
+    first, other = F.struct(*_ENDS, *[c(f"b_{n}") for n in _ENDS]), F.struct(*[c(f"b_{n}").alias(n) for n in _ENDS], *[c(n).alias(f"b_{n}") for n in _ENDS])
+    both = pair.select(key, F.inline(F.array(first, other)))
+    pieces = ws.save(_pieces(both.unionByName(own.select(key, *_ENDS, *[c(n).alias(f"b_{n}") for n in _ENDS])), key))
+    level = {"left": F.lit(0.0), "right": F.lit(0.0)}
+    seen = None
+    for steep, q in ((True, "y"), (False, "x")):
+        rays = pieces.where(c("steep") == steep).withColumns({**level, "bottom": c("at"), "top": c("at")})
+        walls = own.where(f"{q}1 <> {q}2").withColumns({**level, "bottom": F.least(f"{q}1", f"{q}2"), "top": F.greatest(f"{q}1", f"{q}2")})
+        found = box_pairs(rays, walls.select(key, *_ENDS, *level, "bottom", "top"), key).select(*pieces.columns, *[f"b_{n}" for n in _ENDS])
+        seen = found if seen is None else seen.unionByName(found)
+    return _signed(seen, key)
+
+
 def _multi_polygons(found: DataFrame, key: str) -> DataFrame:
     """(key, parts, area) of valid rings."""
     one = found.groupBy(key, "shell").agg(F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("a"), "ring", "points"))).alias("r"), F.sum("area").alias("area"))

@@ -99,3 +99,21 @@ def test_polygons_are_made_valid_in_rounds(spark, monkeypatch):
     df = spark.createDataFrame(rows, "key long, rings array<array<array<double>>>")
     monkeypatch.setattr(ops, "ROUND_POINTS", 10)
     assert {r.key: round(r.area, 6) for r in ops.make_valid(df, "key").collect()} == {k: k + 1.0 for k in range(3)}
+
+
+@pytest.mark.parametrize("row_segments", [256, 6, 0])
+def test_areas_of_what_is_covered(spark, monkeypatch, row_segments):
+    """Areas without rings, of polygons within a row and by cells, to the twelfth decimal; those of rings are rounded at the corners."""
+    r = random.Random(8)
+    cases = [(str(i), [[[float(r.randint(0, 12)), float(r.randint(0, 12))] for _ in range(r.randint(3, 14))] for _ in range(r.randint(1, 3))]) for i in range(80)]
+    floats = lambda rings: [None if p is None else [[None if v is None else float(v) for v in q] for q in p] for p in rings]
+    cases += [(k, floats(p)) for k, (p, _, _) in CASES.items()]
+    far = [[x + 1000.25, y - 2000.5] for x, y in cases[0][1][0]]
+    df = polygons(spark, [*cases, ("null", None), ("far", [far]), (None, [SQUARE]), ("parts", [SQUARE]), ("parts", [[[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]]])])
+    monkeypatch.setattr(ops, "ROW_SEGMENTS", row_segments)
+    found = {x.key: x.area for x in ops.covered_areas(df, "key").collect()}
+    for k, rings in cases:
+        rings = [[p for p in q if None not in p] for q in rings if q]
+        assert found.get(k, 0.0) == pytest.approx(cut_area(rings), abs=1e-11), (k, rings)
+    assert found["parts"] == pytest.approx(15.0, abs=1e-11) and found["far"] == pytest.approx(cut_area([far]), abs=1e-7)
+    assert "null" not in found
