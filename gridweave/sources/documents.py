@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from gridweave.sources.stores import store
@@ -28,7 +28,7 @@ class Part(WriterCommitMessage):
         self.number, self.path, self.rows = number, path, rows
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.overwrite = options["path"].rstrip("/"), overwrite
         self.head, self.foot, self.separator = (options.get(k, d) for k, d in (("head", ""), ("foot", ""), ("separator", "\n")))
@@ -37,16 +37,16 @@ class _Writer(DataSourceWriter):
     def _parts(self) -> str:
         return f"{self.folder}/_parts-{self.run}"
 
-    def write(self, rows: Iterator) -> Part:
+    def write(self, batches: Iterator) -> Part:
         files, folder = store(self._parts())
         files.create_dir(folder, recursive=True)
         context = TaskContext.get()
         path, n = f"{folder}/{context.partitionId():08d}-{context.taskAttemptId()}", 0
-        separator = self.separator.encode()
         with files.open_output_stream(path) as out:
-            for row in rows:
-                out.write((separator if n else b"") + row[0].encode())
-                n += 1
+            for batch in batches:
+                if batch.num_rows:
+                    out.write(((self.separator if n else "") + self.separator.join(batch.column(0).to_pylist())).encode())
+                    n += batch.num_rows
         return Part(context.partitionId(), path, n)
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -64,6 +64,7 @@ class _Writer(DataSourceWriter):
                     with files.open_input_stream(p.path) as part:
                         while block := part.read(BLOCK):
                             out.write(block)
+                    files.delete_file(p.path)  # so that the store never holds the document twice
             out.write(self.foot.encode())
         target = f"{folder}/{self.name}"
         if self.overwrite and files.get_file_info(target).type.name == "File":

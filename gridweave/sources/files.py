@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.operators.ordering import ordinal
+from gridweave.operators.ordering import if_few, ordinal
 from gridweave.workspace import Workspace
 
 #: Columns of a cell-tower export, in order.
@@ -146,18 +146,71 @@ def _graph_part(spark: SparkSession, path: str, tag: str, ids: list[str]) -> Dat
         keys = [(r["_id"], r["_attr.name"], r["_attr.type"]) for r in keys.select("_id", F.col("`_attr.name`"), F.col("`_attr.type`"), "_for").where(F.col("_for") == tag).collect()]
     data = "data array<struct<_VALUE:string,_key:string>>"
     schema = T.StructType.fromDDL(", ".join(f"`_{i}` string" for i in ids) + f", {data}")
-    if tag == "edge":  # edges are last: from one's beginning to the next's is one, and files are split there
-        text = spark.read.option("lineSep", "<edge").text(path).where(F.col("value").rlike("^\\s+[^<\\s]"))
-        end, lone = F.instr("value", F.lit("</edge>")), F.instr("value", F.lit("/>"))
-        whole = F.concat(F.lit("<edge"), F.when(end > 0, F.substring("value", F.lit(1), end + 6)).otherwise(F.substring("value", F.lit(1), lone + 1)))
-        rows = text.withColumn("_at", F.col("_metadata")).where((end > 0) | (lone > 0)).select(F.from_xml(whole, schema).alias("_x"), F.col("_at").alias("_metadata")).select("_x.*", "_metadata")
+    kinds = {"string": "string", "long": "long", "int": "long", "double": "double", "float": "double", "boolean": "boolean"}
+    typed = lambda value, kind: value.try_cast(kinds.get(kind, "string"))
+    found = lambda k: F.try_element_at("m", F.lit(k))
+    mapped = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(d["_key"], d["_VALUE"])))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    if tag == "edge":
+        rows = _edge_texts(spark, path)
+        plain = F.col("_plain")
+        # an edge as this library writes it is taken apart as text; parsers take some ten times longer
+        rows = rows.withColumn("_plain", _plain_edge("_text", ids, [k for k, _, _ in keys])).withColumn("_x", F.when(~F.col("_plain"), F.from_xml("_text", schema)))
+        rows = rows.select("*", F.col("_x.data").alias("data")).withColumn("m", F.when(~plain, mapped))
+        own = [F.when(plain, _between(f'{i}="', '"')).otherwise(F.col(f"_x._{i}")).alias(f"_{i}") for i in ids]
+        rows = rows.select("_file", "_start", *own, *[typed(F.when(plain, _between(f'<data key="{k}">', "<")).otherwise(found(k)), kind).alias(f"_at_{i}") for i, (k, _, kind) in enumerate(keys)])
     else:
         rows = spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
-    rows = ordinal(rows.select("*", *place), [F.col("_file"), F.col("_start"), F.col("_row")], Workspace(spark))
-    rows = rows.withColumn("m", F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(d["_key"], d["_VALUE"]))))
-    kinds = {"string": "string", "long": "long", "int": "long", "double": "double", "float": "double", "boolean": "boolean"}
-    return rows.select("ord", *[F.col(f"_{i}") for i in ids], *[F.try_element_at("m", F.lit(k)).try_cast(kinds.get(kind, "string")).alias(name) for k, name, kind in keys])
+        rows = rows.select("*", *place).withColumn("m", mapped)
+        rows = rows.select("_file", "_start", *[f"_{i}" for i in ids], *[typed(found(k), kind).alias(f"_at_{i}") for i, (k, _, kind) in enumerate(keys)])
+    rows = _numbered_as_read(rows, Workspace(spark))
+    return rows.select("ord", *[F.col(f"_{i}") for i in ids], *[F.col(f"_at_{i}").alias(name) for i, (_, name, _) in enumerate(keys)])
+
+
+def _between(start: str, end: str) -> Column:
+    """What stands in an edge's text between two texts, the first of which is there once; null where it isn't."""
+    return F.when(F.contains("_text", F.lit(start)), F.substring_index(F.substring_index("_text", start, -1), end, 1))
+
+
+def _plain_edge(text: str, ids: list[str], keys: list[str]) -> Column:
+    """Whether an edge has just its ends and known data, each once and in order, with nothing that XML would change."""
+    value = r"(?! )[^\"<>&\t\n\x0B\f\r]++(?<! )"
+    names = "".join(f' {i}="{value}"' for i in ids)
+    return F.col(text).rlike(f"^<edge{names}>" + "".join(f'(?:<data key="\\Q{k}\\E">{value}</data>)?+' for k in keys) + "</edge>$")
+
+
+#: How a line of a graph document begins that has no edge.
+_OTHER_LINES = ("<?xml ", "<graphml ", "<key ", "<graph ", "<node ", "</graph>", "</graphml>")
+
+
+def _edge_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(_text, _file, _start): the edges of a graph document as they stand there, in their order, read by many tasks."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.trim("value").alias("_text"), *place).where("_text <> ''")
+    edge = F.startswith("_text", F.lit("<edge ")) & (F.endswith("_text", F.lit("</edge>")) | F.endswith("_text", F.lit("/>"))) & (F.instr(F.substring("_text", 2, 1 << 30), F.lit("<edge")) == 0)
+    other = F.lit(False)
+    for x in _OTHER_LINES:
+        other = other | F.startswith("_text", F.lit(x))
+    other = other & F.endswith("_text", F.lit(">")) & (F.instr("_text", F.lit("<edge")) == 0) & (F.instr("_text", F.lit("<!")) == 0)
+    if lines.where(~(edge | other)).isEmpty():  # each line is whole, as this library writes them; all before the edges would be one text else
+        return lines.where(F.startswith("_text", F.lit("<edge ")))
+    # edges are last: from one's beginning to the next's is one, and files are split there
+    text = spark.read.option("lineSep", "<edge").text(path).select("value", *place).where(F.col("value").rlike("^\\s+[^<\\s]"))
+    end, lone = F.instr("value", F.lit("</edge>")), F.instr("value", F.lit("/>"))
+    whole = F.concat(F.lit("<edge"), F.when(end > 0, F.substring("value", F.lit(1), end + 6)).otherwise(F.substring("value", F.lit(1), lone + 1)))
+    return text.where((end > 0) | (lone > 0)).select(whole.alias("_text"), "_file", "_start")
+
+
+def _numbered_as_read(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Rows of files with ``ord``: 0, 1, 2, ... in the order of files, their blocks (_file, _start) and of rows in a block.
+
+    A block's rows are read by one task in their order, so they are counted where they lie, and neither dealt nor sorted.
+    """
+    saved = ws.save(rows.withColumn("_row", F.monotonically_increasing_id()))
+    blocks = saved.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ws.save(blocks.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    return saved.join(if_few(shift), ["_file", "_start"]).withColumn("ord", F.col("_row") + F.col("_shift")).drop("_file", "_start", "_row", "_shift")
 
 
 def graphml_nodes(spark: SparkSession, path: str) -> DataFrame:

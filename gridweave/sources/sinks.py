@@ -39,8 +39,12 @@ def write_csv(df: DataFrame, path: str, drop: list[str] | None = None) -> None:
     df.drop(*(drop or ["geometry", "coordinates"])).write.mode("overwrite").option("header", True).csv(path)
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id") -> DataFrame:
-    """(part, ord, value): lines of a graph document; null attributes are left out."""
+def graphml_lines(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id") -> tuple[list[str], DataFrame]:
+    """The lines that begin a graph document, and (value): those of its nodes and edges, dealt to tasks in their order.
+
+    Null attributes are left out. Rows are dealt and sorted as they are, by ``ord`` and then by all columns, and become
+    texts where they lie, so what is sent and sorted is less than the document.
+    """
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     keys, at = [], {}
     for kind, df, own in (("node", nodes, {node_id, "ord"}), ("edge", edges, {"u", "v", "ord"})):
@@ -49,21 +53,22 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id")
                 at[kind, name] = f"d{len(keys)}"
                 keys.append(f'<key id="d{len(keys)}" for="{kind}" attr.name="{name}" attr.type="{KINDS.get(dtype, "string")}"/>')
     data = lambda kind, df: F.concat_ws("", *[F.concat(F.lit(f'<data key="{at[kind, c]}">'), esc(F.col(c)), F.lit("</data>")) for c in df.columns if (kind, c) in at])
-    ord_of = lambda df: F.col("ord").cast("string") if "ord" in df.columns else F.lit("0")
+
+    def dealt(df: DataFrame, first: list[str]) -> DataFrame:
+        order = [F.col("ord").cast("string").cast("long")] if "ord" in df.columns else []
+        order += [F.col(c) for c in first + [c for c in df.columns if c not in {*first, "ord"}]]
+        return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
     head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">']
-    spark = nodes.sparkSession
-    top = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)], "part int, ord long, value string")
-    foot = spark.createDataFrame([(3, 0, "</graph></graphml>")], "part int, ord long, value string")
-    n = nodes.select(F.lit(1).alias("part"), ord_of(nodes).cast("long").alias("ord"), F.concat(F.lit('<node id="'), esc(F.col(node_id)), F.lit('">'), data("node", nodes), F.lit("</node>")).alias("value"))
-    e = edges.select(F.lit(2).alias("part"), ord_of(edges).cast("long").alias("ord"), F.concat(F.lit('<edge source="'), esc(F.col("u")), F.lit('" target="'), esc(F.col("v")), F.lit('">'), data("edge", edges), F.lit("</edge>")).alias("value"))
-    return top.unionByName(n).unionByName(e).unionByName(foot)
+    n = dealt(nodes, [node_id]).select(F.concat(F.lit('<node id="'), esc(F.col(node_id)), F.lit('">'), data("node", nodes), F.lit("</node>")).alias("value"))
+    e = dealt(edges, ["u", "v"]).select(F.concat(F.lit('<edge source="'), esc(F.col("u")), F.lit('" target="'), esc(F.col("v")), F.lit('">'), data("edge", edges), F.lit("</edge>")).alias("value"))
+    return head, n.unionByName(e)
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node_id: str = "node_id") -> None:
     """One document of any size, in node and edge order, written by parts that are joined when all are done."""
-    lines = graphml_lines(nodes, edges, node_id)
-    # lines without an order of their own are dealt by their text, so that they don't all come to one task
-    write_document(lines, [F.col("part"), F.col("ord"), F.col("value")], path, "document.graphml", foot="\n")
+    head, lines = graphml_lines(nodes, edges, node_id)
+    write_document(lines, None, path, "document.graphml", "\n".join(head) + "\n", foot="\n</graph></graphml>\n")
 
 
 def _contents(df: DataFrame) -> list[Column]:

@@ -131,3 +131,29 @@ def test_overlay_and_layers(spark, tmp_path):
     assert layer["o"][0] == 0 and layer["h"] == (1, "<b>Power Dependency</b><br>p to h<br><b>Distance (m):</b> 1200<br><b>Buffer (h):</b> 96.0")
     assert present.depth_circles(wet).count() == 1
     assert sinks.write_tensors(spark.createDataFrame([("power", 0)], "infra_type string, idx int"), spark.createDataFrame([("a", "r", "b", 1)], "src_type string, relation string, dst_type string, i int"), str(tmp_path / "t")) == {"nodes": 1, "edges": 1}
+
+
+def test_edges_on_whole_lines_are_read_as_text(spark, tmp_path, monkeypatch):
+    """Nodes before the first edge were one text of one task, and each edge was parsed twice."""
+    odd = ["plain", " spaced ", 'a "b" & <c>', "", "x\ty", "é", None]
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(300)], "node_id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{299 - i}", i, i / 4, odd[i % 7]) for i in range(300)], "u string, v string, ord long, weight double, name string")
+    sinks.write_graphml(nodes, edges, str(tmp_path / "g"))
+    texts = files._edge_texts(spark, str(tmp_path / "g"))
+    assert texts.where(F.startswith("_text", F.lit("<edge source="))).count() == 300
+    assert spark.read.text(str(tmp_path / "g")).count() == 300 * 2 + 6
+    plain = texts.where(files._plain_edge("_text", ["source", "target"], ["d0", "d1"])).count()
+    assert plain == sum(odd[i % 7] in ("plain", "é", None) for i in range(300))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [tuple(r) for r in files.graphml_edges(spark, str(tmp_path / "g")).orderBy("ord").collect()]
+        monkeypatch.setattr(files, "_plain_edge", lambda *_: F.lit(False))
+        assert got == [tuple(r) for r in files.graphml_edges(spark, str(tmp_path / "g")).orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r[:4] for r in got] == [(i, f"n{i}", f"n{299 - i}", i / 4) for i in range(300)]
+    assert {r[4] for r in got} >= {"plain", "é", 'a "b" & <c>', None}
+    twice = '<graphml xmlns="x">\n<key id="d0" for="edge" attr.name="w" attr.type="double"/>\n<graph edgedefault="directed">\n<!-- <edge source="no" target="no"></edge>\n-->\n<edge source="a" target="b"/><edge source="b" target="a"/>\n</graph></graphml>'
+    (tmp_path / "two.graphml").write_text(twice.replace("<!-- <edge source=\"no\" target=\"no\"></edge>\n-->\n", ""))
+    assert [r.u for r in files.graphml_edges(spark, str(tmp_path / "two.graphml")).orderBy("ord").collect()] == ["a", "b"]
